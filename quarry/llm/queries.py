@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, media, quality, sharding, url_filter
+from . import bpe, decontaminate, line_dedup, media, ngram_join, quality, sharding, url_filter
 from .common import table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -30,6 +30,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decoder(spark, path)("ids"), 256).alias("decoded_sha256"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents")).select(F.col("_doc").alias("doc_id"), "class_id", "n_links", "copy_of")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flac": op1_flac,
     "op2_url_filter": op2_url_filter,
     "op3_bpe": op3_bpe,
+    "op4_ngram_join": op4_ngram_join,
     "op5_decontaminate": op5_decontaminate,
     "op7_line_dedup": op7_line_dedup,
     "op8_sharding": op8_sharding,
