@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, media, ngram_join, quality, sharding, url_filter
+from . import bpe, decontaminate, licences, line_dedup, media, ngram_join, quality, sharding, token_counts, url_filter
 from .common import table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -42,6 +42,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = licences.scan(docs, licences.train(licences.background_of(docs)))
+    return scanned.select(F.col("row.doc_id").alias("doc_id"), *licences.summary(scanned))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10)
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -52,6 +58,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as token files of 2-byte ids, each ended by id 50256, which the vocabulary leaves free."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return token_counts.count_by_document(token_counts.pack(table(spark, sf_dir, "documents"), ranks, separator=50256), separator=50256)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -65,8 +77,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_ngram_join": op4_ngram_join,
     "op5_decontaminate": op5_decontaminate,
+    "op6_licences": op6_licences,
     "op7_line_dedup": op7_line_dedup,
     "op8_sharding": op8_sharding,
+    "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
 }
 
