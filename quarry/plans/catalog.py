@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.plans import evidence
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -19,11 +21,12 @@ def integrity_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("source", status.alias("status")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"integrity_by_source": integrity_by_source}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"integrity_by_source": integrity_by_source, **evidence.QUERIES}
 
 ORACLE: dict[str, str] = {
     "integrity_by_source": """
 SELECT source, CASE WHEN text IS NULL THEN 'NOT_RUN' WHEN length(text) = n_chars THEN 'PASS' ELSE 'FAIL' END AS status,
        count(*)::BIGINT AS n_docs, sum(n_chars)::BIGINT AS n_chars
 FROM documents GROUP BY ALL""",
+    **evidence.ORACLE,
 }
