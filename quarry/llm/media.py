@@ -72,7 +72,7 @@ def pcm_blocks(media: DataFrame, column: str, keys: list[str], block_samples: in
     A block holds interleaved signed little-endian samples; sample s of a stream is in block s // block_samples.
     """
     out = T.StructType(list(media.select(*keys).schema.fields))
-    for name, kind in (("block", "int"), ("sample_offset", "long"), ("n_samples", "int"), ("sample_rate", "int"), ("channels", "int"), ("bits", "int"), ("pcm", "binary")):
+    for name, kind in (("block", "integer"), ("sample_offset", "long"), ("n_samples", "integer"), ("sample_rate", "integer"), ("channels", "integer"), ("bits", "integer"), ("pcm", "binary")):
         out = out.add(name, kind)
 
     def blocks(batches):
