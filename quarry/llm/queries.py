@@ -86,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _HOST = "translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's')"
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE: dict[str, str] = {
@@ -95,6 +97,17 @@ u AS (SELECT row_number() OVER () AS n, page_id, {_HOST} AS host, {_PATH} AS pat
 f AS (SELECT u.n, min(struct_pack(o := -length(r.host || r.path), rule := r.host || r.path, action := r.action)) AS best
       FROM u JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY u.n)
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.action, 'allow') AS verdict FROM u LEFT JOIN f USING (n)""",
+    "op5_decontaminate": f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), {_WORDS}) AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), {_WORDS}) AS ws FROM benchmark),
+w AS (SELECT DISTINCT item_id, least(10, len(ws)) AS l, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda k: array_to_string(ws[k:k + 9], ' '))) AS g FROM i WHERE len(ws) > 0),
+s AS (SELECT DISTINCT l FROM w),
+g AS (SELECT n, l, unnest(range(1, len(ws) - l + 2)) AS p, unnest(list_transform(range(1, len(ws) - l + 2), lambda k: array_to_string(ws[k:k + l - 1], ' '))) AS g FROM d JOIN s ON len(ws) >= l),
+h AS (SELECT n, p, l, item_id FROM g JOIN w USING (l, g)),
+hit AS (SELECT n, count(DISTINCT p) AS n_hit FROM (SELECT n, unnest(range(p, p + l)) AS p FROM h) GROUP BY n),
+ids AS (SELECT n, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT n, item_id::VARCHAR AS id FROM h WHERE item_id IS NOT NULL) GROUP BY n)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (n) LEFT JOIN ids USING (n)""",
     "op7_line_dedup": f"""
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT n, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM d),
@@ -103,4 +116,14 @@ h AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT n) >=
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE h.key IS NOT NULL))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE h.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN h USING (key) GROUP BY n, doc_id""",
+    "op8_sharding": """
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+b AS (SELECT n, doc_id, octet_length(encode(text)) + 1 AS size, hex(encode(text)) AS h,
+      list_transform(range(17), lambda s: -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || s), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0)) AS bids FROM d),
+p AS (SELECT *, list_position(bids[1:16], list_min(bids[1:16])) - 1 AS shard, bids[17] < list_min(bids[1:16]) AS moves FROM b)
+SELECT doc_id, size::BIGINT AS size,
+       xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)), lambda c, x: xor(c // 256, t[(xor(c, x) % 256) + 1])), 4294967295) AS text_crc32,
+       'key' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY n) - 1 AS slot, (CASE WHEN moves THEN 16 ELSE shard END)::INTEGER AS grown_shard
+FROM p, t""",
 }
