@@ -131,7 +131,7 @@ def references(v: object, path: str = "$") -> Iterator[tuple[int, str]]:
 def objects(data: bytes) -> Iterator[dict]:
     """A row for each object in file order: its value as JSON, its stream's size, hash and (for Flate) complete inflation, and the objects it refers to."""
     found = list(_OBJECT.finditer(data))
-    for m, after in zip(found, [*found[1:], None], strict=True):
+    for m, after in zip(found, [*found[1:], None], strict=False):
         body = data[m.end() : after.start() if after else len(data)]
         row = {"number": int(m[1]), "generation": int(m[2]), "offset": m.start(), "value": None, "kind": "value", "stream_bytes": None, "stream_sha256": None, "plain_sha256": None, "refs": [], "fault": None}
         try:
