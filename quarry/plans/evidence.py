@@ -203,7 +203,7 @@ SELECT conv_id, ord, coalesce(x.l <= b.l, false) AS equal FROM x FULL JOIN b USI
 def positional_join(spark, sf):
     from pyspark.sql import Window
 
-    turns = table(spark, sf, "conversations").withColumn("ord", F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn"))).select("conv_id", "ord", "role", F.length("text").alias("l"))
+    turns = table(spark, sf, "conversations").withColumn("ord", F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")).cast("long")).select("conv_id", "ord", "role", F.length("text").alias("l"))
     side = lambda role: turns.where(F.col("role") == role).drop("role")
     return J.positional(side("user"), side("assistant"), ["conv_id"], "ord", lambda a, b: a["l"] <= b["l"])
 
