@@ -34,7 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-n = F.count(F.lit(1)).alias("n")
+def n():
+    return F.count(F.lit(1)).alias("n")
 
 
 # ---------------------------------------------------------------- predicates and constraints
@@ -141,7 +142,7 @@ JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN n
 def five_way_key_join(spark, sf):
     t = lambda name: table(spark, sf, name)
     joined = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return joined.groupBy("n_name", "p_type").agg(n, F.sum("l_quantity").cast("double").alias("quantity"))
+    return joined.groupBy("n_name", "p_type").agg(n(), F.sum("l_quantity").cast("double").alias("quantity"))
 
 
 _A = "SELECT l_orderkey AS k, count(*) AS c, sum(l_quantity) AS q FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1"
@@ -184,7 +185,7 @@ WITH l AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER
 SELECT user_id, lifetime, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM l WHERE lifetime > 0 AND event_type <> 'signup' GROUP BY ALL""")
 def lifetime_binding(spark, sf):
     bound = J.lifetimes(table(spark, sf, "events").select(*_EV), ["user_id"], ["ts", "event_id"], F.col("event_type") == "signup")
-    return bound.where("lifetime > 0 AND event_type != 'signup'").groupBy("user_id", "lifetime").agg(n, F.round(F.sum("value"), 4).alias("total"))
+    return bound.where("lifetime > 0 AND event_type != 'signup'").groupBy("user_id", "lifetime").agg(n(), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("""
@@ -256,7 +257,7 @@ def histogram_map(spark, sf):
 @query("""
 SELECT l_returnflag, count(*) FILTER (l_discount = 0)::BIGINT AS no_discount, count(*) FILTER (l_tax > 0.05)::BIGINT AS taxed, count(*) FILTER (l_quantity >= 25)::BIGINT AS bulk, count(*)::BIGINT AS n FROM lineitem GROUP BY 1""")
 def conditional_counters(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(*A.counters({"no_discount": F.col("l_discount") == 0, "taxed": F.col("l_tax") > 0.05, "bulk": F.col("l_quantity") >= 25}), n)
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(*A.counters({"no_discount": F.col("l_discount") == 0, "taxed": F.col("l_tax") > 0.05, "bulk": F.col("l_quantity") >= 25}), n())
 
 
 @query("""
@@ -290,20 +291,20 @@ def exact_quantiles(spark, sf):
 SELECT d.source, CASE max(CASE WHEN l.doc_id IS NULL THEN 2 WHEN l.toxic = 1 THEN 3 WHEN l.quality = 0 THEN 1 ELSE 0 END) WHEN 3 THEN 'FAIL' WHEN 2 THEN 'NOT_RUN' WHEN 1 THEN 'UNSUPPORTED' ELSE 'PASS' END AS status, count(*)::BIGINT AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""")
 def status_fold(spark, sf):
     status = F.when(F.col("quality").isNull(), ST.NOT_RUN).when(F.col("toxic") == 1, ST.FAIL).when(F.col("quality") == 0, ST.UNSUPPORTED).otherwise(ST.PASS)
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").groupBy("source").agg(ST.fold(status).alias("status"), n)
+    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").groupBy("source").agg(ST.fold(status).alias("status"), n())
 
 
 @query("""
 SELECT CASE WHEN l.doc_id IS NULL THEN 'UNAVAILABLE' WHEN d.lang NOT IN ('en', 'fr') THEN 'INCOMPARABLE' WHEN l.quality <> 1 THEN 'DIFFERENT' ELSE 'EQUAL' END AS outcome, count(*)::BIGINT AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""")
 def outcome_counts(spark, sf):
     joined = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    return joined.groupBy(ST.outcome(F.col("quality") == 1, F.col("lang").isin("en", "fr"), F.col("quality").isNotNull()).alias("outcome")).agg(n)
+    return joined.groupBy(ST.outcome(F.col("quality") == 1, F.col("lang").isin("en", "fr"), F.col("quality").isNotNull()).alias("outcome")).agg(n())
 
 
 @query("""
 SELECT conv_id, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn) || chr(10)) AS sha256, count(*)::BIGINT AS n FROM conversations GROUP BY 1""")
 def ordered_hash_agg(spark, sf):
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(A.ordered_sha256(F.concat_ws(":", "role", "text"), F.col("turn")).alias("sha256"), n)
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(A.ordered_sha256(F.concat_ws(":", "role", "text"), F.col("turn")).alias("sha256"), n())
 
 
 @query("""
@@ -325,7 +326,7 @@ def code_point_inventory(spark, sf):
 SELECT l_returnflag, l_linestatus, sum(l_quantity)::DOUBLE AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2)::DOUBLE AS sum_disc_price, round(avg(l_discount), 6)::DOUBLE AS avg_disc, count(*)::BIGINT AS n FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY ALL""")
 def pricing_summary(spark, sf):
     rows = table(spark, sf, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("date"))
-    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("double").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).cast("double").alias("sum_disc_price"), F.round(F.avg("l_discount"), 6).cast("double").alias("avg_disc"), n)
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("double").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).cast("double").alias("sum_disc_price"), F.round(F.avg("l_discount"), 6).cast("double").alias("avg_disc"), n())
 
 
 # ---------------------------------------------------------------- windows and sequences

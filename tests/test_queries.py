@@ -30,3 +30,11 @@ def test_nothing_else_imports_the_llm_subpackage():
     for path in root.rglob("*.py"):
         if "llm" not in path.relative_to(root).parts:
             assert "quarry.llm" not in path.read_text(), path
+
+
+def test_registries_need_no_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert q and set(o) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
