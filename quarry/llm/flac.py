@@ -421,13 +421,16 @@ def _decode(streams: list[bytes]) -> list[tuple[Stream, np.ndarray]]:
     blocks: list[np.ndarray | None] = [None] * len(at)
     kinds = np.stack([head["block"], bits, head["channels"]], 1)
     for kind in np.unique(kinds, axis=0) if len(kinds) else []:
-        rows = np.flatnonzero((kinds == kind).all(1))
-        samples = _subframes(reader, head["body"][rows] * 8, int(kind[0]), int(kind[1]), int(kind[2]), int(channels[rows[0]]))
-        for r, block in zip(rows.tolist(), samples, strict=True):
-            blocks[r] = block
+        every = np.flatnonzero((kinds == kind).all(1))
+        step = max(1, CHUNK // int(kind[0]))
+        for a in range(0, len(every), step):  # a long stream in parts
+            rows = every[a : a + step]
+            samples = _subframes(reader, head["body"][rows] * 8, int(kind[0]), int(kind[1]), int(kind[2]), int(channels[rows[0]])).astype(np.int8 if kind[1] <= 8 else np.int32)
+            for r, block in zip(rows.tolist(), samples, strict=True):
+                blocks[r] = block
     out, first = [], 0
     for m, c in zip(info, counts.tolist(), strict=True):
-        pcm = np.concatenate(blocks[first : first + c]) if c else np.zeros((0, m.channels), np.int32)
+        pcm = np.concatenate(blocks[first : first + c]) if c else np.zeros((0, m.channels), np.int8 if m.bits <= 8 else np.int32)
         if m.samples and len(pcm) != m.samples:
             raise BadStream("the number of samples is wrong")
         if any(m.md5) and hashlib.md5(pcm_bytes(pcm, m.bits)).digest() != m.md5:

@@ -48,16 +48,27 @@ def padded(text: Column, unit: int = flac.BLOCK) -> Column:
     return F.concat(data, F.repeat(F.lit(" "), blanks.cast("int")).cast("binary"))
 
 
+def level(x: np.ndarray) -> str:
+    """Number, range, sum, power, zero crossings and travel of samples, taken in parts."""
+    n = low = high = total = power = crossings = travel = 0
+    for a in range(0, len(x), flac.CHUNK):
+        part = x[a : a + flac.CHUNK].astype(np.int64)
+        low, high = (min(low, int(part.min())), max(high, int(part.max())))
+        total, power = total + int(part.sum()), power + int(np.square(part).sum())
+        joined = x[max(a - 1, 0) : a + flac.CHUNK].astype(np.int64)
+        crossings += int(np.count_nonzero((joined[1:] < 0) != (joined[:-1] < 0)))
+        travel += int(np.abs(np.diff(joined)).sum())
+        n += len(part)
+    return f"n={n};min={low};max={high};sum={total};power={power};crossings={crossings};travel={travel}"
+
+
 def describe(stream: bytes | None, decoded: tuple[flac.Stream, np.ndarray] | None) -> dict | None:
     """What is read back from one stream: its samples as stored bytes, their digests, and level features of the samples."""
     if stream is None or decoded is None:
         return None
     info, samples = decoded
-    first = samples[:, 0]
-    payload = (first + 128).astype(np.uint8).tobytes() if info.channels == 1 and info.bits == 8 else flac.pcm_bytes(samples, info.bits)
-    crossings = int(np.count_nonzero((first[1:] < 0) != (first[:-1] < 0))) if len(first) else 0
-    level = [len(first), int(first.min(initial=0)), int(first.max(initial=0)), int(first.sum(dtype=np.int64)), int(np.square(first, dtype=np.int64).sum()), crossings, int(np.abs(np.diff(first)).sum(dtype=np.int64))]
-    return {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(stream), "media_sha256": hashlib.sha256(stream).hexdigest(), "feature": "n={};min={};max={};sum={};power={};crossings={};travel={}".format(*level)}
+    payload = (samples[:, 0].astype(np.int8).view(np.uint8) ^ 0x80).tobytes() if info.channels == 1 and info.bits == 8 else flac.pcm_bytes(samples, info.bits)
+    return {"payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]), "media_bytes": len(stream), "media_sha256": hashlib.sha256(stream).hexdigest(), "feature": level(samples[:, 0])}
 
 
 @F.arrow_udf(from_arrow_type(FEATURES))
