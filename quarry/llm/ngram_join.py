@@ -37,13 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, pieces
+from .common import bound_batches, materialise, pieces
 from .graph import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Most MinHash values of a document.
 PERMUTATIONS = 128
-BLOCK_CLASSES, BLOCK_GRAMS, PACK_CLASSES = 1024, 2_000_000, 512
+BLOCK_CLASSES, BLOCK_GRAMS, PACK_CLASSES = 512, 1_000_000, 256
+#: Bytes of text whose n-grams are hashed together, and rows of a block whose pairs are.
+TEXT_BYTES, PAIR_ROWS = 512 << 10, 128
 COMPONENT_CLASSES = 32_768
 
 _WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -70,6 +72,18 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def gram_sets(texts: list[str | None], n: int = N) -> list[np.ndarray]:
     """The sorted distinct hashes of each text's word n-grams."""
+    out: list[np.ndarray] = []
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        held.append(text)
+        size += len(text or "") + 1
+        if size >= TEXT_BYTES or i == len(texts) - 1:
+            out += _gram_sets(held, n)
+            held, size = [], 0
+    return out
+
+
+def _gram_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     parts = [(t or "").lower().encode("utf-8", "replace").translate(_WORD_BYTES) for t in texts]
     data = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
     stops = np.cumsum([len(p) + 1 for p in parts])
@@ -162,28 +176,28 @@ def common_grams(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) ->
     """|A & B| of each pair of indices, exactly: pair by pair if they are few, else by matrix products over the n-grams that two sets hold at least."""
     if not len(left):
         return np.zeros(0, np.int64)
-    used = np.unique(np.concatenate([left, right]))
+    used, where = np.unique(np.concatenate([left, right]), return_inverse=True)
+    rows, at_left = np.unique(where[: len(left)], return_inverse=True)
+    others, at_right = np.unique(where[len(left) :], return_inverse=True)
     sizes = np.array([len(sets[i]) for i in used.tolist()])
-    every = np.concatenate([sets[i] for i in used.tolist()])
-    values, column = np.unique(every, return_inverse=True)
+    values, column = np.unique(np.concatenate([sets[i] for i in used.tolist()]), return_inverse=True)
     often = np.bincount(column) > 1
     width = int(often.sum())
-    if len(used) ** 2 * width / 1e10 > len(left) * (1e-5 + 2e-8 * sizes.mean()):
+    if len(rows) * len(others) * width / 1e10 > len(left) * (1e-5 + 2e-8 * sizes.mean()):
         return np.array([_both(sets[i], sets[j]) for i, j in zip(left.tolist(), right.tolist(), strict=True)], np.int64)
     row = np.repeat(np.arange(len(used)), sizes)
     keep = often[column]
     row, column = row[keep], (np.cumsum(often) - 1)[column[keep]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    product = np.zeros((len(used), len(used)), np.float32)
-    step = max(256, (8 << 20) // max(len(used), 1))
+    product = np.zeros((len(rows), len(others)), np.float32)
+    step = max(256, (2 << 20) // len(used))
     for a in range(0, width, step):
         lo, hi = np.searchsorted(column, [a, a + step])
         dense = np.zeros((len(used), min(step, width - a)), np.float32)
         dense[row[lo:hi], column[lo:hi] - a] = 1
-        product += dense @ dense.T  # whole numbers below 2 ** 24
-    at = np.searchsorted(used, left), np.searchsorted(used, right)
-    return np.rint(product[at]).astype(np.int64)
+        product += dense[rows] @ dense[others].T  # whole numbers below 2 ** 24
+    return np.rint(product[at_left, at_right]).astype(np.int64)
 
 
 def _both(a: np.ndarray, b: np.ndarray) -> int:
@@ -194,25 +208,26 @@ def _both(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def linked(sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, right: np.ndarray | None, only: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of linked pairs: within ``left``, or between ``left`` and ``right``."""
-    if right is None:
-        i, j = np.nonzero(np.triu(shared_bands(bands[left], bands[left], only), 1))
-        i, j = left[i], left[j]
-    else:
-        i, j = np.nonzero(shared_bands(bands[left], bands[right], only))
-        i, j = left[i], right[j]
+def linked(sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, right: np.ndarray | None, only: int | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indices of linked pairs, within ``left`` or between ``left`` and ``right``, some rows of ``left`` at a time."""
     size = np.array([len(s) for s in sets], np.int64)
-    fit = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9  # smaller ones cannot reach it
-    i, j = i[fit], j[fit]
-    both = common_grams(sets, i, j)
-    good = both >= threshold * (size[i] + size[j] - both) - 1e-9
-    return i[good], j[good]
-
-
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least index that links lead to."""
-    root = np.arange(n)
+    other = left if right is None else right
+    for a in range(0, len(left), PAIR_ROWS):
+        rows = left[a : a + PAIR_ROWS]
+        shared = shared_bands(bands[rows], bands[other], only)
+        if right is None:
+            shared &= rows[:, None] < other[None, :]
+        i, j = np.nonzero(shared)
+        i, j = rows[i], other[j]
+        fit = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9  # smaller ones cannot reach it
+        i, j = i[fit], j[fit]
+        both = common_grams(sets, i, j)
+        good = both >= threshold * (size[i] + size[j] - both) - 1e-9
+        yield i[good], j[good]
+
+
+def _roots(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least index that links lead to, given that of the links before."""
     while len(i):
         low = np.minimum(root[i], root[j])
         before = root.copy()
@@ -238,12 +253,13 @@ def _verifier(threshold: float):
         block = table.column("block").to_numpy()
         weight = table.column("size").to_numpy()
         left = np.flatnonzero(block == i)
-        a, b = linked(sets, bands, left, None if i == j else np.flatnonzero(block == j), None if band < 0 else band, threshold)
-        links = np.zeros(table.num_rows, np.int64)
-        np.add.at(links, a, weight[b])
-        np.add.at(links, b, weight[a])
+        links, root = np.zeros(table.num_rows, np.int64), np.arange(table.num_rows)
+        for a, b in linked(sets, bands, left, None if i == j else np.flatnonzero(block == j), None if band < 0 else band, threshold):
+            np.add.at(links, a, weight[b])
+            np.add.at(links, b, weight[a])
+            root = _roots(root, a, b)
         rows = np.flatnonzero(links)
-        root = _roots(table.num_rows, a, b)[rows]
+        root = root[rows]
         classes = table.column("class")
         return pa.table([classes.take(pa.array(rows)), pa.array(links[rows]), classes.take(pa.array(root))], names=_FOUND.names)
 
@@ -258,6 +274,7 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     similarity of at least ``threshold``; keep: the (id, hash) that stands for
     the group.
     """
+    bound_batches(docs.sparkSession)
     bands, rows = plan_bands(threshold, recall)
     filled = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(doc_id).alias("_doc"), F.xxhash64(filled).alias("_hash"), filled.alias("_text"))
