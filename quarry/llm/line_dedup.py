@@ -26,8 +26,8 @@ from .common import lower_ascii
 
 #: Stripped at both ends of a line.
 BLANKS = " \t\n\x0b\f\r"
-#: Ranges that the rows of one line's hash can be dealt to.
-SALTS = 32
+#: Parts that the rows of one line's hash are dealt to, where they are counted and where they meet their count.
+SALTS, JOIN_SALTS = 32, 8
 
 
 def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -35,6 +35,10 @@ def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
 
 
+def _salt(parts: int) -> Column:
+    return F.pmod(F.xxhash64("_doc", "_hash"), F.lit(parts)).cast("int")
+
+
 def line_hashes(text: Column) -> Column:
     """For each line its key's MD5, or null for an empty key."""
     key = lambda line: F.btrim(line, F.lit(BLANKS))
@@ -44,7 +48,7 @@ def line_hashes(text: Column) -> Column:
 def frequent_lines(docs: DataFrame, min_docs: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """line_hash, n_docs, first_doc, first_hash, first_pos of every key that at least ``min_docs`` documents hold."""
     lines = _lines(docs, doc_id, text)
-    dealt = lines.withColumn("_salt", F.pmod(F.xxhash64("_doc", "_hash"), F.lit(SALTS)).cast("int")).repartitionByRange("line_hash", "_salt")
+    dealt = lines.withColumn("_salt", _salt(SALTS)).repartitionByRange("line_hash", "_salt")
     order = Window.partitionBy("line_hash", "_salt").orderBy("_doc", "_hash", "_pos")
     same = F.lag("_doc").over(order).eqNullSafe(F.col("_doc")) & F.lag("_hash").over(order).eqNullSafe(F.col("_hash"))
     streamed = dealt.select("line_hash", "_salt", "_doc", "_hash", "_pos", F.row_number().over(order).alias("_row"), same.alias("_same"))
@@ -65,7 +69,8 @@ def drop_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False,
     ``keep_first``: a repeated key's first occurrence stays, else none does.
     """
     frequent = frequent_lines(docs, min_docs, doc_id, text)
-    hit = _lines(docs, doc_id, text).join(frequent, "line_hash")
+    spread = frequent.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))  # against each stand min_docs rows or more
+    hit = _lines(docs, doc_id, text).withColumn("_salt", _salt(JOIN_SALTS)).join(spread, ["line_hash", "_salt"])
     if keep_first:
         hit = hit.where(~(F.col("first_doc").eqNullSafe(F.col("_doc")) & F.col("first_hash").eqNullSafe(F.col("_hash")) & (F.col("first_pos") == F.col("_pos"))))
     at = hit.groupBy("_doc", "_hash").agg(F.array_sort(F.collect_set("_pos")).alias("at"))
