@@ -41,7 +41,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
-    coded = bpe.encode(docs, path, [c for c in docs.columns if c != "text"])
+    coded = materialise(bpe.encode(docs, path, [c for c in docs.columns if c != "text"]), "ids")
     return coded.withColumn("decoded_sha256", F.sha2(bpe.decoder(spark, path)("ids"), 256))
 
 
