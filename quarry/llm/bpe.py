@@ -1,20 +1,22 @@
 """Byte-level BPE encoding and decoding by one global shuffle of distinct words.
 
-1. Each block of documents (some MB of text) is split into pre-tokens with their
+1. Each block of documents (8 MB of text) is split into pre-tokens with their
    positions, by vectorised character classes that give the matches of
    ``public_tokenizers.PATTERN``, and these are coded by the block's dictionary of
    distinct words.  The blocks' position codes and dictionaries are written once
    to the shared folder.
-2. The dictionaries are exploded into words and shuffled by a hash of the word, as
-   packed lists of one block's words for one bucket: equal words of all blocks
-   meet.  Each distinct word is encoded once, by ranks, and its ids join back to
-   the blocks that sent it.
+2. The dictionaries are sorted, and exploded into words that are shuffled by range:
+   one block's words between two splitters make a front-coded list, and equal words
+   of all blocks meet in one bucket.  Each distinct word is encoded once, by ranks,
+   and its ids join back to the blocks that sent it, in the order of the words.
 3. A block's ids and its position codes meet by block and are reassembled by
    position.
 
-No step holds more than a bucket or a block: buckets are counted so that one
-takes about ``BUCKET_WORDS`` words, and a word is at most once in each block, so
+No step holds more than a bucket or a block: there are as many buckets as leave
+about ``BUCKET_WORDS`` words to each, and a word is at most once in each block, so
 a frequent word adds no more to its bucket than a rare one in as many blocks.
+Splitters come from evenly spaced words of at most ``SAMPLE_BLOCKS`` blocks; they
+set the buckets' sizes and nothing else.
 
 Decoding looks every id up in the token-byte table, which has as many rows as the
 vocabulary.
@@ -39,10 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, pieces
+from .common import bound_batches, materialise, pieces
 
 #: Bytes of text in a block, and words that a bucket should take.
-BLOCK_BYTES, BUCKET_WORDS = 4 << 20, 400_000
+BLOCK_BYTES, BUCKET_WORDS = 8 << 20, 200_000
+#: Bytes of text that are split together.
+PIECE_BYTES = 1 << 20
+#: Blocks whose words set the splitters, and such words of each.
+SAMPLE_BLOCKS, SAMPLE_WORDS = 2_000, 256
 #: Stands after each text; no code point.
 END = 0x110000
 
@@ -73,7 +79,7 @@ def classes() -> np.ndarray:
 
 def pretokens(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The texts' UTF-8 bytes one after another, byte offsets of all pre-tokens (and the end), and each text's number of pre-tokens."""
-    joined = b"".join(t.encode("utf-32-le", "surrogatepass") + b"\x00\x00\x11\x00" for t in texts)
+    joined = b"".join(x for t in texts for x in (t.encode("utf-32-le", "surrogatepass"), b"\x00\x00\x11\x00"))
     cp = np.frombuffer(joined, np.uint32)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     stops = np.cumsum(lengths + 1) - 1
@@ -101,13 +107,15 @@ def pretokens(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
             start[q + 1 : q + s] = False
             if q + s < n and kind[q + s] != STOP:
                 start[q + s] = True
-    width = (1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)) * (kind != STOP)
-    offset = np.cumsum(width) - width
     start &= kind != STOP
     at = np.flatnonzero(start)
     counts = np.diff(np.concatenate([[0], np.searchsorted(at, stops)]))
+    width = ((cp >= 0x80).view(np.uint8) + (cp >= 0x800).view(np.uint8) + (cp >= 0x10000).view(np.uint8) + np.uint8(1)) * (kind != STOP).view(np.uint8)  # bytes of each character
+    del joined, cp, kind, start
+    ends = np.cumsum(width, dtype=np.int64 if len(width) > 1 << 28 else np.int32)
+    offsets = np.concatenate([[0], ends])[at].astype(np.int64)
     data = b"".join(t.encode("utf-8", "surrogatepass") for t in texts)
-    return data, np.append(offset[at], len(data)), counts
+    return data, np.append(offsets, len(data)), counts
 
 
 # ---------------------------------------------------------------- words to ids
@@ -132,89 +140,132 @@ def coder(ranks: dict[bytes, int], name: str):
     return _CODERS[name]
 
 
-def _pack(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
-
-
-def _unpack(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
-def _words_blob(words: pa.Array) -> bytes:
-    """Lengths and bytes of binary values, packed."""
-    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.uint32)
-    body = b"".join(words.to_pylist())
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(lengths)) + lengths.tobytes() + body)
-
-
-def _blob_words(blob: bytes) -> pa.Array:
+def _pack(*values: np.ndarray) -> bytes:
+    """Arrays of unsigned 32-bit numbers, packed by byte planes: all low bytes first."""
+    raw = [struct.pack("<I", len(v)) + v.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for v in values]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(raw))
+
+
+def _unpack(data: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(data), 0, []
+    while at < len(raw):
+        (n,) = struct.unpack_from("<I", raw, at)
+        out.append(np.frombuffer(raw, np.uint8, 4 * n, at + 4).reshape(4, n).T.copy().view("<u4").ravel())
+        at += 4 + 4 * n
+    return out
+
+
+def front_code(words: list[bytes]) -> bytes:
+    """Sorted words, each as the length of what it shares with the one before (255 at most) and the rest, packed."""
+    data = np.frombuffer(b"".join(words), np.uint8)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    start = np.cumsum(size) - size
+    shared = np.zeros(len(words), np.int64)
+    most = np.minimum(size[1:], size[:-1])
+    alive = np.flatnonzero(most > 0)
+    for k in range(255):
+        if not len(alive):
+            break
+        alive = alive[data[start[alive] + k] == data[start[alive + 1] + k]]
+        shared[alive + 1] = k + 1
+        alive = alive[most[alive] > k + 1]
+    rest = data[np.arange(len(data)) - np.repeat(start, size) >= np.repeat(shared, size)]
+    lengths = (size - shared).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(words)) + shared.astype(np.uint8).tobytes() + lengths + rest.tobytes())
+
+
+def front_decode(blob: bytes) -> list[bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     (n,) = struct.unpack_from("<I", raw)
-    offsets = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64)])
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[4 + 4 * n :])])
-
-
-def _buckets(words: pa.Array, n: int) -> np.ndarray:
-    """A hash of each word, from 0 to n - 1, from its first and last 8 bytes and its length."""
-    size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.uint64)
-    offsets = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8)
-    data = np.concatenate([np.frombuffer(words.buffers()[2] or b"", np.uint8), np.zeros(8, np.uint8)])
-    grams = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
-    mask = np.where(size >= 8, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (np.minimum(size, 7) * np.uint64(8))) - np.uint64(1))
-    h = (grams[np.minimum(offsets[:-1], len(grams) - 1)] & mask) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29)) ^ (grams[np.clip(offsets[1:] - 8, offsets[:-1], len(grams) - 1)] & mask)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(32)) ^ size) * np.uint64(0x94D049BB133111EB)
-    return ((h >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
+    shared = raw[4 : 4 + n]
+    lengths = np.frombuffer(raw, np.uint8, 4 * n, 4 + n).reshape(4, n).T.copy().view("<u4").ravel().tolist()
+    at, word, out = 4 + 5 * n, b"", []
+    for k, size in zip(shared, lengths, strict=True):
+        word = word[:k] + raw[at : at + size]
+        at += size
+        out.append(word)
+    return out
 
 
 # ---------------------------------------------------------------- encoding
 
-_BLOCKS = T.StructType([T.StructField("block", T.LongType()), T.StructField("docs", T.LongType()), T.StructField("words", T.LongType()), T.StructField("dictionary", T.BinaryType()), T.StructField("positions", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("keys", T.BinaryType())])
+_BLOCKS = T.StructType([T.StructField("block", T.LongType()), T.StructField("words", T.LongType()), T.StructField("samples", T.ArrayType(T.BinaryType())), T.StructField("dictionary", T.BinaryType()), T.StructField("positions", T.BinaryType()), T.StructField("keys", T.BinaryType())])
+
+
+def code_positions(codes: np.ndarray, place: np.ndarray) -> bytes:
+    """Pack ``place[codes]``, the sorted places of a block's words by position.
+
+    Words that come once are marked in a bit plane, since their order says which
+    is which; others are numbered by falling frequency.  Both lists of places go
+    along.
+    """
+    count = np.bincount(codes, minlength=len(place))
+    once = count[codes] == 1
+    order = np.argsort(-count, kind="stable")[: int((count > 1).sum())]
+    number = np.zeros(len(place), np.int64)
+    number[order] = np.arange(len(order))
+    marks = np.packbits(np.concatenate([once, np.zeros(-len(once) % 32, bool)])).view("<u4")
+    return _pack(np.array([len(codes)]), marks, number[codes[~once]], place[order], place[codes[once]])
+
+
+def read_positions(blob: bytes) -> np.ndarray:
+    (n,), marks, numbered, often, single = _unpack(blob)
+    once = np.unpackbits(np.ascontiguousarray(marks).view(np.uint8), count=int(n)).astype(bool) if n else np.zeros(0, bool)
+    out = np.empty(int(n), np.int64)
+    out[once], out[~once] = single, often[numbered]
+    return out
+
+
+def _block(number: int, words: list[pa.Array], counts: list[np.ndarray], keys: list[pa.RecordBatch]) -> pa.RecordBatch:
+    coded = pa.chunked_array(words, pa.large_binary()).combine_chunks().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy().astype(np.int64)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    listed = coded.dictionary.take(pa.array(order)).to_pylist()
+    rows = pa.Table.from_batches(keys).append_column("_count", pa.array(np.concatenate(counts), pa.int64()))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_table(rows)
+    samples = [w[:64] for w in listed[SAMPLE_WORDS // 2 :: max(1, len(listed) // SAMPLE_WORDS)]] if len(listed) > SAMPLE_WORDS else listed
+    row = [number, len(listed), samples, front_code(listed), code_positions(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), place), zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=_BLOCKS.names)
 
 
 def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each block: its dictionary, its documents' keys (an Arrow stream), numbers of pre-tokens, and codes by position."""
+    """A row for each block: its sorted dictionary, evenly spaced words of it, its positions, and its rows' keys and numbers of pre-tokens as an Arrow stream."""
     from pyspark import TaskContext
 
     context = TaskContext.get()
-    block = (context.partitionId() if context else 0) << 32
-    for batch in pieces(batches, "_text", BLOCK_BYTES):
-        texts = [t or "" for t in batch.column("_text").to_pylist()]
-        data, offsets, counts = pretokens(texts)
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data)])
-        coded = words.dictionary_encode()
-        codes, dictionary = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
-        # Frequent words get small codes: they pack better.
-        order = np.argsort(-np.bincount(codes, minlength=len(dictionary)), kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        codes = place[codes].astype(np.uint32)
-        planes = codes.view(np.uint8).reshape(-1, 4).T.copy()  # low bytes first, then the next
-        keys = batch.select([c for c in batch.schema.names if c != "_text"])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, keys.schema) as writer:
-            writer.write_batch(keys)
-        row = [block, len(texts), len(dictionary), _words_blob(dictionary.take(pa.array(order))), _pack(planes), _pack(counts.astype(np.uint32)), zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())]
-        block += 1
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int64()] * 3 + [pa.binary()] * 4, strict=True)], names=_BLOCKS.names)
-
-
-def _dealer(buckets: int):
+    number = (context.partitionId() if context else 0) << 32
+    words, counts, keys, size = [], [], [], 0
+    for batch in pieces(batches, "_text", PIECE_BYTES):
+        data, offsets, own = pretokens([t or "" for t in batch.column("_text").to_pylist()])
+        words.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data)]))
+        counts.append(own)
+        keys.append(batch.select([c for c in batch.schema.names if c != "_text"]))
+        size += len(data)
+        if size >= BLOCK_BYTES:
+            yield _block(number, words, counts, keys)
+            words, counts, keys, size = [], [], [], 0
+            number += 1
+    if keys:
+        yield _block(number, words, counts, keys)
+
+
+def _dealer(splitters):
+    """``splitters``: a broadcast of the sorted first words of all buckets but the first."""
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block's words, packed by bucket."""
+        from bisect import bisect_left
+
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("dictionary"), strict=True):
-                words = _blob_words(blob.as_py())
-                if not len(words):
-                    continue
-                bucket = _buckets(words, buckets)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-                parts = np.split(order, cuts)
-                sorted_words = words.take(pa.array(order))
-                starts = np.concatenate([[0], cuts])
-                blobs = [_words_blob(sorted_words.slice(int(s), len(p))) for s, p in zip(starts, parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block", "blob"])
+                words = front_decode(blob.as_py())
+                cuts = [0, *[bisect_left(words, s) for s in splitters.value], len(words)]
+                parts = [(i, words[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([front_code(w) for _, w in parts], pa.binary())], names=["bucket", "block", "blob"])
 
     return deal
 
@@ -226,8 +277,8 @@ def _encoder(ranks):
         """One bucket: every distinct word once, and each block's ids in the order of its words."""
         name, known = ranks.value
         single = coder(known, name)._encode_single_piece
-        lists = [_blob_words(b.as_py()) for b in table.column("blob")]
-        coded = pa.chunked_array(lists).combine_chunks().dictionary_encode()
+        lists = [front_decode(b.as_py()) for b in table.column("blob")]
+        coded = pa.chunked_array([pa.array(words, pa.large_binary()) for words in lists]).combine_chunks().dictionary_encode()
         found = [[known[w]] if w in known else single(w) for w in coded.dictionary.to_pylist()]
         size = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for f in found for i in f), np.uint32, int(size.sum()))
@@ -237,7 +288,7 @@ def _encoder(ranks):
         for words in lists:
             own = codes[at : at + len(words)]
             at += len(words)
-            out.append(_pack(np.concatenate([[len(own)], size[own], _spread(flat, starts[own], size[own])]).astype(np.uint32)))
+            out.append(_pack(size[own], _spread(flat, starts[own], size[own])))
         return pa.table([table.column("block"), pa.chunked_array([[key[0].as_py()] * len(out)], pa.int32()), pa.chunked_array([out], pa.binary())], names=["block", "bucket", "blob"])
 
     return encode
@@ -250,29 +301,24 @@ def _spread(flat: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarra
     return flat[np.arange(total) + np.repeat(starts - (ends - size), size)]
 
 
-def _assembler(buckets: int, keys: pa.Schema):
+def _assembler(keys: pa.Schema):
     def assemble(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """One block: ids of its dictionary, spread by position and cut by document."""
+        """One block: ids of its sorted words, spread by position and cut by row."""
         bucket = table.column("bucket").to_pylist()
         home = bucket.index(None)
-        get = lambda c: table.column(c)[home].as_py()
-        words = _blob_words(get("dictionary"))
-        place = np.argsort(_buckets(words, buckets), kind="stable") if len(words) else np.zeros(0, np.int64)
         parts = sorted((b, i) for i, b in enumerate(bucket) if b is not None)
-        unpacked = [_unpack(table.column("blob")[i].as_py(), "<u4").astype(np.int64) for _, i in parts]
-        sizes = np.concatenate([u[1 : 1 + u[0]] for u in unpacked]) if unpacked else np.zeros(0, np.int64)
-        flat = np.concatenate([u[1 + u[0] :] for u in unpacked]) if unpacked else np.zeros(0, np.int64)
-        size, start = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
-        size[place], start[place] = sizes, np.cumsum(sizes) - sizes
-        planes = _unpack(get("positions"), "<u1")
-        codes = planes.reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64) if len(planes) else np.zeros(0, np.int64)
-        ids = _spread(flat, start[codes], size[codes]).astype("<u4")
-        counts = _unpack(get("counts"), "<u4").astype(np.int64)
-        edges = np.concatenate([[0], np.cumsum(size[codes])])[np.concatenate([[0], np.cumsum(counts)])]
-        with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(get("keys"))) as stream:
-            rows = stream.read_all().cast(keys)
+        unpacked = [_unpack(table.column("blob")[i].as_py()) for _, i in parts]
+        size = np.concatenate([np.zeros(0, np.int64), *[u[0].astype(np.int64) for u in unpacked]])
+        flat = np.concatenate([np.zeros(0, np.uint32), *[u[1] for u in unpacked]])
+        places = read_positions(table.column("positions")[home].as_py())
+        own = size[places]
+        ids = _spread(flat, (np.cumsum(size) - size)[places], own).astype("<u4")
+        with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(table.column("keys")[home].as_py())) as stream:
+            rows = stream.read_all()
+        counts = rows.column("_count").to_numpy()
+        edges = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(counts)])]
         packed = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((edges * 4).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
-        return rows.append_column("n_tokens", pa.array(np.diff(edges), pa.int64())).append_column("ids", packed)
+        return rows.drop_columns("_count").cast(keys).append_column("n_tokens", pa.array(np.diff(edges), pa.int64())).append_column("ids", packed)
 
     return assemble
 
@@ -282,19 +328,22 @@ def encode(docs: DataFrame, path: str, keys: list[str], text: str = "text", bloc
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(*keys, F.col(text).alias("_text"))
     out = T.StructType([*docs.select(*keys).schema.fields]).add("n_tokens", T.LongType()).add("ids", T.BinaryType())
     key_schema = to_arrow_schema(T.StructType(list(docs.select(*keys).schema.fields)))
     blocks = materialise(rows.mapInArrow(_to_blocks, _BLOCKS), "bpe-blocks")
     total = blocks.agg(F.sum("words")).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_WORDS))
+    sample = sorted(w for r in blocks.select("samples").orderBy(F.xxhash64("block")).limit(SAMPLE_BLOCKS).collect() for w in map(bytes, r[0]))
+    splitters = sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)}) if sample else []
     ranks = spark.sparkContext.broadcast((path, read_ranks(path)))
-    words = blocks.select("block", "dictionary").mapInArrow(_dealer(buckets), "bucket int, block long, blob binary")
+    words = blocks.select("block", "dictionary").mapInArrow(_dealer(spark.sparkContext.broadcast(splitters)), "bucket int, block long, blob binary")
     ids = words.groupBy("bucket").applyInArrow(_encoder(ranks), "block long, bucket int, blob binary")
     none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
-    homes = blocks.select("block", F.lit(None).cast("int").alias("bucket"), *none("blob"), "dictionary", "positions", "counts", "keys")
-    both = homes.unionByName(ids.select("block", "bucket", "blob", *none("dictionary", "positions", "counts", "keys")))
-    return both.groupBy("block").applyInArrow(_assembler(buckets, key_schema), out)
+    homes = blocks.select("block", F.lit(None).cast("int").alias("bucket"), *none("blob"), "positions", "keys")
+    both = homes.unionByName(ids.select("block", "bucket", "blob", *none("positions", "keys")))
+    return both.groupBy("block").applyInArrow(_assembler(key_schema), out)
 
 
 # ---------------------------------------------------------------- decoding

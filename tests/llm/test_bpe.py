@@ -49,7 +49,7 @@ def test_encoding_whole_texts(spark, sf, coder, monkeypatch, block, bucket):
     real = bpe._to_blocks
 
     def small(batches):
-        bpe.BLOCK_BYTES = block
+        bpe.BLOCK_BYTES, bpe.PIECE_BYTES = block, min(block, 1 << 20)
         return real(batches)
 
     monkeypatch.setattr(bpe, "_to_blocks", small)
