@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -34,6 +35,13 @@ def docs(spark, sf):
     return spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet").select("doc_id", "text")
 
 
+def bound_batches(spark):
+    """Bound this session's Arrow batches to 4 MB of text: its glyphs take twenty bytes for each character."""
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+    if int(re.sub(r"[^0-9]", "", spark.conf.get(key)) or 0) > most:
+        spark.conf.set(key, str(most))
+
+
 @query("""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS page FROM documents)
 SELECT doc_id, page::INTEGER AS page_number, octet_length(encode(line))::BIGINT AS text_length, CASE WHEN line <> '' THEN sha256(line) END AS text_sha256, 'C8' AS variant FROM l""")
@@ -68,7 +76,8 @@ def inflate_boundaries(spark, sf):
 WITH c AS (SELECT doc_id, least(length(text), 1000) AS n, list_transform(string_split(text, '')[1:1000], lambda x: unicode(x)) AS p FROM documents)
 SELECT doc_id, 'TERMINATOR' AS status, n::INTEGER AS n_glyphs, list_sum(p)::BIGINT AS code_sum, (n + 3)::INTEGER AS records FROM c""")
 def glyph_records(spark, sf):
-    read = docs(spark, sf).select("doc_id", R.glyph_stream(G.glyph_stream_of("text")).alias("s"))
+    bound_batches(spark)
+    read = docs(spark, sf).select("doc_id", R.glyph_stream_to(R.LONGEST)(G.glyph_stream_of("text")).alias("s"))
     return read.select("doc_id", "s.status", F.size("s.glyphs").alias("n_glyphs"), F.aggregate("s.glyphs", F.lit(0).cast("long"), lambda a, g: a + g["code"]).alias("code_sum"), "s.records")
 
 

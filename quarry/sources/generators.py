@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,5 +42,5 @@ def _udf(f):
 container_of_lines = _udf(lambda text: container([line.encode() for line in text.split("\n")]))
 masked_text = _udf(lambda text: masked(text.encode()))
 deflated_text = _udf(lambda text: zlib.compress(text.encode(), 1))
-#: The first 1000 characters' code points as glyph codes.
-glyph_stream_of = _udf(lambda text: write_stream([ord(c) for c in text[:1000]]))
+#: The text's code points as glyph codes.
+glyph_stream_of = _udf(lambda text: write_stream(np.frombuffer(text.encode("utf-32-le"), "<u4")))

@@ -8,6 +8,8 @@ terminator or outside the grammar.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from pyspark.sql.pandas.types import from_arrow_type
 POSITION, STYLE, END, NEUTRAL, CONTROLS = 0x8001, 0x8002, 0x8004, 0x801D, 0x8000
 
 GLYPH = pa.struct([("offset", pa.int32()), ("x", pa.int32()), ("y", pa.int32()), ("style", pa.int32()), ("code", pa.int32())])
+#: No stream is longer: offsets, and the length of a binary value, have 31 bits.
+LONGEST = (1 << 29) - 1
 STREAM = pa.struct([("status", pa.string()), ("offset", pa.int32()), ("records", pa.int32()), ("glyphs", pa.list_(GLYPH))])
 
 
@@ -26,8 +30,8 @@ def _carried(mask: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(at >= 0, values[np.maximum(at, 0)] if len(values) else 0, -1)
 
 
-def read_stream(data: bytes, most: int = 65_536) -> dict:
-    """status (TERMINATOR, LIMIT, MALFORMED or UNSUPPORTED), the offset where reading stopped, records read and glyphs."""
+def _read(data: bytes, most: int) -> tuple[str, int, list[np.ndarray]]:
+    """status, the record where reading stopped, and the columns of GLYPH."""
     words = np.frombuffer(data, "<u2", len(data) // 4 * 2).reshape(-1, 2).astype(np.int64)
     tag, payload = words[:, 0], words[:, 1]
     y, style = _carried(tag == POSITION, payload), _carried(tag == STYLE, payload)
@@ -39,16 +43,42 @@ def read_stream(data: bytes, most: int = 65_536) -> dict:
     if at >= most:
         status, at = "LIMIT", most
     seen = glyph[:at].nonzero()[0]
-    rows = [{"offset": int(4 * i), "x": int(tag[i]), "y": int(y[i]), "style": int(style[i]), "code": int(payload[i])} for i in seen]
-    return {"status": status, "offset": 4 * at, "records": at + (status in ("TERMINATOR", "UNSUPPORTED")), "glyphs": rows}
+    return status, at, [c.astype(np.int32) for c in (4 * seen, tag[seen], y[seen], style[seen], payload[seen])]
+
+
+def _records(status: str, at: int) -> int:
+    return at + (status in ("TERMINATOR", "UNSUPPORTED"))
+
+
+def read_stream(data: bytes, most: int = 65_536) -> dict:
+    """status (TERMINATOR, LIMIT, MALFORMED or UNSUPPORTED), the offset where reading stopped, records read and glyphs."""
+    status, at, columns = _read(data, most)
+    rows = [dict(zip(GLYPH.names, values, strict=True)) for values in zip(*(c.tolist() for c in columns), strict=True)]
+    return {"status": status, "offset": 4 * at, "records": _records(status, at), "glyphs": rows}
+
+
+def glyph_stream_to(most: int):
+    """A function of a stream that reads up to ``most`` records."""
+
+    @F.arrow_udf(from_arrow_type(STREAM))
+    def read(data: pa.Array) -> pa.Array:
+        found = [_read(d.as_py(), most) if d.is_valid else None for d in data]
+        ends = np.cumsum([0, *(len(f[2][0]) if f else 0 for f in found)])
+        columns = [pa.array(np.concatenate([np.zeros(0, np.int32), *(f[2][k] for f in found if f)])) for k in range(len(GLYPH.names))]
+        glyphs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(GLYPH)))
+        heads = [pa.array([f and f[0] for f in found], pa.string()), pa.array([f and 4 * f[1] for f in found], pa.int32()), pa.array([f and _records(f[0], f[1]) for f in found], pa.int32())]
+        return pa.StructArray.from_arrays([*heads, glyphs], fields=list(STREAM), mask=pa.array([f is None for f in found], pa.bool_()))
+
+    return read
 
 
-@F.arrow_udf(from_arrow_type(STREAM))
-def glyph_stream(data: pa.Array) -> pa.Array:
-    return pa.array([None if not d.is_valid else read_stream(d.as_py()) for d in data], STREAM)
+glyph_stream = glyph_stream_to(65_536)
 
 
-def write_stream(codes: list[int], y: int = 100, style: int = 0x0421) -> bytes:
+def write_stream(codes: Sequence[int], y: int = 100, style: int = 0x0421) -> bytes:
     """A stream of glyphs on one line, as a control."""
-    body = [(POSITION, y), (STYLE, style), *[(i % CONTROLS, c & 0xFFFF) for i, c in enumerate(codes)], (END, 0)]
-    return np.array(body, "<u2").tobytes()
+    codes = np.asarray(codes, np.int64)
+    body = np.empty((len(codes) + 3, 2), "<u2")
+    body[0], body[1], body[-1] = (POSITION, y), (STYLE, style), (END, 0)
+    body[2:-1, 0], body[2:-1, 1] = np.arange(len(codes)) % CONTROLS, codes & 0xFFFF
+    return body.tobytes()
