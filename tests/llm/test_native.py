@@ -185,3 +185,24 @@ def test_licence_model_on_fresh_rows():
     assert model.predict("The quick brown fox")[0] == licences.UNKNOWN and model.predict("driver license renewed")[0] == licences.UNKNOWN
     digest = hashlib.sha256(repr(sorted(model.weights)).encode()).hexdigest()
     assert digest == hashlib.sha256(repr(sorted(licences.train(["So it was and so it is, they said, over and over again"] * 3).weights)).encode()).hexdigest()
+
+
+WRAPPED = {
+    "GPL": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "LGPL": "This library is free software; you can\nredistribute it and/or modify it under\nthe terms of the GNU Lesser General\nPublic License as published by the Free\nSoftware Foundation.",
+    "MIT": "Permission is hereby granted, free of\ncharge, to any person obtaining a copy\nof this software and associated\ndocumentation files, to deal in the\nSoftware without restriction.",
+    "BSD": "Redistribution and use in source and\nbinary forms, with or without\nmodification, are permitted provided\nthat the following conditions\nare met:",
+}
+
+
+def test_wrapped_notices_are_found(spark):
+    model = licences.train(["The weather was fine. It rained.", "A day by the sea with friends"])
+    marks = {"plain": ("", "", ""), "hash": ("#\n", "# ", "\n#"), "block": ("/*\n", " * ", "\n */"), "slashes": ("//\n", "// ", "\n//"), "m4": ("dnl\n", "dnl ", "\ndnl")}
+    rows = [(f, m, head + "\n".join(mark + line for line in notice.split("\n")) + tail + "\n\nx = 1\ny = 2") for f, notice in WRAPPED.items() for m, (head, mark, tail) in marks.items()]
+    both = WRAPPED["GPL"] + "\n *\n" + WRAPPED["MIT"] + "\n\nReleased under the MIT License."
+    rows += [("GPL,MIT", "two", both), ("", "prose", "The driver showed a license\nto the officer of the\npublic library."), ("", "null", None), ("", "empty", "\n\n\n")]
+    out = licences.scan(spark.createDataFrame(rows, "want string, mark string, text string"), model)
+    assert python_free(out)
+    got = out.select("row.want", "row.mark", *licences.summary(out)).collect()
+    assert len(got) == len(rows) and all(r["licences"] == r["want"] for r in got), got
+    assert {r["n_licensed"] for r in got if "," not in r["want"] and r["want"]} == {1} and next(r["n_licensed"] for r in got if r["mark"] == "two") == 3
