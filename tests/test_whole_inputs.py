@@ -13,3 +13,10 @@ def test_glyph_records_have_no_limit(spark, tmp_path):
     spark.createDataFrame([(1, "ab" * 70_000), (2, ""), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["status"], r["n_glyphs"], r["code_sum"], r["records"]) for r in catalog.QUERIES["glyph_records"](spark, str(tmp_path)).collect()}
     assert got[1] == ("TERMINATOR", 140_000, 70_000 * (97 + 98), 140_003) and got[2][:2] == ("TERMINATOR", 0) and got[3][0] is None
+
+
+def test_union_conflicts_of_all_orders_and_customers(spark, duck, sf):
+    whole = """
+WITH k AS (SELECT o_custkey AS k, o_orderstatus AS v FROM orders UNION ALL SELECT o_custkey, o_orderstatus FROM orders UNION ALL SELECT c_custkey, 'O' FROM customer)
+SELECT k, count(DISTINCT v)::BIGINT AS n_values FROM k GROUP BY k HAVING count(DISTINCT v) > 1"""
+    assert rows_of(catalog.QUERIES["oracle_union_conflicts"](spark, sf)) == rows_of_sql(duck, whole)
