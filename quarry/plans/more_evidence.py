@@ -143,12 +143,14 @@ def declared_counts(spark, sf):
 WITH m AS (SELECT doc_id, text, doc_id % least(length(text), 20) AS pos FROM documents WHERE length(text) > 5 AND lang = 'en' AND regexp_full_match(text[1:20], '[A-Za-z .,]*'))
 SELECT doc_id, pos::INTEGER AS changed_at, 1 AS n_changed FROM m""")
 def one_byte_mutations(spark, sf):
-    """One byte of each text's start is changed; the proof is the list of positions that differ."""
-    docs = table(spark, sf, "documents").where((F.length("text") > 5) & (F.col("lang") == "en") & F.substring("text", 1, 20).rlike("^[A-Za-z .,]*\\z"))
-    head = F.encode(F.substring("text", 1, 20), "UTF-8")
-    cut = docs.select("doc_id", head.alias("a"), (F.col("doc_id") % F.octet_length(head)).cast("int").alias("at"))
-    mutant = F.concat(F.substring("a", F.lit(1), F.col("at")), F.unhex(F.lit("01")), F.substring("a", F.col("at") + 2, F.lit(20)))
-    changed = cut.select("doc_id", S.positions_differing(F.col("a"), mutant).alias("p"))
+    """One byte of each text is changed; the proof is the list of positions that differ."""
+    docs = table(spark, sf, "documents").where("text != ''").select("doc_id", F.encode("text", "UTF-8").alias("a"))
+    at = F.pmod(F.col("doc_id"), F.octet_length("a")).cast("int")
+    one, two = F.unhex(F.lit("01")), F.unhex(F.lit("02"))
+    byte = F.when(F.substring("a", at + 1, F.lit(1)) == one, two).otherwise(one)
+    mutant = F.concat(F.substring("a", F.lit(1), at), byte, F.substring("a", at + 2, F.octet_length("a")))
+    # Both are bound once for each text, not for each of its bytes.
+    changed = docs.select("doc_id", F.get(F.transform(F.array(F.struct("a", mutant.alias("b"))), lambda x: S.positions_differing(x["a"], x["b"])), F.lit(0)).alias("p"))
     return changed.select("doc_id", F.get("p", F.lit(0)).alias("changed_at"), F.size("p").alias("n_changed"))
 
 

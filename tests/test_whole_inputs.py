@@ -20,3 +20,12 @@ def test_union_conflicts_of_all_orders_and_customers(spark, duck, sf):
 WITH k AS (SELECT o_custkey AS k, o_orderstatus AS v FROM orders UNION ALL SELECT o_custkey, o_orderstatus FROM orders UNION ALL SELECT c_custkey, 'O' FROM customer)
 SELECT k, count(DISTINCT v)::BIGINT AS n_values FROM k GROUP BY k HAVING count(DISTINCT v) > 1"""
     assert rows_of(catalog.QUERIES["oracle_union_conflicts"](spark, sf)) == rows_of_sql(duck, whole)
+
+
+def test_one_byte_mutations_of_every_text(spark, duck, sf, tmp_path):
+    whole = "SELECT doc_id, (doc_id % octet_length(encode(text)))::INTEGER AS changed_at, 1 AS n_changed FROM documents WHERE text <> ''"
+    assert rows_of(catalog.QUERIES["one_byte_mutations"](spark, sf)) == rows_of_sql(duck, whole)
+    texts = [(5, "\x01\x01\x01"), (41, "äöü" * 20), (7, "x"), (8, ""), (9, None), (1_999, "日本\n" * 300)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["changed_at"], r["n_changed"]) for r in catalog.QUERIES["one_byte_mutations"](spark, str(tmp_path)).collect()}
+    assert got == {d: (d % len(t.encode()), 1) for d, t in texts if t}
