@@ -50,12 +50,18 @@ def container_pages(spark, sf):
     return C.good_pages(C.read_pages(built)).select(F.col("source").cast("long").alias("doc_id"), "page_number", "text_length", "text_sha256", "variant")
 
 
+def damaged_containers(texts):
+    """Pages and rejects of the texts' containers; those of every tenth document are cut short in their index."""
+    whole = texts.select("doc_id", G.container_of_lines("text").alias("c"))
+    content = F.when(F.col("doc_id") % 10 == 3, F.substring("c", 1, 90)).otherwise(F.col("c"))
+    return C.read_pages(whole.select(F.col("doc_id").cast("string").alias("source"), content.alias("content")))
+
+
 @query("""
 SELECT doc_id, 0 AS page_number, 'truncated' AS fault_kind, 'page index' AS fault_field FROM documents WHERE doc_id % 10 = 3""")
 def container_rejects(spark, sf):
-    """Containers cut short in their index: located rejects, no lost rows."""
-    built = docs(spark, sf).where("doc_id % 10 = 3").select(F.col("doc_id").cast("string").alias("source"), F.substring(G.container_of_lines("text"), 1, 90).alias("content"))
-    return C.rejects(C.read_pages(built)).select(F.col("source").cast("long").alias("doc_id"), "page_number", "fault_kind", "fault_field")
+    """All containers, a tenth of them cut short in their index: located rejects, no lost rows."""
+    return C.rejects(damaged_containers(docs(spark, sf))).select(F.col("source").cast("long").alias("doc_id"), "page_number", "fault_kind", "fault_field")
 
 
 @query("""

@@ -1,6 +1,6 @@
 """Queries that must read all of their input, against rows made of the whole tables."""
 
-from quarry.plans import catalog
+from quarry.plans import catalog, formats
 from tests.compare import rows_of, rows_of_sql
 
 
@@ -29,3 +29,16 @@ def test_one_byte_mutations_of_every_text(spark, duck, sf, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["changed_at"], r["n_changed"]) for r in catalog.QUERIES["one_byte_mutations"](spark, str(tmp_path)).collect()}
     assert got == {d: (d % len(t.encode()), 1) for d, t in texts if t}
+
+
+def test_good_and_damaged_containers_in_one_input(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    found = {}
+    for r in formats.damaged_containers(docs).collect():
+        found.setdefault(int(r["source"]), []).append((r["page_number"], r["fault_kind"]))
+    want = {r["doc_id"]: [(0, "truncated")] if r["doc_id"] % 10 == 3 else [(i + 1, None) for i in range(len(r["text"].split("\n")))] for r in docs.collect()}
+    assert {d: sorted(f) for d, f in found.items()} == want
+    # A container outside the damaged tenth that breaks the reader's limit of pages is reported too.
+    spark.createDataFrame([(2, "\n" * 100_001), (3, "a"), (4, "a\nb")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["fault_kind"] for r in catalog.QUERIES["container_rejects"](spark, str(tmp_path)).collect()}
+    assert got == {2: "limit", 3: "truncated"}
