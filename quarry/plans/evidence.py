@@ -544,7 +544,7 @@ def sibling_backlinks(spark, sf):
 
     w = Window.partitionBy("conv_id").orderBy("turn")
     node = F.col("conv_id") * 1000 + F.col("turn")
-    turns = table(spark, sf, "conversations").where("turn % 5 != 4 OR turn = 4")
+    turns = table(spark, sf, "conversations")
     return TR.backlinks(turns.select(node.alias("node"), F.lag(node).over(w).alias("previous"), F.lead(node).over(w).alias("next")))
 
 

@@ -42,3 +42,9 @@ def test_good_and_damaged_containers_in_one_input(spark, sf, tmp_path):
     spark.createDataFrame([(2, "\n" * 100_001), (3, "a"), (4, "a\nb")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["fault_kind"] for r in catalog.QUERIES["container_rejects"](spark, str(tmp_path)).collect()}
     assert got == {2: "limit", 3: "truncated"}
+
+
+def test_backlinks_of_long_conversations(spark, tmp_path):
+    spark.createDataFrame([(c, t) for c in (1, 2) for t in range(20)], "conv_id long, turn long").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["node"]: r["status"] for r in catalog.QUERIES["sibling_backlinks"](spark, str(tmp_path)).collect()}
+    assert got == {c * 1000 + t: "PASS" for c in (1, 2) for t in range(20)}
