@@ -206,3 +206,21 @@ def test_wrapped_notices_are_found(spark):
     got = out.select("row.want", "row.mark", *licences.summary(out)).collect()
     assert len(got) == len(rows) and all(r["licences"] == r["want"] for r in got), got
     assert {r["n_licensed"] for r in got if "," not in r["want"] and r["want"]} == {1} and next(r["n_licensed"] for r in got if r["mark"] == "two") == 3
+
+
+def test_unknown_is_trained_on_prose_with_cue_words(spark):
+    prose = ["The general public reads the new version of the source", "Rights and permission were in the charge of the author"]
+    far = "so it was and\n" * 1_000 + "\n" + prose[1]
+    texts = [prose[0] + "\nand more of it", far, WRAPPED["GPL"], "Released under the MIT License.\nThe end"]
+    background = licences.background_of(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string"))
+    rows = licences.training_rows(background)
+    unknown = {p for p, c in rows if c == licences.UNKNOWN}
+    lower = lambda p: p.translate(licences._LOWER)
+    assert {lower(prose[0]), lower(prose[0]) + "\nand more of it", lower(prose[1])} <= unknown
+    assert not unknown & {lower(line) for line in WRAPPED["GPL"].split("\n") + ["Released under the MIT License."]}
+    assert {c for p, c in licences.training_rows(["Released under the MIT License.", *prose]) if p in prose} == {licences.UNKNOWN}
+    # Held-out prose of the corpus, in other words than the near misses, is unknown with a higher probability than without it.
+    corpus = [f"{a} general version of the {b} was in the public charge of the city" for a in ("a", "one", "this", "that", "each") for b in ("road", "bridge", "market", "school", "river", "park")]
+    held = "her general version of the story was in the public charge of the city"
+    with_prose, without = licences.train(corpus).predict(held), licences.train(["so it was"]).predict(held)
+    assert with_prose[0] == licences.UNKNOWN and with_prose[1] > (without[1] if without[0] == licences.UNKNOWN else 0)
