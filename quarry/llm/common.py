@@ -57,8 +57,8 @@ def discard(df: DataFrame) -> None:
 
 
 def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case and nothing else."""
-    return F.translate(text, UPPER, LOWER)
+    """A-Z in lower case and nothing else; ``lower`` is the faster way to it where all characters are ASCII."""
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

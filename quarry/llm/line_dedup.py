@@ -2,19 +2,28 @@
 
 A line's key is the line without the white space ``[\\x20\\x09-\\x0D]`` at both
 ends and with A-Z in lower case; its hash is the key's MD5.  Empty keys are
-never dropped.  Key hashes go to range partitions together with a salt drawn
-from the document, so that one line in a third of all documents is spread over
-``SALTS`` ranges; inside a partition rows are sorted by hash, document and
-position, and windows stream over them: a row that starts a new document adds
-one to the key's documents, the first row of all is the first occurrence.  The
-salts of a key are then summed up, which moves at most ``SALTS`` rows a key.
+never dropped.  Every row of the input is a document.
+
+1. One pass splits the texts and writes (hash, document, position) of all lines.
+2. These are dealt by range of (hash, salt) and sorted by hash, document and
+   position.  The salt, of 20 bits, is drawn from the document: ranges can cut
+   one line anywhere, so a line in a third of all documents fills a third of the
+   ranges, while a rarer line's salts are neighbours in one range.  A stream over
+   the sorted rows counts, for each line, the rows that are first in their
+   document, and takes the first of all; sums over salts follow, which the ranges
+   have combined already.
+3. Lines meet their counts: those of at least ``HOT_ROWS`` rows, and more than one
+   in ``HOT_KEYS`` of all, are at most ``HOT_KEYS`` and are broadcast; all others
+   are too rare to be skewed and are joined by shuffle.
+4. A document's dropped positions become runs.
 
 A document's bitmap is run-length coded: ``drop_runs`` holds the first and last
 position of each run of dropped lines; all other lines are kept.
 
 Defined cases: null and empty text are one empty line; rows with equal id and
-equal text count as one document, and each of them gets the same result; a null
-id is an id like others; an empty table gives an empty result.
+equal text are documents of their own and get equal results (with ``keep_first``,
+the first occurrence stays in each of them); a null id is an id like others;
+other columns, of any name, are not touched; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,57 +31,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, materialise
 
 #: Stripped at both ends of a line.
 BLANKS = " \t\n\x0b\f\r"
-#: Parts that the rows of one line's hash are dealt to, where they are counted and where they meet their count.
-SALTS, JOIN_SALTS = 32, 8
+#: Parts that ranges can cut the rows of one line into.
+SALTS = 1 << 20
+#: A line is hot from so many rows on, and from the share of all rows that leaves so many hot lines at most.
+HOT_ROWS, HOT_KEYS = 10_000, 100_000
 
 
-def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """_doc and _text, and _hash: it tells apart texts under one id."""
-    return docs.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
-
-
-def _salt(parts: int) -> Column:
-    return F.pmod(F.xxhash64("_doc", "_hash"), F.lit(parts)).cast("int")
+def _identified(docs: DataFrame, text: str) -> DataFrame:
+    """row, with all columns, _text, and _hash: it tells apart texts under one id."""
+    filled = F.coalesce(F.col("row")[text], F.lit(""))
+    return docs.select(F.struct("*").alias("row")).select("row", filled.alias("_text"), F.xxhash64(filled).alias("_hash"))
 
 
 def line_hashes(text: Column) -> Column:
     """For each line its key's MD5, or null for an empty key."""
-    key = lambda line: F.btrim(line, F.lit(BLANKS))
-    return F.transform(F.split(lower_ascii(text), "\n"), lambda line: F.when(F.length(key(line)) > 0, F.md5(key(line).cast("binary"))))
+    trimmed = F.transform(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(BLANKS)))
+    return F.transform(F.transform(trimmed, lower_ascii), lambda key: F.when(key != "", F.unhex(F.md5(key.cast("binary")))))
+
+
+def lines_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """line_hash, _doc, _hash (of the text) and _pos of every line with a key, written once to the shared folder."""
+    rows = _identified(docs, text).select(F.col("row")[doc_id].alias("_doc"), "_hash", F.posexplode(line_hashes(F.col("_text"))).alias("_pos", "line_hash"))
+    return materialise(rows.where(F.col("line_hash").isNotNull()), "lines")
 
 
-def frequent_lines(docs: DataFrame, min_docs: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """line_hash, n_docs, first_doc, first_hash, first_pos of every key that at least ``min_docs`` documents hold."""
-    lines = _lines(docs, doc_id, text)
-    dealt = lines.withColumn("_salt", _salt(SALTS)).repartitionByRange("line_hash", "_salt")
-    order = Window.partitionBy("line_hash", "_salt").orderBy("_doc", "_hash", "_pos")
-    same = F.lag("_doc").over(order).eqNullSafe(F.col("_doc")) & F.lag("_hash").over(order).eqNullSafe(F.col("_hash"))
-    streamed = dealt.select("line_hash", "_salt", "_doc", "_hash", "_pos", F.row_number().over(order).alias("_row"), same.alias("_same"))
-    first = F.struct("_doc", "_hash", "_pos")
-    by_salt = streamed.groupBy("line_hash", "_salt").agg(F.sum(F.when((F.col("_row") == 1) | ~F.col("_same"), 1).otherwise(0)).alias("n"), F.min(F.when(F.col("_row") == 1, first)).alias("first"))
-    total = by_salt.groupBy("line_hash").agg(F.sum("n").alias("n_docs"), F.min("first").alias("first"))
-    return total.where(F.col("n_docs") >= min_docs).select("line_hash", "n_docs", F.col("first._doc").alias("first_doc"), F.col("first._hash").alias("first_hash"), F.col("first._pos").alias("first_pos"))
+def frequent_lines(lines: DataFrame, min_docs: int) -> DataFrame:
+    """line_hash, n_docs, n_rows and first (struct of _doc, _hash, _pos) of every key that at least ``min_docs`` documents hold; ``lines``: of ``lines_of``."""
+    salted = lines.withColumn("_salt", F.pmod(F.xxhash64("_doc", "_hash"), F.lit(SALTS)).cast("int"))
+    dealt = salted.repartitionByRange("line_hash", "_salt")
+    of_document = Window.partitionBy("line_hash", "_salt", "_doc", "_hash").orderBy("_pos")
+    streamed = dealt.select("line_hash", "_doc", "_hash", "_pos", F.first("_pos").over(of_document).alias("_first"))
+    found = streamed.groupBy("line_hash").agg(
+        F.count_if(F.col("_pos") == F.col("_first")).alias("n_docs"),  # equal rows have equal first positions, and each counts
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min(F.struct("_doc", "_hash", "_pos")).alias("first"),
+    )
+    return found.where(F.col("n_docs") >= min_docs)
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    rows = _identified(docs, doc_id, text)
-    return rows.select("_doc", "_hash", F.posexplode(line_hashes(F.col("_text"))).alias("_pos", "line_hash")).where(F.col("line_hash").isNotNull())
+def _meet(lines: DataFrame, frequent: DataFrame, columns: list[str], hot_rows: int) -> DataFrame:
+    """The rows of ``lines`` that are frequent, with ``columns`` of ``frequent``."""
+    least = max(hot_rows, lines.count() // HOT_KEYS)
+    hot = F.broadcast(frequent.where(F.col("n_rows") >= least).select(columns))
+    cold = frequent.where(F.col("n_rows") < least).select(columns)
+    return lines.join(hot, "line_hash").unionByName(lines.join(hot, "line_hash", "left_anti").join(cold, "line_hash"))
 
 
-def drop_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, doc_id: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
     """_doc, _hash, drop_runs array<struct<first, last>> and n_dropped, for documents that lose lines.
 
     ``keep_first``: a repeated key's first occurrence stays, else none does.
     """
-    frequent = frequent_lines(docs, min_docs, doc_id, text)
-    spread = frequent.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))  # against each stand min_docs rows or more
-    hit = _lines(docs, doc_id, text).withColumn("_salt", _salt(JOIN_SALTS)).join(spread, ["line_hash", "_salt"])
+    lines = lines_of(docs, doc_id, text)
+    hit = _meet(lines, materialise(frequent_lines(lines, min_docs), "frequent"), ["line_hash", "first"] if keep_first else ["line_hash"], hot_rows)
     if keep_first:
-        hit = hit.where(~(F.col("first_doc").eqNullSafe(F.col("_doc")) & F.col("first_hash").eqNullSafe(F.col("_hash")) & (F.col("first_pos") == F.col("_pos"))))
+        hit = hit.where(~F.col("first").eqNullSafe(F.struct("_doc", "_hash", "_pos")))
     at = hit.groupBy("_doc", "_hash").agg(F.array_sort(F.collect_set("_pos")).alias("at"))
     starts = F.filter("at", lambda p, j: (j == 0) | (F.col("at")[F.greatest(j - 1, F.lit(0))] != p - 1))
     ends = F.filter("at", lambda p, j: (j == F.size("at") - 1) | (F.col("at")[F.least(j + 1, F.size("at") - 1)] != p + 1))
@@ -83,12 +100,12 @@ def dropped_positions(runs: Column) -> Column:
     return F.flatten(F.transform(runs, lambda r: F.sequence(r["first"], r["last"])))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with the kept text in ``text``, and ``_n_lines``, ``_n_dropped`` and ``_drop_runs``."""
-    bitmaps = drop_bitmaps(docs, min_docs, keep_first, doc_id, text).withColumnsRenamed({"_doc": "_bit_doc", "_hash": "_bit_hash"})
-    filled = F.coalesce(F.col(text), F.lit(""))
-    full = docs.select(F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("_rest"), F.split(filled, "\n").alias("_split"), F.xxhash64(filled).alias("_hash"))  # one struct: no name in it can clash
-    joined = full.join(bitmaps, F.col("_rest")[doc_id].eqNullSafe(F.col("_bit_doc")) & (F.col("_hash") == F.col("_bit_hash")), "left")
+def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, doc_id: str = "doc_id", text: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """row (all columns of ``docs``, with the kept text in ``text``), n_lines, n_dropped and drop_runs."""
+    bitmaps = drop_bitmaps(docs, min_docs, keep_first, doc_id, text, hot_rows).withColumnsRenamed({"_doc": "_bit_doc", "_hash": "_bit_hash"})
+    rows = _identified(docs, text)
+    joined = rows.join(bitmaps, F.col("row")[doc_id].eqNullSafe(F.col("_bit_doc")) & (F.col("_hash") == F.col("_bit_hash")), "left")
+    cut = joined.select("row", "_text", F.split("_text", "\n").alias("_split"), "drop_runs", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), dropped_positions(F.col("drop_runs")))
-    out = F.when(F.col("drop_runs").isNull(), F.array_join("_split", "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.col("_split")[i]), "\n"))
-    return joined.select(*[out.alias(c) if c == text else F.col("_rest")[c].alias(c) for c in docs.columns], F.size("_split").cast("long").alias("_n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("_n_dropped"), F.col("drop_runs").alias("_drop_runs"))
+    out = F.when(F.col("drop_runs").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda i: F.col("_split")[i]), "\n"))
+    return cut.select(F.col("row").withField(f"`{text}`", out).alias("row"), F.size("_split").cast("long").alias("n_lines"), "n_dropped", "drop_runs")

@@ -121,9 +121,12 @@ WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0,
 d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
 b AS (SELECT n, doc_id, octet_length(encode(text)) + 1 AS size, hex(encode(text)) AS h,
       list_transform(range(17), lambda s: -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || s), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0)) AS bids FROM d),
-p AS (SELECT *, list_position(bids[1:16], list_min(bids[1:16])) - 1 AS shard, bids[17] < list_min(bids[1:16]) AS moves FROM b)
-SELECT doc_id, size::BIGINT AS size,
+p AS (SELECT *, list_position(bids[1:16], list_min(bids[1:16])) - 1 AS shard, bids[17] < list_min(bids[1:16]) AS moves FROM b),
+c AS (SELECT doc_id, size::BIGINT AS size,
        xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)), lambda c, x: xor(c // 256, t[(xor(c, x) % 256) + 1])), 4294967295) AS text_crc32,
-       'key' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY n) - 1 AS slot, (CASE WHEN moves THEN 16 ELSE shard END)::INTEGER AS grown_shard
-FROM p, t""",
+       shard::INTEGER AS shard, (CASE WHEN moves THEN 16 ELSE shard END)::INTEGER AS grown_shard
+FROM p, t)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':' || size || ':' || text_crc32), doc_id NULLS FIRST) - 1 AS slot
+FROM c""",
 }

@@ -70,7 +70,8 @@ def key_of(line):
 
 
 def brute_lines(rows, least, keep_first):
-    docs = sorted({(d, t or "") for d, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    """Every row is a document; what becomes of each (id, text)."""
+    docs = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     seen = collections.defaultdict(list)
     for n, (d, t) in enumerate(docs):
         for k in {key_of(x) for x in t.split("\n")} - {""}:
@@ -94,27 +95,39 @@ def test_line_dedup_against_brute_force(spark):
     pool = ["alpha", " Alpha\t", "beta", "BETA", "", "  ", "ünique", "Ünique", "long line " * 50, "x"]
     rows = [(i, "\n".join(rng.choice(pool) + (str(rng.randint(0, 99)) if rng.random() < 0.3 else "") for _ in range(rng.randint(1, 9)))) for i in range(60)]
     rows += [(100, None), (101, ""), (7, rows[7][1]), (102, "alpha\n" * 3000), (103, "\n\n"), (None, "beta\nonly here")]
-    docs = spark.createDataFrame([(d, t, 5, "h") for d, t in rows], "doc_id int, text string, _hash int, drop_runs string")
-    for keep_first in (False, True):
-        out = line_dedup.dedup_lines(docs, 10, keep_first)
+    docs = spark.createDataFrame([(d, t, 5, "h", 1) for d, t in rows], "doc_id int, text string, _hash int, drop_runs string, `n.lines` int")
+    for keep_first, hot in ((False, 10_000), (False, 20), (True, 10_000), (True, 20)):
+        out = line_dedup.dedup_lines(docs, 10, keep_first, hot_rows=hot)
         want = brute_lines(rows, 10, keep_first) if not keep_first else None
         got = out.collect()
-        assert len(got) == len(rows) and python_free(out) and out.columns[:4] == docs.columns
+        assert len(got) == len(rows) and python_free(out) and out.select("row.*").columns == docs.columns
         if not keep_first:
-            texts = collections.Counter((r["doc_id"], r["_n_lines"], r["_n_dropped"], r["text"]) for r in got)
+            texts = collections.Counter((r["row"]["doc_id"], r["n_lines"], r["n_dropped"], r["row"]["text"]) for r in got)
             assert texts == collections.Counter((d, *want[d, t or ""]) for d, t in rows)
         else:  # every frequent key is left exactly once
-            left = collections.Counter(k for (d, t) in {(r["doc_id"], r["text"]) for r in got} for k in map(key_of, t.split("\n")))
-            before = collections.defaultdict(set)
+            left = collections.Counter(k for (d, t) in {(r["row"]["doc_id"], r["row"]["text"]) for r in got} for k in map(key_of, t.split("\n")))
+            before = collections.defaultdict(list)
             for d, t in rows:
-                for k in map(key_of, (t or "").split("\n")):
-                    before[k].add((d, t))
+                for k in set(map(key_of, (t or "").split("\n"))):
+                    before[k].append((d, t))
             for k, docs_of in before.items():
                 if k and len(docs_of) >= 10:
                     assert left[k] == 1, k
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_documents(spark, duck, tmp_path):
+    rows = [(i, f"shared\nown {i}") for i in range(8)] + [(8, "Shared \nshared")] * 2 + [(20 + i, f"rare\nx{i}") for i in range(8)] + [(30, "rare\nrare")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows_of(queries.op7_line_dedup(spark, str(tmp_path)))
+    here = duck.cursor()
+    here.execute(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == rows_of_sql(here, queries.ORACLE["op7_line_dedup"])
+    brute = brute_lines(rows, 10, False)
+    assert sorted((d, brute[d, t][1]) for d, t in rows) == sorted([(i, 1) for i in range(8)] + [(8, 2)] * 2 + [(20 + i, 0) for i in range(8)] + [(30, 0)])
+    assert sorted((r["doc_id"], r["n_dropped"]) for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()) == sorted((d, brute[d, t][1]) for d, t in rows)
+
+
 def test_bitmaps_are_runs(spark):
     docs = spark.createDataFrame([(i, "a\nb\nkeep%d\nc" % i) for i in range(10)], "doc_id int, text string")
     runs = line_dedup.drop_bitmaps(docs, 10).collect()
@@ -148,12 +161,21 @@ def test_sharding(spark):
     assert sharding.shard_records(docs.limit(0), [1.0]).count() == 0
 
 
-def test_a_hot_key_is_numbered_in_parts(spark):
-    docs = spark.createDataFrame([(1, "same")] * 500 + [(i, "t") for i in range(50)], "doc_id int, text string")
-    slots = collections.defaultdict(list)
-    for r in sharding.shard_records(docs, [1.0] * 4, rows_per_task=32).collect():
-        slots[r["shard"]].append(r["slot"])
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+def test_slots_depend_on_the_records_alone(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 64)
+    rows = [(1, "same")] * 500 + [(1, f"other {i}") for i in range(300)] + [(i, "t") for i in range(50)] + [(None, None)] * 3
+    given = collections.Counter((d, len(t or "") + 1) for d, t in rows)
+    weights, found = [1.0] * 4, []
+    for parts, per_task in ((1, 10_000), (5, 32)):
+        docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(parts)
+        found.append(sorted(map(str, sharding.shard_records(docs, weights, rows_per_task=per_task).collect())))
+        got = sharding.shard_records(docs, weights, rows_per_task=per_task).collect()
+        slots = collections.defaultdict(list)
+        for r in got:
+            slots[r["shard"]].append((r["slot"], hashlib.md5(f"{'' if r['doc_id'] is None else r['doc_id']}:{r['size']}:{r['text_crc32']}".encode()).hexdigest()))
+        assert all([n for n, _ in sorted(s)] == list(range(len(s))) and [h for _, h in sorted(s)] == sorted(h for _, h in s) for s in slots.values())
+        assert collections.Counter((r["doc_id"], r["size"]) for r in got) == given
+    assert found[0] == found[1]
 
 
 # ---------------------------------------------------------------- licences
