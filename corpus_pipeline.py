@@ -27,8 +27,10 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup_lines(docs, MIN_LINE_DOCS)
-    return kept.select(*[F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    kept, row = line_dedup.dedup_lines(docs, MIN_LINE_DOCS), F.col("row")
+    if "n_chars" in docs.columns:
+        row = F.when(F.col("n_dropped") > 0, row.withField("n_chars", F.length("row.text").cast(docs.schema["n_chars"].dataType))).otherwise(row)
+    return kept.select(row.alias("row")).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
