@@ -5,7 +5,7 @@ step i handles sample i of every frame in one NumPy operation, so the cost of
 Python is a frame's length and not the number of samples.
 
 The decoder reads constant, verbatim, fixed and LPC subframes, partitioned Rice
-codes of both kinds with escapes, wasted bits, any block size, 4 to 24 bits a sample and up
+codes of both kinds with escapes, wasted bits, any block size, 4 to 32 bits a sample and up
 to 8 channels with side coding.  It finds frames by their sync code and header
 CRC-8, takes them in the order of their numbers and verifies each CRC-16, the
 number of samples and the MD5 of the samples; a stream that fails raises
@@ -22,8 +22,11 @@ shorter verbatim frame; an empty payload is a stream without frames.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import struct
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +36,8 @@ RATE = 8000
 SEEK_FRAMES = 64
 #: Samples that are encoded or decoded together.
 CHUNK = 1 << 21
+#: Frames that are followed by their numbers before their checksums are looked at.
+AHEAD = 4096
 
 # Fixed values of the format: block sizes and sample sizes by their code in a frame header (0: reserved or elsewhere).
 BLOCK_SIZES = [0, 192, 576, 1152, 2304, 4608, 0, 0, 256, 512, 1024, 2048, 4096, 8192, 16384, 32768]
@@ -332,24 +337,49 @@ def _headers(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _chain(data: np.ndarray, head: dict[str, np.ndarray], at: np.ndarray, end: int, samples: int) -> list[int]:
-    """Frames of one stream among candidate headers, where these hold false ones: each next frame must have the next number and end the frame before with a good CRC-16."""
+    """Frames of one stream among candidate headers, where these hold false ones: each next frame must have the next number and end the frame before with a good CRC-16.
+
+    The nearest headers with the next numbers are followed ``AHEAD`` frames and checked in lock-step; where one fails, the farther ones with its number are tried.
+    """
+    number, block = head["number"].tolist(), head["block"].tolist()
+    following = (head["number"] + np.where(head["variable"] != 0, head["block"], 1)).tolist()
+    places: dict[int, list[int]] = {}
+    for i, n in enumerate(number):
+        places.setdefault(n, []).append(i)
+    stops = np.append(at, end)
+
+    def followers(i: int) -> Iterator[int]:
+        listed = places.get(following[i], [])
+        return itertools.chain(itertools.islice(listed, bisect.bisect_right(listed, i), None), [len(at)])
+
+    def good(path: list[int]) -> np.ndarray:
+        here = at[np.array(path[:-1], np.int64)]
+        return _crc(data, here, stops[np.array(path[1:], np.int64)] - here, CRC16, 16) == 0
+
     chosen: list[int] = []
-    done, want = 0, 0
-    i = 0
+    done, i = 0, places[0][0] if 0 in places else len(at)
     while i < len(at) and (not samples or done < samples):
-        if int(head["number"][i]) != want:
-            i += 1
-            continue
-        for j in [*[j for j in range(i + 1, len(at)) if int(head["number"][j]) == (want + int(head["block"][i]) if head["variable"][i] else want + 1)], len(at)]:
-            stop = int(at[j]) if j < len(at) else end
-            if _crc(data, at[i : i + 1], np.array([stop - int(at[i])]), CRC16, 16)[0] == 0:
-                chosen.append(i)
-                done += int(head["block"][i])
-                want += int(head["block"][i]) if head["variable"][i] else 1
-                i = j
+        path, total = [i], done
+        while len(path) <= AHEAD and path[-1] < len(at) and (not samples or total < samples):
+            total += block[path[-1]]
+            after = next(followers(path[-1]))
+            if after == len(at) and samples and total < samples:  # a false header leads nowhere
                 break
-        else:
-            raise BadStream("no frame ends with a good CRC-16")
+            path.append(after)
+        if len(path) == 1:
+            raise BadStream("a frame is missing")
+        fit = good(path)
+        right = len(fit) if fit.all() else int(np.argmin(fit))
+        chosen += path[:right]
+        done += sum(block[j] for j in path[:right])
+        i = path[right]
+        if right < len(fit):
+            other = next((j for j in itertools.islice(followers(i), 1, None) if good([i, j])[0]), None)
+            if other is None:
+                raise BadStream("no frame ends with a good CRC-16")
+            chosen.append(i)
+            done += block[i]
+            i = other
     return chosen
 
 

@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, licences, line_dedup, media, ngram_join, quality, sharding, token_counts, url_filter
-from .common import table
+from .common import materialise, table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 SHARDS = 16
 
 
 def op1_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as FLAC, decoded into PCM blocks that are written and read back for digests and features."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), media.to_flac(media.padded(F.col("text"))).alias("media"))
-    return docs.select("doc_id", "n_bytes", media.flac_features("media").alias("f")).select("doc_id", "n_bytes", "f.*")
+    stored = materialise(docs.select("doc_id", "n_bytes", media.to_pcm(F.col("media")).alias("pcm")), "pcm")
+    return stored.withColumn("f", media.pcm_features("pcm")).select("doc_id", "n_bytes", "f.payload_bytes", "f.payload_sha256", "f.tail_crc32", "pcm.media_bytes", "pcm.media_sha256", "f.feature")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

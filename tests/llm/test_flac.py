@@ -1,13 +1,14 @@
 """The codec against a decoder written sample by sample here, round trips and broken streams."""
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import flac, media
+from quarry.llm import flac, media, queries
 
 
 class Reader:
@@ -158,18 +159,70 @@ def test_stereo_wasted_bits_partitions_and_escapes():
         assert (pcm[:, 0] == left).all() and (pcm[:, 1] == right).all(), assignment
 
 
-def test_column_operators(spark):
-    texts = [("a", "hello " * 5000), ("b", None), ("c", ""), ("d", "é")]
-    docs = spark.createDataFrame(texts, "name string, text string")
-    stored = docs.select("name", media.to_flac(media.padded(F.col("text"))).alias("m"))
-    got = {r["name"]: r["f"] for r in stored.select("name", media.flac_features("m").alias("f")).collect()}
-    for name, text in texts:
+def test_long_streams_with_variable_blocks_take_linear_time():
+    """Sample numbers instead of frame numbers, so frames are chained one by one; false headers stand in the samples."""
+    rng, frames, at = np.random.default_rng(3), [], 0
+    for i in range(100_000):
+        n = 16 + i % 2
+        samples = rng.integers(0, 256, n, dtype=np.uint8)
+        if i % 5_000 == 7:  # a header with the next number, right but for the CRC-16
+            coded, count = flac._coded_number(np.array([at + n]))
+            fake = bytes([0xFF, 0xF9, 0x60, 0x02, *coded[0, : count[0]].tolist(), 7])
+            fake += bytes(flac._crc(np.frombuffer(fake, np.uint8), np.array([0]), np.array([len(fake)]), flac.CRC8, 8).astype(np.uint8))
+            samples[: len(fake)] = np.frombuffer(fake, np.uint8)
+        frame = bytearray(flac._short_frame(samples.tobytes(), at))
+        frame[1] = 0xF9
+        head = len(frame) - 2 - n - 1
+        frame[head - 1] = int(flac._crc(np.frombuffer(bytes(frame), np.uint8), np.array([0]), np.array([head - 1]), flac.CRC8, 8)[0])
+        frames.append((bytes(frame[:-2]), samples))
+        at += n
+    data = b"".join(f + b"\0\0" for f, _ in frames)
+    size = np.array([len(f) for f, _ in frames])
+    start = np.cumsum(size + 2) - size - 2
+    crc = flac._crc(np.frombuffer(data, np.uint8), start, size, flac.CRC16, 16)
+    body = b"".join(f + int(c).to_bytes(2, "big") for (f, _), c in zip(frames, crc, strict=True))
+    info = np.array([16, 17], ">u2").tobytes() + b"\0" * 6 + ((8000 << 44) | (7 << 36) | at).to_bytes(8, "big") + b"\0" * 16
+    began = time.perf_counter()
+    _, pcm = flac.decode([b"fLaC\x80\0\0\x22" + info + body])[0]
+    assert time.perf_counter() - began < 20
+    assert (pcm[:, 0].view(np.uint8) == np.concatenate([x for _, x in frames])).all()
+
+
+def feature_of(payload):
+    """On the whole array."""
+    x = np.frombuffer(payload, np.uint8).astype(np.int64) - 128
+    return f"n={len(x)};min={x.min()};max={x.max()};sum={x.sum()};power={(x * x).sum()};crossings={((x[1:] < 0) != (x[:-1] < 0)).sum()};travel={abs(x[1:] - x[:-1]).sum()}"
+
+
+def test_query_against_the_payloads(spark, tmp_path):
+    texts = [(1, "hello world   "), (2, None), (3, ""), (4, "é" * 5_000), (4, "é" * 5_000), (None, "日本 " * 900), (5, "The end. " * 2_300_000), (6, "\x7f\x01" * 4_096)]
+    spark.createDataFrame([(d, t, 1) for d, t in texts], "doc_id long, text string, pcm int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.op1_flac(spark, str(tmp_path)).collect()), key=repr)
+    want = []
+    for d, text in texts:
         data = (text or "").encode()
-        data += b" " * (-len(data) % 192 if data else 192)
-        f = got[name]
-        assert (f["payload_bytes"], f["payload_sha256"], f["tail_crc32"]) == (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]))
-    blocks = media.pcm_blocks(stored.where("name = 'a'"), "m", ["name"], block_samples=1000).orderBy("block").collect()
+        payload = data + b" " * (-len(data) % 192 if data else 192)
+        media_bytes = flac.encode([payload])[0]
+        assert (flac.decode([media_bytes])[0][1][:, 0].astype(int) + 128).astype(np.uint8).tobytes() == payload
+        want.append((d, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media_bytes), hashlib.sha256(media_bytes).hexdigest(), feature_of(payload)))
+    assert got == sorted(want, key=repr)
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert queries.op1_flac(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_column_operators(spark):
+    stored = spark.createDataFrame([("a", "hello " * 5000, 1, 2)], "name string, text string, block int, pcm int").withColumn("m", media.to_flac(media.padded(F.col("text"))))
+    blocks = media.pcm_blocks(stored, "m", block_samples=1000).orderBy("block").collect()
     joined = b"".join(bytes(b["pcm"]) for b in blocks)
-    assert [b["sample_offset"] for b in blocks] == list(range(0, 30144, 1000)) and bytes((v + 128) % 256 for v in joined).startswith(b"hello hello")
-    assert media.pcm_blocks(spark.createDataFrame([(None,), (b"junk",)], "m binary").withColumn("k", F.lit(1)), "m", ["k"], strict=False).count() == 0
-    assert stored.limit(0).select(media.flac_features("m")).count() == 0
+    assert [b["sample_offset"] for b in blocks] == list(range(0, 30144, 1000)) and bytes((v + 128) % 256 for v in joined) == b"hello " * 5000 + b" " * 144
+    assert blocks[0]["row"].asDict() == {"name": "a", "text": "hello " * 5000, "block": 1, "pcm": 2}
+    bad = spark.createDataFrame([(None, 1), (b"junk", 1), (flac.encode([b""])[0], 2)], "m binary, k int")
+    assert media.pcm_blocks(bad, "m", strict=False).count() == 0
+    found = [r["f"] for r in bad.select(media.pcm_features(media.to_pcm(F.col("m"), strict=False)).alias("f")).collect()]
+    assert found[:2] == [None, None] and (found[2]["payload_bytes"], found[2]["feature"]) == (0, "n=0;min=0;max=0;sum=0;power=0;crossings=0;travel=0")
+    rng = np.random.default_rng(5)
+    left, right = np.cumsum(rng.integers(-9, 9, 32)), rng.integers(-2000, 2000, 32) * 4
+    stereo = spark.createDataFrame([(build([left, right], 16, 1, [("escape", 16), ("verbatim", 16)], 32),)], "m binary")
+    one = stereo.select(media.pcm_features(media.to_pcm(F.col("m"), 10)).alias("f")).first()["f"]
+    pcm = np.stack([left, right], 1).astype("<i2").tobytes()
+    assert (one["payload_bytes"], one["payload_sha256"]) == (128, hashlib.sha256(pcm).hexdigest()) and f"min={left.min()};max={left.max()};" in one["feature"]
