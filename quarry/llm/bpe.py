@@ -1,36 +1,42 @@
 """Byte-level BPE encoding and decoding by one global shuffle of distinct words.
 
-1. Each block of documents (8 MB of text) is split into pre-tokens with their
-   positions, by vectorised character classes that give the matches of
-   ``public_tokenizers.PATTERN``, and these are coded by the block's dictionary of
-   distinct words.  The blocks' position codes and dictionaries are written once
-   to the shared folder.
-2. The dictionaries are sorted, and exploded into words that are shuffled by range:
-   one block's words between two splitters make a front-coded list, and equal words
-   of all blocks meet in one bucket.  Each distinct word is encoded once, by ranks,
-   and its ids join back to the blocks that sent it, in the order of the words.
+1. Each block of documents (16 MB of text, in segments of 8 MB) is split into
+   pre-tokens with their positions, by vectorised character classes that give the
+   matches of ``public_tokenizers.PATTERN``, and these are coded by the block's
+   sorted dictionary of distinct words.  The blocks' position codes and
+   dictionaries are written once to the shared folder.
+2. The dictionaries are exploded into words that are shuffled by range: one
+   block's words between two splitters make a front-coded list, and equal words of
+   all blocks meet in one bucket.  A bucket's lists are streamed, each distinct
+   word is encoded once, by ranks, all new words of a batch in lock-step, and its
+   ids join back to the blocks that sent it, in the order of the words.
 3. A block's ids and its position codes meet by block and are reassembled by
    position.
 
-No step holds more than a bucket or a block: there are as many buckets as leave
-about ``BUCKET_WORDS`` words to each, and a word is at most once in each block, so
-a frequent word adds no more to its bucket than a rare one in as many blocks.
-Splitters come from evenly spaced words of at most ``SAMPLE_BLOCKS`` blocks; they
-set the buckets' sizes and nothing else.
+A bucket is given about ``BUCKET_WORDS`` distinct words, so a frequent word, which
+every block sends, adds one entry to what a task holds; beyond ``CACHE_WORDS`` a
+task forgets the words it has seen, which costs time and changes nothing.  The
+lists that are shuffled are as many as blocks times buckets, as in any shuffle,
+and never more than dictionary entries.  The number of distinct words and the
+splitters come from all words of all blocks with a CRC-32 divisible by ``EVERY``,
+thinned to about ``SAMPLES``; they set the buckets' sizes and nothing else.
 
-Decoding looks every id up in the token-byte table, which has as many rows as the
-vocabulary.
+Decoding joins the ids of a batch with the token-byte table, which has a row for
+each token of the vocabulary and is broadcast.
 
 Defined cases: null and empty texts have no ids; equal rows are encoded each; an
-empty table gives an empty result; ids out of the vocabulary raise on decoding;
-other columns are not touched.
+empty table gives an empty result; ids that have no row in the token-byte table
+raise on decoding; other columns, of any name, are not touched.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
+import heapq
 import math
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,12 +49,16 @@ from pyspark.sql import types as T
 
 from .common import bound_batches, materialise, pieces
 
-#: Bytes of text in a block, and words that a bucket should take.
-BLOCK_BYTES, BUCKET_WORDS = 8 << 20, 200_000
-#: Bytes of text that are split together.
-PIECE_BYTES = 1 << 20
-#: Blocks whose words set the splitters, and such words of each.
-SAMPLE_BLOCKS, SAMPLE_WORDS = 2_000, 256
+#: Bytes of text in a block, in a segment of it, and in what is split together.
+BLOCK_BYTES, SEGMENT_BYTES, PIECE_BYTES = 16 << 20, 8 << 20, 1 << 20
+#: Distinct words of a bucket, and words whose ids a task holds.
+BUCKET_WORDS, CACHE_WORDS = 100_000, 400_000
+#: One distinct word in so many is sampled, and about so many reach the driver.
+EVERY, SAMPLES = 1024, 1 << 18
+#: Words of up to so many bytes are merged in lock-step, so many at a time.
+SHORT, ROWS = 64, 20_000
+#: Bytes of ids that an encoding task gives at once.
+OUT_BYTES = 4 << 20
 #: Stands after each text; no code point.
 END = 0x110000
 
@@ -118,6 +128,20 @@ def pretokens(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray]:
     return data, np.append(offsets, len(data)), counts
 
 
+def parts_of(text: str, most: int) -> Iterator[str]:
+    """A long text in parts of about ``most`` characters with the same pre-tokens: cut at a blank between letters or digits, where one always starts."""
+    start = 0
+    while len(text) - start > most:
+        at = text.find(" ", start + most)
+        while 0 < at < len(text) - 1 and not (text[at - 1].isalnum() and text[at + 1].isalnum()):
+            at = text.find(" ", at + 1)
+        if at < 0 or at == len(text) - 1:
+            break
+        yield text[start:at]
+        start = at
+    yield text[start:]
+
+
 # ---------------------------------------------------------------- words to ids
 
 
@@ -127,17 +151,122 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-_CODERS: dict[str, object] = {}
+_NONE = np.iinfo(np.int32).max
+
+
+class Merger:
+    """Ranks applied to single pre-tokens: the pair of tokens that make the token of least rank, the first of equal ones, becomes that token, until no pair makes one."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.bytes = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        if (self.bytes < 0).any():
+            raise ValueError("a byte has no rank")
+        found = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    found[left << 32 | right] = rank
+        self.keys = np.array(sorted(found), np.int64)
+        self.made = np.array([found[k] for k in self.keys.tolist()], np.int32)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token that each pair makes; a negative one is no token."""
+        if not len(self.keys):
+            return np.full(left.shape, _NONE, np.int32)
+        key = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.made[at], _NONE)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(words)
+        groups: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            own = self.ranks.get(word)
+            if own is not None:
+                out[i] = own.to_bytes(4, "little")
+            else:
+                groups.setdefault(max(4, 1 << (len(word) - 1).bit_length()), []).append(i)
+        for width, rows in groups.items():
+            if width > SHORT:
+                for i in rows:
+                    out[i] = self._long(words[i])
+            else:
+                for a in range(0, len(rows), ROWS):
+                    part = rows[a : a + ROWS]
+                    for i, ids in zip(part, self._short([words[i] for i in part], width), strict=True):
+                        out[i] = ids
+        return out
+
+    def _short(self, words: list[bytes], width: int) -> list[bytes]:
+        n = len(words)
+        size = np.fromiter(map(len, words), np.int64, n)
+        token = self._tokens(b"".join(w.ljust(width, b"\0") for w in words)).reshape(n, width)
+        token[np.arange(width) >= size[:, None]] = -1
+        rank = np.full((n, width), _NONE, np.int32)
+        rank[:, :-1] = self._rank(token[:, :-1], token[:, 1:])
+        done, left = np.empty((n, width), np.int32), np.empty(n, np.int64)
+        alive, columns = np.arange(n), np.arange(width)
+        while len(alive):
+            at = rank.argmin(1)
+            least = rank[np.arange(len(alive)), at]
+            more = least != _NONE
+            if not more.all():
+                ended = ~more
+                done[alive[ended]], left[alive[ended]] = token[ended], size[ended]
+                alive, token, rank, size, at, least = alive[more], token[more], rank[more], size[more], at[more], least[more]
+                if not len(alive):
+                    break
+            moved = np.minimum(columns + (columns > at[:, None]), width - 1)
+            token = np.take_along_axis(token, moved, 1)
+            rank = np.take_along_axis(rank, moved, 1)
+            size = size - 1
+            token[columns >= size[:, None]] = -1
+            rows = np.arange(len(alive))
+            token[rows, at] = least
+            after = np.minimum(at + 1, width - 1)
+            rank[rows, at] = np.where(at + 1 < size, self._rank(least, token[rows, after]), _NONE)
+            before = np.flatnonzero(at > 0)
+            rank[before, at[before] - 1] = self._rank(token[before, at[before] - 1], least[before])
+            rank[:, -1] = _NONE
+        return [row[:k].astype("<u4").tobytes() for row, k in zip(done, left.tolist(), strict=True)]
+
+    def _tokens(self, data: bytes) -> np.ndarray:
+        return self.bytes[np.frombuffer(data, np.uint8)]
+
+    def _long(self, word: bytes) -> bytes:
+        """One word by a heap of pairs over a linked list."""
+        token: list[bytes | None] = [bytes([b]) for b in word]
+        after, before = [*range(1, len(token)), -1], list(range(-1, len(token) - 1))
+        pair = lambda i: self.ranks.get(token[i] + token[after[i]]) if after[i] >= 0 else None
+        heap = [(r, i) for i in range(len(token)) if (r := pair(i)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            if token[i] is None or pair(i) != r:
+                continue
+            gone = after[i]
+            token[i], after[i] = token[i] + token[gone], after[gone]
+            token[gone] = None
+            if after[gone] >= 0:
+                before[after[gone]] = i
+            for j in (before[i], i):
+                if j >= 0 and (new := pair(j)) is not None:
+                    heapq.heappush(heap, (new, j))
+        return np.array([self.ranks[t] for t in token if t is not None], "<u4").tobytes()
+
 
+_MERGERS: dict[str, Merger] = {}
 
-def coder(ranks: dict[bytes, int], name: str):
-    """tiktoken's merges for single pre-tokens, made once a worker."""
-    if name not in _CODERS:
-        import tiktoken
 
-        _CODERS.clear()
-        _CODERS[name] = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-    return _CODERS[name]
+def merger(ranks: dict[bytes, int], name: str) -> Merger:
+    """Made once a worker."""
+    if name not in _MERGERS:
+        _MERGERS.clear()
+        _MERGERS[name] = Merger(ranks)
+    return _MERGERS[name]
 
 
 def _pack(*values: np.ndarray) -> bytes:
@@ -169,9 +298,12 @@ def front_code(words: list[bytes]) -> bytes:
         alive = alive[data[start[alive] + k] == data[start[alive + 1] + k]]
         shared[alive + 1] = k + 1
         alive = alive[most[alive] > k + 1]
-    rest = data[np.arange(len(data)) - np.repeat(start, size) >= np.repeat(shared, size)]
+    rest = []
+    for a in range(0, len(words), ROWS):
+        own = _spread(data, (start + shared)[a : a + ROWS], (size - shared)[a : a + ROWS])
+        rest.append(own.tobytes())
     lengths = (size - shared).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(words)) + shared.astype(np.uint8).tobytes() + lengths + rest.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([struct.pack("<I", len(words)), shared.astype(np.uint8).tobytes(), lengths, *rest]))
 
 
 def front_decode(blob: bytes) -> list[bytes]:
@@ -189,7 +321,8 @@ def front_decode(blob: bytes) -> list[bytes]:
 
 # ---------------------------------------------------------------- encoding
 
-_BLOCKS = T.StructType([T.StructField("block", T.LongType()), T.StructField("words", T.LongType()), T.StructField("samples", T.ArrayType(T.BinaryType())), T.StructField("dictionary", T.BinaryType()), T.StructField("positions", T.BinaryType()), T.StructField("keys", T.BinaryType())])
+_LIST = T.ArrayType(T.BinaryType())
+_BLOCKS = T.StructType([T.StructField("block", T.LongType()), T.StructField("samples", _LIST), T.StructField("dictionary", T.BinaryType()), T.StructField("positions", _LIST), T.StructField("keys", _LIST)])
 
 
 def code_positions(codes: np.ndarray, place: np.ndarray) -> bytes:
@@ -216,41 +349,67 @@ def read_positions(blob: bytes) -> np.ndarray:
     return out
 
 
-def _block(number: int, words: list[pa.Array], counts: list[np.ndarray], keys: list[pa.RecordBatch]) -> pa.RecordBatch:
-    coded = pa.chunked_array(words, pa.large_binary()).combine_chunks().dictionary_encode()
-    order = pc.sort_indices(coded.dictionary).to_numpy().astype(np.int64)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    listed = coded.dictionary.take(pa.array(order)).to_pylist()
-    rows = pa.Table.from_batches(keys).append_column("_count", pa.array(np.concatenate(counts), pa.int64()))
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema) as writer:
-        writer.write_table(rows)
-    samples = [w[:64] for w in listed[SAMPLE_WORDS // 2 :: max(1, len(listed) // SAMPLE_WORDS)]] if len(listed) > SAMPLE_WORDS else listed
-    row = [number, len(listed), samples, front_code(listed), code_positions(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), place), zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())]
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=_BLOCKS.names)
+class _Block:
+    """Segments with dictionaries of their own, which the block's takes in."""
+
+    def __init__(self):
+        self.words, self.codes, self.keys = [], [], []
+        self.size = 0
+
+    def add(self, words: list[pa.Array], counts: list[np.ndarray], keys: list[pa.RecordBatch], size: int) -> None:
+        coded = pa.chunked_array(words, pa.large_binary()).combine_chunks().dictionary_encode()
+        self.words.append(coded.dictionary)
+        self.codes.append(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32))
+        rows = pa.Table.from_batches(keys).append_column("count", pa.array(np.concatenate(counts), pa.int64()))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as writer:
+            writer.write_table(rows)
+        self.keys.append(zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes()))
+        self.size += size
+
+    def row(self, number: int) -> pa.RecordBatch:
+        every = pa.chunked_array(self.words, pa.large_binary()).combine_chunks().dictionary_encode()
+        order = pc.sort_indices(every.dictionary).to_numpy().astype(np.int64)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        of_words = place[every.indices.to_numpy(zero_copy_only=False)]
+        listed = every.dictionary.take(pa.array(order)).to_pylist()
+        edges = np.cumsum([0, *map(len, self.words)])
+        positions = [code_positions(codes, of_words[a:b]) for codes, a, b in zip(self.codes, edges, edges[1:], strict=False)]
+        row = [number, [w[:SHORT] for w in listed if zlib.crc32(w) % EVERY == 0], front_code(listed), positions, self.keys]
+        kinds = [pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=_BLOCKS.names)
 
 
 def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each block: its sorted dictionary, evenly spaced words of it, its positions, and its rows' keys and numbers of pre-tokens as an Arrow stream."""
+    """A row for each block: its sampled words, its sorted dictionary, and for each segment its positions, and its rows and their numbers of pre-tokens as an Arrow stream."""
     from pyspark import TaskContext
 
     context = TaskContext.get()
     number = (context.partitionId() if context else 0) << 32
+    block = _Block()
     words, counts, keys, size = [], [], [], 0
-    for batch in pieces(batches, "_text", PIECE_BYTES):
-        data, offsets, own = pretokens([t or "" for t in batch.column("_text").to_pylist()])
-        words.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data)]))
-        counts.append(own)
-        keys.append(batch.select([c for c in batch.schema.names if c != "_text"]))
-        size += len(data)
-        if size >= BLOCK_BYTES:
-            yield _block(number, words, counts, keys)
+    for batch in pieces(batches, "text", PIECE_BYTES):
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        parts = [[p] for p in parts_of(texts[0], PIECE_BYTES)] if len(texts) == 1 else [texts]
+        split = []
+        for part in parts:
+            data, offsets, own = pretokens(part)
+            words.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data)]))
+            split.append(own)
+            size += len(data)
+        counts.append(np.sum(split, 0))
+        keys.append(batch.select(["row"]))
+        if size >= SEGMENT_BYTES:
+            block.add(words, counts, keys, size)
             words, counts, keys, size = [], [], [], 0
-            number += 1
+        if block.size >= BLOCK_BYTES:
+            yield block.row(number)
+            block, number = _Block(), number + 1
     if keys:
-        yield _block(number, words, counts, keys)
+        block.add(words, counts, keys, size)
+    if block.keys:
+        yield block.row(number)
 
 
 def _dealer(splitters):
@@ -273,23 +432,25 @@ def _dealer(splitters):
 def _encoder(ranks):
     """``ranks``: a broadcast of a name and the ranks."""
 
-    def encode(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """One bucket: every distinct word once, and each block's ids in the order of its words."""
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lists sorted by bucket to each block's ids in the order of its words; a bucket's distinct words are encoded once."""
         name, known = ranks.value
-        single = coder(known, name)._encode_single_piece
-        lists = [front_decode(b.as_py()) for b in table.column("blob")]
-        coded = pa.chunked_array([pa.array(words, pa.large_binary()) for words in lists]).combine_chunks().dictionary_encode()
-        found = [[known[w]] if w in known else single(w) for w in coded.dictionary.to_pylist()]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for f in found for i in f), np.uint32, int(size.sum()))
-        starts = np.cumsum(size) - size
-        codes = coded.indices.to_numpy(zero_copy_only=False)
-        out, at = [], 0
-        for words in lists:
-            own = codes[at : at + len(words)]
-            at += len(words)
-            out.append(_pack(size[own], _spread(flat, starts[own], size[own])))
-        return pa.table([table.column("block"), pa.chunked_array([[key[0].as_py()] * len(out)], pa.int32()), pa.chunked_array([out], pa.binary())], names=["block", "bucket", "blob"])
+        merge = merger(known, name)
+        bucket, seen = None, {}
+        for batch in batches:
+            out, first = [], 0
+            for i, (own, blob) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("blob"), strict=True)):
+                if own != bucket or len(seen) > CACHE_WORDS:
+                    bucket, seen = own, {}
+                words = front_decode(blob.as_py())
+                new = [w for w in words if w not in seen]
+                seen.update(zip(new, merge.encode(new), strict=True))
+                found = [seen[w] for w in words]
+                out.append(_pack(np.fromiter(map(len, found), np.int64, len(found)) // 4, np.frombuffer(b"".join(found), "<u4")))
+                if sum(map(len, out)) >= OUT_BYTES or i == batch.num_rows - 1:
+                    part = batch.slice(first, len(out))
+                    yield pa.RecordBatch.from_arrays([part.column("block"), part.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "blob"])
+                    out, first = [], i + 1
 
     return encode
 
@@ -301,78 +462,103 @@ def _spread(flat: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarra
     return flat[np.arange(total) + np.repeat(starts - (ends - size), size)]
 
 
-def _assembler(keys: pa.Schema):
-    def assemble(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """One block: ids of its sorted words, spread by position and cut by row."""
-        bucket = table.column("bucket").to_pylist()
+def _assembler(out: T.StructType, table):
+    """``table``: a broadcast token-byte table, where ids are to be decoded again."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    def assemble(key: tuple[pa.Scalar, ...], given: pa.Table) -> pa.Table:
+        """One block: ids of its sorted words, spread by position and cut by row, a segment at a time."""
+        types = to_arrow_schema(out)
+        bucket = given.column("bucket").to_pylist()
         home = bucket.index(None)
         parts = sorted((b, i) for i, b in enumerate(bucket) if b is not None)
-        unpacked = [_unpack(table.column("blob")[i].as_py()) for _, i in parts]
+        unpacked = [_unpack(given.column("blob")[i].as_py()) for _, i in parts]
         size = np.concatenate([np.zeros(0, np.int64), *[u[0].astype(np.int64) for u in unpacked]])
         flat = np.concatenate([np.zeros(0, np.uint32), *[u[1] for u in unpacked]])
-        places = read_positions(table.column("positions")[home].as_py())
-        own = size[places]
-        ids = _spread(flat, (np.cumsum(size) - size)[places], own).astype("<u4")
-        with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(table.column("keys")[home].as_py())) as stream:
-            rows = stream.read_all()
-        counts = rows.column("_count").to_numpy()
-        edges = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(counts)])]
-        packed = pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer((edges * 4).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
-        return rows.drop_columns("_count").cast(keys).append_column("n_tokens", pa.array(np.diff(edges), pa.int64())).append_column("ids", packed)
+        starts = np.cumsum(size) - size
+        found = []
+        for positions, keys in zip(given.column("positions")[home], given.column("keys")[home], strict=True):
+            places = read_positions(positions.as_py())
+            own = size[places]
+            ids = _spread(flat, starts[places], own).astype("<u4")
+            with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(keys.as_py())) as stream:
+                rows = stream.read_all()
+            edges = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(rows.column("count").to_numpy())])]
+            packed = pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * 4).astype(np.int32).tobytes()), pa.py_buffer(ids.tobytes())])
+            columns = [rows.column("row").cast(types.field("row").type), pa.array(np.diff(edges), pa.int64()), packed]
+            if table is not None:
+                columns.append(pa.array([hashlib.sha256(d).hexdigest() for d in decode_values(packed, table.value)]))
+            found.append(pa.table(columns, names=out.names))
+        return pa.concat_tables(found)
 
     return assemble
 
 
-def encode(docs: DataFrame, path: str, keys: list[str], text: str = "text", block_bytes: int | None = None) -> DataFrame:
-    """keys, n_tokens and ids (little-endian unsigned 32-bit integers) of each row's whole text; ``path``: a tiktoken file of ranks."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+def _splitters(blocks: DataFrame) -> list[bytes]:
+    """The first words of all buckets but the first, from the sampled distinct words."""
+    words = blocks.select(F.explode("samples").alias("w")).distinct()
+    total = words.count()
+    thin = 1 << max(0, math.ceil(math.log2(max(total, 1) / SAMPLES)))
+    buckets = max(1, math.ceil(total * EVERY / BUCKET_WORDS))
+    if buckets == 1:
+        return []
+    sample = sorted(bytes(r[0]) for r in words.where(F.pmod(F.xxhash64("w"), F.lit(thin)) == 0).collect())
+    return sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)})
+
 
+def encode(docs: DataFrame, path: str, keys: list[str], text: str = "text", decoded: bool = False) -> DataFrame:
+    """row (the columns ``keys``), n_tokens and ids (little-endian unsigned 32-bit integers) of each row's whole text; ``path``: a tiktoken file of ranks.
+
+    ``decoded``: also decoded_sha256, of the bytes that the ids give when they are decoded again in the same worker.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
-    rows = docs.select(*keys, F.col(text).alias("_text"))
-    out = T.StructType([*docs.select(*keys).schema.fields]).add("n_tokens", T.LongType()).add("ids", T.BinaryType())
-    key_schema = to_arrow_schema(T.StructType(list(docs.select(*keys).schema.fields)))
+    given = docs.select(F.struct("*").alias("_"))
+    rows = given.select(F.struct(*[F.col("_")[k].alias(k) for k in keys]).alias("row"), F.col("_")[text].alias("text"))
+    out = T.StructType([rows.schema["row"]]).add("n_tokens", T.LongType()).add("ids", T.BinaryType())
+    out = out.add("decoded_sha256", T.StringType()) if decoded else out
     blocks = materialise(rows.mapInArrow(_to_blocks, _BLOCKS), "bpe-blocks")
-    total = blocks.agg(F.sum("words")).first()[0] or 0
-    buckets = max(1, math.ceil(total / BUCKET_WORDS))
-    sample = sorted(w for r in blocks.select("samples").orderBy(F.xxhash64("block")).limit(SAMPLE_BLOCKS).collect() for w in map(bytes, r[0]))
-    splitters = sorted({sample[len(sample) * i // buckets] for i in range(1, buckets)}) if sample else []
-    ranks = spark.sparkContext.broadcast((path, read_ranks(path)))
-    words = blocks.select("block", "dictionary").mapInArrow(_dealer(spark.sparkContext.broadcast(splitters)), "bucket int, block long, blob binary")
-    ids = words.groupBy("bucket").applyInArrow(_encoder(ranks), "block long, bucket int, blob binary")
-    none = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
-    homes = blocks.select("block", F.lit(None).cast("int").alias("bucket"), *none("blob"), "positions", "keys")
-    both = homes.unionByName(ids.select("block", "bucket", "blob", *none("positions", "keys")))
-    return both.groupBy("block").applyInArrow(_assembler(key_schema), out)
+    splitters, ranks = spark.sparkContext.broadcast(_splitters(blocks)), spark.sparkContext.broadcast((path, read_ranks(path)))
+    words = blocks.select("block", "dictionary").mapInArrow(_dealer(splitters), "bucket int, block long, blob binary")
+    ids = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encoder(ranks), "block long, bucket int, blob binary")
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    homes = blocks.select("block", *none("int", "bucket"), *none("binary", "blob"), "positions", "keys")
+    both = homes.unionByName(ids.select("block", "bucket", "blob", *none("array<binary>", "positions", "keys")))
+    return both.groupBy("block").applyInArrow(_assembler(out, spark.sparkContext.broadcast(token_table(path)) if decoded else None), out)
 
 
 # ---------------------------------------------------------------- decoding
 
 
+def token_table(path: str) -> pa.Table:
+    """(id, token), a row for each token of the vocabulary, in the order of the ids."""
+    ranks = sorted((rank, token) for token, rank in read_ranks(path).items())
+    return pa.table({"id": pa.array([r for r, _ in ranks], pa.int64()), "token": pa.array([t for _, t in ranks], pa.binary())})
+
+
+def decode_values(ids: pa.Array, table: pa.Table) -> Iterator[bytes | None]:
+    """Each value's ids joined with the token-byte table, and the tokens one after another."""
+    key, tokens = table.column("id").combine_chunks().to_numpy(), table.column("token").combine_chunks()
+    edges = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1].astype(np.int64)
+    body, starts, size = np.frombuffer(tokens.buffers()[2] or b"", np.uint8), edges[:-1], np.diff(edges)
+    dense = len(key) > 0 and key[0] == 0 and key[-1] == len(key) - 1
+    for one in ids:
+        if not one.is_valid:
+            yield None
+            continue
+        own = np.frombuffer(one.as_py(), "<u4").astype(np.int64)
+        row = np.minimum(own if dense else np.searchsorted(key, own), max(len(key) - 1, 0))  # the row of the table with this id
+        if len(own) and (not len(key) or (key[row] != own).any()):
+            raise ValueError("an id is not in the vocabulary")
+        yield b"".join(_spread(body, starts[row[a : a + PIECE_BYTES]], size[row[a : a + PIECE_BYTES]]).tobytes() for a in range(0, len(row), PIECE_BYTES))
+
+
 def decoder(spark, path: str):
-    """An Arrow function from ids to bytes, over the broadcast token-byte table of the vocabulary."""
-    ranks = read_ranks(path)
-    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-    known = np.zeros(len(tokens), bool)
-    known[list(ranks.values())] = True
-    sent = spark.sparkContext.broadcast((b"".join(tokens), sizes, known))
+    """An Arrow function from ids to bytes, over the broadcast token-byte table."""
+    sent = spark.sparkContext.broadcast(token_table(path))
 
     @F.arrow_udf(T.BinaryType())
     def decode(ids: pa.Array) -> pa.Array:
-        body, size, known = sent.value
-        body, starts = np.frombuffer(body, np.uint8), np.cumsum(size) - size
-        out = []
-        for one in ids:
-            if not one.is_valid:
-                out.append(None)
-                continue
-            own = np.frombuffer(one.as_py(), "<u4").astype(np.int64)
-            if len(own) and (own.max() >= len(size) or not known[own].all()):
-                raise ValueError("an id is not in the vocabulary")
-            out.append(_spread(body, starts[own], size[own]).tobytes())
-        return pa.array(out, pa.binary())
+        return pa.array(list(decode_values(ids, sent.value)), pa.binary())
 
     return decode

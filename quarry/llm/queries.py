@@ -28,8 +28,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.encode(table(spark, sf_dir, "documents"), path, ["doc_id"])
-    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(bpe.decoder(spark, path)("ids"), 256).alias("decoded_sha256"))
+    coded = bpe.encode(table(spark, sf_dir, "documents"), path, ["doc_id"], decoded=True)
+    return coded.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
