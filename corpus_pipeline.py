@@ -42,9 +42,10 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(TOKENIZER)
-    coded = materialise(bpe.encode(docs, path, [c for c in docs.columns if c != "text"]), "ids")
-    return coded.withColumn("decoded_sha256", F.sha2(bpe.decoder(spark, path)("ids"), 256))
+    """doc_id, row (all other columns but the text), n_tokens, ids and decoded_sha256."""
+    kept = [c for c in docs.columns if c != "text"]
+    coded = bpe.encode(docs, public_tokenizers.path(TOKENIZER), kept, decoded=True)
+    return coded.select(F.col("row.doc_id").alias("doc_id"), "row", "n_tokens", "ids", "decoded_sha256")
 
 
 STAGES = [
