@@ -2,13 +2,16 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import licences, line_dedup, queries, sharding, url_filter
+from quarry.llm import licence_texts, licences, line_dedup, queries, sharding, url_filter
 from tests.compare import rows_of, rows_of_sql
 
 
@@ -181,32 +184,125 @@ def test_slots_depend_on_the_records_alone(spark, monkeypatch):
 # ---------------------------------------------------------------- licences
 
 
-def test_licence_scan_equals_its_model(spark):
+def plain_words(text):
+    out, word = [], ""
+    for c in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text) + " ":
+        if "a" <= c <= "z" or "0" <= c <= "9":
+            word += c
+        elif word:
+            out.append(word)
+            word = ""
+    return out
+
+
+def plain_scan(model, text):
+    """(n_paragraphs, n_cued, n_licensed, licences, family, score) by plain loops over the model's numbers and the published texts."""
+    lines = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split("\n")
+    cues = set(licence_texts.CUES)
+
+    def judge(paragraph):
+        w = plain_words(paragraph)
+        z = [float(v) for v in model.bias]
+        for gram in {*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))}:
+            z = [a + float(b) for a, b in zip(z, model.weights[zlib.crc32(gram.encode()) % len(model.weights)])]
+        top = max(z)
+        family, score = model.classes[z.index(top)], 1 / sum(math.exp(v - top) for v in z)
+        own = {" ".join(w[i : i + 3]) for i in range(len(w) - 2)}
+        sure = False
+        for notice in licence_texts.TEMPLATES.get(family, []):
+            v = plain_words(notice)
+            want = {" ".join(v[i : i + 3]) for i in range(len(v) - 2)}
+            sure |= len(want & own) >= max(min(2, len(want)), len(want) / 2)
+        return family, score, sure
+
+    has = [i for i, line in enumerate(lines) if cues & set(plain_words(line))]
+    good = [(i, i + 1, *judge(lines[i])) for i in has]
+    good = [g for g in good if g[2] != "unknown" and g[4]]
+    blocks = []
+    for i in has:
+        a, b = i, i + 1
+        while a > 0 and any(c.isalnum() for c in lines[a - 1]):
+            a -= 1
+        while b < len(lines) and any(c.isalnum() for c in lines[b]):
+            b += 1
+        if b - a > 1 and (a, b) not in blocks:
+            blocks.append((a, b))
+    for a, b in blocks:
+        whole = "\n".join(re.sub(r"^[^\S\n]*(dnl|rem|c)(?=\s|$)", "", line) if k < b - a - 1 else re.sub(r"^[^\S\n]*(dnl|rem|c)(?=\s)", "", line) for k, line in enumerate(lines[a:b]))
+        family, score, sure = judge(whole)
+        if family != "unknown" and sure and not any(a <= g[0] < b and g[1] == g[0] + 1 and g[2] == family for g in good if g[1] - g[0] == 1):
+            good.append((a, b, family, score, sure))
+    top = max(((g[3], -g[0], g[2]) for g in good), default=(None, 0, "unknown"))
+    return len(lines), len(has), len(good), ",".join(sorted({g[2] for g in good})), top[2], top[0]
+
+
+def same_scan(rows, want):
+    got = sorted(((r["doc_id"], r["n_paragraphs"], r["n_cued"], r["n_licensed"], r["licences"], r["family"], r["score"]) for r in rows), key=repr)
+    assert len(got) == len(want)
+    for g, w in zip(got, sorted(want, key=repr), strict=True):
+        assert g[:6] == w[:6] and (g[6] is None) == (w[6] is None) and abs((g[6] or 0) - (w[6] or 0)) < 1e-6, (g, w)
+
+
+def test_licence_scan_equals_plain_loops(spark):
     model = licences.train(["The weather was fine. It rained.", "A day by the sea with friends"])
     lines = ["Released under the MIT License.", "nothing here", "ALL RIGHTS RESERVED.", "He lost his license", "Licensed under CC BY-NC 4.0. Contact us", "", "İ Apache License, Version 2.0", "SPDX-License-Identifier: GPL-3.0-or-later"]
-    rows = [(i, "\n".join(lines[i:]), "x") for i in range(8)] + [(9, None, "x"), (9, None, "x"), (10, "word " * 40_000 + "mit license", "x")]
-    docs = spark.createDataFrame(rows, "doc_id int, text string, found string")
+    rows = [(i, "\n".join(lines[i:]), "x") for i in range(8)] + [(9, None, "x"), (9, None, "x"), (10, "word " * 40_000 + "mit license", "x"), (None, "\n\n", "x"), (11, "c\nc released under the\nrem MIT license", "x")]
+    rows += [(20 + i, f"{a}\n{b}", "x") for i, (a, b) in enumerate(zip(licence_texts.NEAR_MISSES, sum(licence_texts.TEMPLATES.values(), [])))]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, found string").withColumn("units", F.lit(1))
     out = licences.scan(docs, model)
-    assert python_free(out)
-    got = out.collect()
-    assert len(got) == len(rows)
-    for r in got:
-        paragraphs = (r["row"]["text"] or "").split("\n")
-        want = [(i, *model.predict(p)) for i, p in enumerate(paragraphs) if re.search(licences.CUE_PATTERN, p.translate(licences._LOWER))]
-        assert r["n_paragraphs"] == len(paragraphs) and [(f["position"], f["family"], f["confirmed"]) for f in r["found"]] == [(a, b, d) for a, b, _, d in want]
-        assert all(abs(f["score"] - w[2]) < 1e-6 for f, w in zip(r["found"], want, strict=True))
+    assert python_free(out) and out.select("row.*").columns == docs.columns
+    same_scan(out.select(F.col("row.doc_id").alias("doc_id"), *licences.summary(out)).collect(), [(d, *plain_scan(model, t)) for d, t, _ in rows])
     first = out.select(F.col("row.doc_id").alias("doc_id"), *licences.summary(out)).where("doc_id = 0").first()
     assert first["licences"] == "Apache,CC-BY-NC,GPL,MIT,Proprietary" and licences.scan(docs.limit(0), model).count() == 0
 
 
-def test_licence_model_on_fresh_rows():
-    model = licences.train(["So it was and so it is, they said, over and over again"] * 3)
-    rows = licences.training_rows(["An evening in the town was long and dark"], seed=123)
-    right = sum(model.predict(p)[0] == c for p, c in rows)
-    assert right / len(rows) > 0.98
-    assert model.predict("The quick brown fox")[0] == licences.UNKNOWN and model.predict("driver license renewed")[0] == licences.UNKNOWN
-    digest = hashlib.sha256(repr(sorted(model.weights)).encode()).hexdigest()
-    assert digest == hashlib.sha256(repr(sorted(licences.train(["So it was and so it is, they said, over and over again"] * 3).weights)).encode()).hexdigest()
+def test_licence_query_equals_plain_loops(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = licences.train(licences.background_of(docs))
+    same_scan(queries.op6_licences(spark, sf).collect(), [(r["doc_id"], *plain_scan(model, r["text"])) for r in docs.collect()])
+
+
+# Written for this test alone: none of it is trained on.
+LICENSED = [
+    ("MIT", "This package is released under the MIT License, see the file LICENSE for details."), ("MIT", "(MIT License) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'Software')"),
+    ("MIT", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY'), ("MIT", "the above copyright notice and this permission notice must be included in all copies or substantial portions of the software"),
+    ("BSD", "* Redistributions of source code must retain the above copyright notice, this list of conditions and the disclaimer below."), ("BSD", "Neither the name of Example Inc. nor the names of its contributors may be used to endorse or promote products derived from this software"),
+    ("Apache", "you may not use this file except in compliance with the License. Licensed under the Apache License, Version 2.0"), ("Apache", "# Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"),
+    ("GPL", "Foo is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the FSF"), ("GPL", "You should have received a copy of the GNU General Public License along with Foo. If not, write to the Free Software Foundation"),
+    ("LGPL", "libfoo is licensed under the GNU Lesser General Public License, version 3 or later"), ("AGPL", "Our server is licensed under the GNU Affero General Public License, version 3"),
+    ("ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appear in all copies"),
+    ("MPL", "This file is subject to the terms of the Mozilla Public License, v. 2.0, as are all others."), ("CC-BY", "Photo: this work is licensed under a Creative Commons Attribution 4.0 International License"), ("CC-BY-SA", "Text is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-NC", "Slides licensed under CC BY-NC 4.0, 2021"), ("CC0", "The author has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide"), ("Proprietary", "Copyright 1999 Example Corp. All rights reserved."), ("Proprietary", "Alle Rechte vorbehalten. Nachdruck nur mit Zustimmung."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+]
+UNLICENSED = [
+    "The MIT license plate was stolen from the General", "A pilot needs a license for every type of aircraft.", "The public domain of the crown was farmed by tenants.", "Her permission was granted after the dinner.", "Warranty claims rose in the second year.", "The BSD conference distributed badges to all persons.",
+    "Two tables were reserved, and all rights turns are closed.", "The Apache people lived in the general region.", "He reads about copyright law and the rights of authors.", "The House of Commons debated licensing hours.", "Driving without a licence is prohibited.", "Confidential talks went on in the city.", "Der Zug fuhr mit Verspätung ab.",
+    "The company is liable for damages of the flood.", "Les droits de douane ont augmenté.", "The seller gave a warranty of two years on the machine.",
+]
+
+
+def test_precision_and_recall_on_unseen_paragraphs(spark):
+    model = licences.train(licences.background_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    rows = [(i, p, want) for i, (want, p) in enumerate([*LICENSED, *(("", p) for p in UNLICENSED)])]
+    out = licences.scan(spark.createDataFrame(rows, "doc_id int, text string, want string"), model)
+    got = out.select("row.want", "row.text", *licences.summary(out)).collect()
+    right = sum(r["licences"] == r["want"] for r in got if r["want"])
+    wrong = [r for r in got if r["licences"] not in ("", r["want"])]
+    assert not wrong and right / len(LICENSED) >= 0.85, [(r["want"], r["licences"], r["text"]) for r in got if r["licences"] != r["want"]]
+    assert model.calibration_error < 0.1 and all(set(plain_words(n)) & set(licence_texts.CUES) for notices in licence_texts.TEMPLATES.values() for n in notices)
+
+
+def test_training_is_repeatable_and_folds_keep_variants_together():
+    background = ["So it was and so it is, they said, over and over again", "The press copyright was debated"] * 3
+    rows = licences.training_rows(background)
+    of = collections.defaultdict(set)
+    for p, c, source in rows:
+        of[source].add(c)
+    assert all(len(c) == 1 for c in of.values()) and len(of) > 250
+    a, b = licences.train(background), licences.train(background)
+    assert (a.weights == b.weights).all() and (a.bias == b.bias).all() and 0 <= a.calibration_error <= 1
+    assert licences.calibration_error(np.array([[0.9, 0.1], [0.9, 0.1]]), np.array([0, 1])) == pytest.approx(0.4)
 
 
 WRAPPED = {
@@ -231,18 +327,24 @@ def test_wrapped_notices_are_found(spark):
 
 
 def test_unknown_is_trained_on_prose_with_cue_words(spark):
-    prose = ["The general public reads the new version of the source", "Rights and permission were in the charge of the author"]
+    prose = ["The general public reads the licensed version of the source", "Rights and permission were in the charge of the author"]
     far = "so it was and\n" * 1_000 + "\n" + prose[1]
     texts = [prose[0] + "\nand more of it", far, WRAPPED["GPL"], "Released under the MIT License.\nThe end"]
     background = licences.background_of(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string"))
-    rows = licences.training_rows(background)
-    unknown = {p for p, c in rows if c == licences.UNKNOWN}
+    unknown = {p for p, c, _ in licences.training_rows(background) if c == licences.UNKNOWN}
     lower = lambda p: p.translate(licences._LOWER)
     assert {lower(prose[0]), lower(prose[0]) + "\nand more of it", lower(prose[1])} <= unknown
-    assert not unknown & {lower(line) for line in WRAPPED["GPL"].split("\n") + ["Released under the MIT License."]}
-    assert {c for p, c in licences.training_rows(["Released under the MIT License.", *prose]) if p in prose} == {licences.UNKNOWN}
+    assert not unknown & {lower(WRAPPED["GPL"]), lower("Released under the MIT License.")}
+    assert {c for p, c, _ in licences.training_rows(["Released under the MIT License.", *prose]) if p in prose} == {licences.UNKNOWN}
     # Held-out prose of the corpus, in other words than the near misses, is unknown with a higher probability than without it.
-    corpus = [f"{a} general version of the {b} was in the public charge of the city" for a in ("a", "one", "this", "that", "each") for b in ("road", "bridge", "market", "school", "river", "park")]
-    held = "her general version of the story was in the public charge of the city"
-    with_prose, without = licences.train(corpus).predict(held), licences.train(["so it was"]).predict(held)
-    assert with_prose[0] == licences.UNKNOWN and with_prose[1] > (without[1] if without[0] == licences.UNKNOWN else 0)
+    corpus = [f"{a} licensed version of the {b} was in the public charge of the city" for a in ("a", "one", "this", "that", "each") for b in ("road", "bridge", "market", "school", "river", "park")]
+    held = "her licensed version of the story was in the public charge of the city"
+    with_prose, without = plain_unknown(licences.train(corpus), held), plain_unknown(licences.train(["so it was"]), held)
+    assert with_prose > without
+
+
+def plain_unknown(model, paragraph):
+    """The probability of unknown."""
+    w = plain_words(paragraph)
+    z = model.bias + sum(model.weights[zlib.crc32(g.encode()) % len(model.weights)] for g in {*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))})
+    return float(np.exp(z[-1]) / np.exp(z).sum())
