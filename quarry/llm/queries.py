@@ -61,7 +61,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as token files of 2-byte ids, each ended by id 50256, which the vocabulary leaves free."""
+    """Documents as flat token files of 2-byte ids, each ended by id 50256, which the vocabulary leaves free; the files are then read without knowing where documents end."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return token_counts.count_by_document(token_counts.pack(table(spark, sf_dir, "documents"), ranks, separator=50256), separator=50256)
 
