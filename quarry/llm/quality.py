@@ -2,9 +2,11 @@
 
 Each document's text gives ``len(NAMES)`` statistics of its characters, words and
 lines, taken to a scale on which good prose is near a normal distribution (logs
-of counts, log odds of shares).  For each class the sums of the statistics and
-of their products are gathered over all labelled rows by a distributed sum, of
-which some hundred numbers come to the driver.  The class covariance is shrunk:
+of counts, log odds of shares); the texts of a batch are taken together, and equal
+words, pairs and lines are found by 64-bit hashes.  For each class the sums of the
+statistics and of their products are gathered over at most ``FIT_ROWS`` labelled
+rows, those with the smallest hashes of their id, by a distributed sum, of which
+some hundred numbers come to the driver; no other text is read for the model.  The class covariance is shrunk:
 (1 - POOL) of its own and POOL of the pooled covariance, then RIDGE of it is
 replaced by its mean variance on the diagonal, all on statistics scaled to unit
 variance.  Its Cholesky factor is computed once and goes along with the model; a
@@ -22,7 +24,9 @@ only the text is read for a score; other columns are not touched.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import materialise, pieces
+
 NAMES = [
     "log_words", "log_word_length", "log_word_spread", "upper", "lower", "digit", "non_ascii", "stop_mark", "symbol", "blank", "newline",
     "distinct_words", "distinct_pairs", "top_word", "twins", "byte_entropy", "odd_words", "distinct_lines", "log_line_length", "no_words",
@@ -41,50 +47,129 @@ POOL, RIDGE = 0.1, 0.05
 TEMPER = 0.25
 #: With so many words the statistics count half.
 FEW = 8
+#: Most labelled rows that the model learns from.
+FIT_ROWS = 20_000
 
 _CLASS = np.full(256, 5)  # symbols
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58], _CLASS[128:] = 0, 1, 2, 3
 for _mark in b".,;:?'-()\"":
     _CLASS[_mark] = 4
 _CLASS[[32, 9, 11, 12, 13]], _CLASS[10] = 6, 7
-
-
-def _odds(part: float, whole: float) -> float:
-    return math.log((part + 0.5) / (whole - part + 0.5)) if whole > part else math.log((part + 0.5) / 0.5)
-
-
-def statistics(text: str | None) -> list[float]:
-    """The values of NAMES for one text."""
-    data = (text or "").encode("utf-8", "replace")
-    words = data.split()
-    n = len(words)
-    hist = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
-    kinds = np.bincount(_CLASS, weights=hist, minlength=8)
-    size = max(len(data), 1)
-    share = hist[hist > 0] / size
-    lengths = np.fromiter(map(len, words), np.int64, n)
-    mean = float(lengths.mean()) if n else 0.0
-    counts: dict[bytes, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    pairs = len(set(zip(words, words[1:], strict=False)))
-    twins = sum(map(bytes.__eq__, words, words[1:])) if n > 1 else 0
-    odd = sum(1 for w in words if not (w[-1] >= 0x61 or w[-1] in b".,;:?")) if n else 0
-    lines = data.split(b"\n")
-    letters = kinds[0] + kinds[1] + kinds[3]
-    return [
-        math.log1p(n), math.log1p(mean), math.log1p(float(lengths.std())) if n else 0.0, _odds(kinds[0], letters), _odds(kinds[1], size), _odds(kinds[2], size), _odds(kinds[3], size), _odds(kinds[4], size), _odds(kinds[5], size), _odds(kinds[6], size), _odds(kinds[7], size),
-        _odds(len(counts), n), _odds(pairs, max(n - 1, 0)), _odds(max(counts.values(), default=0), n), _odds(twins, max(n - 1, 0)), float(-(share * np.log(share)).sum()), _odds(odd, n), _odds(len(set(lines)), len(lines)), math.log1p(len(data) / len(lines)), float(n == 0),
-    ]
+#: Bytes between words, and bytes at the end of a word that neither go on in small letters nor end a sentence.
+_BLANK, _ODD_END = np.isin(np.arange(256), list(b" \t\n\r\x0b\f")), ~((np.arange(256) >= 0x61) | np.isin(np.arange(256), list(b".,;:?")))
+
+
+_U = np.uint64
+#: Bytes whose hashes are taken together, and of a range that is hashed on its own.
+_SPAN, _LONG = 1 << 20, 1 << 12
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
+    return h ^ (h >> _U(31))
+
+
+def _powers() -> list[np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
+    if not _POWERS:
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            _POWERS.append(np.concatenate([[_U(1)], np.cumprod(np.full(_SPAN + _LONG, base, _U))]))
+    return _POWERS
+
+
+def range_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of each range of bytes; the ranges are in order and do not overlap."""
+    out = np.empty(len(first), _U)
+    size = last - first
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[first[i] : last[i]].tobytes(), digest_size=8).digest(), "little")
+    short = np.flatnonzero(size <= _LONG)
+    up, down = _powers()
+    a = 0
+    while a < len(short):
+        start = int(first[short[a]])
+        b = max(a + 1, int(np.searchsorted(last[short], start + _SPAN, side="right")))
+        rows = short[a:b]
+        part = data[start : int(last[rows[-1]])].astype(_U) + _U(1)
+        sums = np.concatenate([[_U(0)], np.cumsum(part * up[: len(part)])])
+        at = first[rows] - start
+        out[rows] = _mix((sums[last[rows] - start] - sums[at]) * down[at] + size[rows].astype(_U))
+        a = b
+    return out
+
+
+def _repeats(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many distinct values each document has, and how often its most frequent one comes."""
+    if not len(hashes):
+        return np.zeros(n, np.int64), np.zeros(n, np.int64)
+    bits = _U(64 - max(n - 1, 1).bit_length())
+    key = np.sort(doc.astype(_U) << bits | hashes >> (_U(64) - bits))
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    owner = (key[starts] >> bits).astype(np.int64)
+    top = np.zeros(n, np.int64)
+    np.maximum.at(top, owner, np.diff(np.append(starts, len(key))))
+    return np.bincount(owner, minlength=n), top
+
+
+def _odds(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.log((part + 0.5) / (np.maximum(whole - part, 0) + 0.5))
 
 
 def statistics_of(texts: list[str | None]) -> np.ndarray:
-    return np.array([statistics(t) for t in texts], np.float64).reshape(-1, len(NAMES))
+    """The values of NAMES for each text."""
+    parts = [(t or "").encode("utf-8", "replace") for t in texts]
+    n = len(parts)
+    if not n:
+        return np.zeros((0, len(NAMES)))
+    data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)  # a newline ends each text and belongs to none
+    length = np.fromiter(map(len, parts), np.int64, n)
+    ends = np.cumsum(length + 1) - 1
+    begins = ends - length
+    hist = np.stack([np.bincount(data[a:b], minlength=256) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)])
+    kinds = np.stack([hist[:, _CLASS == k].sum(1) for k in range(8)], 1)
+    size = np.maximum(length, 1)
+    share = hist / size[:, None]
+    entropy = -(share * np.log(np.where(hist > 0, share, 1))).sum(1)
+
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], ~_BLANK[data], [False]]).view(np.int8)))
+    first, last = edges[::2], edges[1::2]
+    doc = np.searchsorted(ends, first)
+    words = np.bincount(doc, minlength=n)
+    wide = (last - first).astype(np.float64)
+    mean = np.bincount(doc, wide, n) / np.maximum(words, 1)
+    spread = np.sqrt(np.bincount(doc, np.square(wide - mean[doc]), n) / np.maximum(words, 1))
+    hashes = range_hashes(data, first, last)
+    inner = np.flatnonzero(doc[1:] == doc[:-1])
+    distinct, top = _repeats(hashes, doc, n)
+    pairs, _ = _repeats(_mix(hashes[inner] * _U(_BASE) + hashes[inner + 1]), doc[inner], n)
+    twins = np.bincount(doc[inner[hashes[inner] == hashes[inner + 1]]], minlength=n)
+    odd = np.bincount(doc[_ODD_END[data[last - 1]]], minlength=n)
+
+    stops = np.flatnonzero(data == 10)
+    of_line = np.searchsorted(ends, stops)
+    lines = np.bincount(of_line, minlength=n)
+    distinct_lines, _ = _repeats(range_hashes(data, np.concatenate([[0], stops[:-1] + 1]), stops), of_line, n)
+
+    letters = kinds[:, 0] + kinds[:, 1] + kinds[:, 3]
+    gaps = np.maximum(words - 1, 0)
+    return np.stack([
+        np.log1p(words), np.log1p(mean), np.log1p(spread), _odds(kinds[:, 0], letters), _odds(kinds[:, 1], size), _odds(kinds[:, 2], size), _odds(kinds[:, 3], size), _odds(kinds[:, 4], size), _odds(kinds[:, 5], size), _odds(kinds[:, 6], size), _odds(kinds[:, 7], size),
+        _odds(distinct, words), _odds(pairs, gaps), _odds(top, words), _odds(twins, gaps), entropy, _odds(odd, words), _odds(distinct_lines, lines), np.log1p(length / lines), (words == 0).astype(np.float64),
+    ], 1)
+
+
+def _in_parts(text: pa.Array) -> Iterator[np.ndarray]:
+    """The statistics of some texts at a time, of one that is longer alone."""
+    for part in pieces(iter([pa.RecordBatch.from_arrays([text], ["t"])]), "t", _SPAN):
+        yield statistics_of(part.column(0).to_pylist())
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def text_statistics(text: pa.Array) -> pa.Array:
-    found = np.concatenate([statistics_of([t.as_py() for t in text])]) if len(text) else np.zeros((0, len(NAMES)))
+    found = np.concatenate([np.zeros((0, len(NAMES))), *_in_parts(text)])
     return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(NAMES), pa.int32()), pa.array(found.ravel()))
 
 
@@ -138,12 +223,16 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
-    """Learn from all labelled rows that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = FIT_ROWS) -> Model:
+    """Learn from labelled rows that are not held out, at most ``most``."""
     d = len(NAMES)
     upper = [(i, j) for i in range(d) for j in range(i, d)]
-    marks = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
-    stats = docs.select(F.col(doc_id).alias("_doc"), text_statistics(F.col(text)).alias("_x"))  # text stays where it is; only statistics are shuffled
+    marks = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
+    share = min(1.0, 2 * most / max(marks.count(), 1))  # about twice as many as are wanted pass by their hash
+    passed = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    drawn = materialise(passed.orderBy(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)), "_id", "_label").limit(most), "labels")  # so few that they can be broadcast
+    given = docs.select(F.struct("*").alias("row")).select(F.col("row")[doc_id].alias("_doc"), F.col("row")[text].alias("_text"))
+    stats = given.join(F.broadcast(drawn), F.col("_doc") == F.col("_id")).select("_label", text_statistics(F.col("_text")).alias("_x"))
 
     def sums(batches):
         held = np.zeros((2, 1 + d + len(upper)))
@@ -156,7 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 held[c] += np.concatenate([[len(own)], own.sum(0), (own.T @ own)[a, b]])
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(list(held), pa.list_(pa.float64()))], names=["c", "s"])
 
-    parts = stats.join(marks, F.col("_doc") == F.col("_id")).select("_label", "_x").mapInArrow(sums, "c int, s array<double>")
+    parts = stats.mapInArrow(sums, "c int, s array<double>")
     rows = parts.select("c", F.posexplode("s").alias("at", "v")).groupBy("c", "at").agg(F.sum("v").alias("v")).collect()  # 2 * (1 + d + d * (d + 1) / 2) numbers
     found = np.zeros((2, 1 + d + len(upper)))
     for r in rows:
@@ -173,11 +262,12 @@ def scorer(model: Model):
 
     @F.arrow_udf(T.DoubleType())
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(model.score(statistics_of([t.as_py() for t in text])), pa.float64())
+        return pa.array(np.concatenate([np.zeros(0), *map(model.score, _in_parts(text))]), pa.float64())
 
     return score
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.3, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that score at least ``least``, with their columns."""
-    return docs.select(F.struct(*docs.columns).alias("_row"), scorer(model)(F.col(text)).alias("_score")).where(F.col("_score") >= least).select("_row.*")
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.select("row", scorer(model)(F.col("row")[text]).alias("score")).where(F.col("score") >= least).select("row.*")

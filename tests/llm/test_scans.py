@@ -1,12 +1,15 @@
 """Decontamination, token counts and quality against brute force and held-out rows."""
 
+import collections
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -80,38 +83,86 @@ def test_query_digests(spark, sf):
 # ---------------------------------------------------------------- separators
 
 
-def test_separator_scan_equals_a_plain_loop(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(token_counts, "GROUP", 2)
-    rng = np.random.default_rng(0)
-    blocks, want = [], []
-    for f in range(6):
-        ids = rng.integers(0, 12, rng.integers(1, 200)) if f else np.full(40, 3)
-        ids = np.full(50, 1) if f == 1 else ids
-        (tmp_path / f"{f}.bin").write_bytes(ids.astype("<u2").tobytes())
-        blocks += [(f, b // 7, ids[b : b + 7].astype("<u2").tobytes()) for b in range(0, len(ids), 7)]
-        start, ordinal = 0, 0
-        for i, x in enumerate(ids):
-            if x == 3:
-                want.append((f, ordinal, start, i - start, True))
-                start, ordinal = i + 1, ordinal + 1
-        if start < len(ids):
-            want.append((f, ordinal, start, len(ids) - start, False))
-    rows = lambda df: sorted((r["file"], r["ordinal"], r["start"], r["n_tokens"], r["ended"]) for r in df.collect())
-    assert rows(token_counts.count_tokens(spark.createDataFrame(blocks, "file int, block int, data binary"), 3)) == sorted(want)
-    flat = token_counts.read_flat(spark, str(tmp_path), block_ids=7).withColumn("file", F.regexp_extract("file", r"(\d+)\.bin", 1).cast("int"))
-    assert rows(token_counts.count_tokens(flat, 3)) == sorted(want)
-    none = spark.createDataFrame([(1, 0, None)], "file int, block int, data binary")
-    assert token_counts.count_tokens(none, 3).count() == 0 and token_counts.count_tokens(none.limit(0), 3).count() == 0
-
-
-def test_counts_of_documents(spark, sf):
+def plain_counts(file, ids, sep):
+    out, start = [], 0
+    for i, x in enumerate(ids):
+        if x == sep:
+            out.append((file, len(out), start, i - start, True))
+            start = i + 1
+    return out + ([(file, len(out), start, len(ids) - start, False)] if start < len(ids) else [])
+
+
+def counts_of(df, pattern=r"(\d+)\.bin"):
+    return sorted((int(re.search(pattern, r["file"])[1]), r["ordinal"], r["start"], r["n_tokens"], r["ended"]) for r in df.collect())
+
+
+@pytest.mark.parametrize("width,sep", [(2, 3), (2, 0x0A0A), (2, 0xC450), (4, 50256), (4, 0x0A0A0A0A), (2, 0xBBEF)])
+def test_flat_files_of_any_split_equal_a_plain_loop(spark, monkeypatch, tmp_path, width, sep):
+    monkeypatch.setattr(token_counts, "GROUP", 300)
+    real = token_counts._searcher
+
+    def small(*args):
+        run = real(*args)
+
+        def search(batches):
+            token_counts.PIECE = 5
+            return run(batches)
+
+        return search
+
+    monkeypatch.setattr(token_counts, "_searcher", small)
+    rng = np.random.default_rng(width + sep)
+    pool = [sep, sep, 0x0A0A, 0x0A, 0x0A00, sep >> 8, sep & 255, 7, 0xEFBB, 0xBBEF, 0xBFBF, 0x0D0A]
+    want = []
+    for f in range(7):
+        ids = [[], [sep], [sep] * 40, [7] * 50, [0xBBEF, 0xBF00 | (sep & 255), 5, sep]][f] if f < 5 else [pool[k] for k in rng.integers(0, len(pool), 900)]
+        (tmp_path / f"{f}.bin").write_bytes(np.array(ids, f"<u{width}").tobytes())
+        want += plain_counts(f, ids, sep)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for split in ("64", "1000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            pieces = token_counts.search(token_counts.read_flat(spark, str(tmp_path)), sep, width)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert counts_of(token_counts.count_tokens(pieces, sep, width)) == sorted(want), split
+
+
+def test_chunks_in_memory_and_their_edges(spark):
+    chunks = spark.createDataFrame([("1.bin", None, 0, b"\x01\x00\x03"), ("1.bin", None, 1, b"\x00\x03"), ("1.bin", None, 2, b"\x00\x05\x00"), ("2.bin", None, 0, None)], "file string, size long, place int, data binary").coalesce(1)
+    got = counts_of(token_counts.count_tokens(token_counts.search(chunks, 3, lines=False), 3))
+    assert got == [(1, 0, 0, 1, True), (1, 1, 2, 0, True), (1, 2, 3, 1, False)]
+    assert token_counts.count_tokens(token_counts.search(chunks.limit(0), 3, lines=False), 3).count() == 0
+    odd = spark.createDataFrame([("1.bin", None, 0, b"\x01")], "file string, size long, place int, data binary")
+    with pytest.raises(Exception, match="whole number"):
+        token_counts.count_tokens(token_counts.search(odd, 3, lines=False), 3).collect()
+
+
+def test_counts_of_documents(spark, sf, tmp_path):
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (-1, ""), (-1, ""), (-2, "word " * 70_000)], "doc_id long, text string"))
-    packed = token_counts.pack(docs, ranks, 50256, block_ids=1000)
-    got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in token_counts.count_by_document(packed, 50256).collect())
-    assert got == sorted((str(r["doc_id"]), len(coder.encode_ordinary(r["text"] or ""))) for r in docs.collect())
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("cast(doc_id AS string) AS doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(None, None), ("x", ""), ("x", ""), ("y", "word " * 70_000)], "doc_id string, text string")).selectExpr("*", "1 AS part", "2 AS ids").repartition(3)
+    docs.write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    packed = token_counts.pack(docs, ranks, 50256)
+    out = token_counts.count_by_document(packed, 50256).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in out) == sorted((str(r["doc_id"]), len(coder.encode_ordinary(r["text"] or ""))) for r in docs.collect())
+    for part in {r["file"] for r in out}:
+        own = sorted((r["ordinal"], r["start"], r["n_tokens"]) for r in out if r["file"] == part)
+        assert [o for o, _, _ in own] == list(range(len(own))) and all(a[1] + a[2] + 1 == b[1] for a, b in zip(own, own[1:], strict=False))
     assert token_counts.count_by_document(token_counts.pack(docs.limit(0), ranks, 50256), 50256).count() == 0
+    with pytest.raises(Exception, match="agree"):
+        token_counts.count_by_document((packed[0], packed[1].where("ordinal <> 1")), 50256).collect()
+    with pytest.raises(ValueError):
+        token_counts.pack(docs, ranks, 50255)
+
+
+def test_token_count_query_against_the_library(spark, sf):
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    got = sorted((r["doc_id"], r["n_tokens"]) for r in queries.op9_token_counts(spark, sf).collect())
+    assert got == sorted((r["doc_id"], len(coder.encode_ordinary(r["text"] or ""))) for r in docs)
 
 
 # ---------------------------------------------------------------- quality
@@ -136,6 +187,71 @@ def test_model_is_the_textbook_formula():
     assert np.allclose(got, density, atol=1e-3)
 
 
+def plain_statistics(text):
+    """One text, by plain loops."""
+    data = (text or "").encode()
+    w = data.split()
+    n, size = len(w), max(len(data), 1)
+    odds = lambda part, whole: math.log((part + 0.5) / (max(whole - part, 0) + 0.5))
+    count = lambda test: sum(map(test, data))
+    upper, small, digit, high = count(lambda b: 65 <= b < 91), count(lambda b: 97 <= b < 123), count(lambda b: 48 <= b < 58), count(lambda b: b >= 128)
+    stops, blanks, newlines = count(lambda b: b in b".,;:?'-()\""), count(lambda b: b in b" \t\x0b\f\r"), count(lambda b: b == 10)
+    other = len(data) - upper - small - digit - high - stops - blanks - newlines
+    mean = sum(map(len, w)) / n if n else 0
+    spread = math.sqrt(sum((len(x) - mean) ** 2 for x in w) / n) if n else 0
+    pairs = list(zip(w, w[1:]))
+    lines = data.split(b"\n")
+    shares = [c / size for c in collections.Counter(data).values()]
+    return [
+        math.log1p(n), math.log1p(mean), math.log1p(spread), odds(upper, upper + small + high), odds(small, size), odds(digit, size), odds(high, size), odds(stops, size), odds(other, size), odds(blanks, size), odds(newlines, size),
+        odds(len(set(w)), n), odds(len(set(pairs)), len(pairs)), odds(max(collections.Counter(w).values(), default=0), n), odds(sum(a == b for a, b in pairs), len(pairs)), -sum(p * math.log(p) for p in shares),
+        odds(sum(not (x[-1] >= 0x61 or x[-1] in b".,;:?") for x in w), n), odds(len(set(lines)), len(lines)), math.log1p(len(data) / len(lines)), float(n == 0),
+    ]
+
+
+def test_statistics_equal_plain_loops(spark, sf, monkeypatch):
+    rng = random.Random(3)
+    texts = [None, "", " ", "\n\n", "a", "A a A a", "é è\té", "x" * 9_000 + " " + "x" * 9_000 + "\n" + "x" * 9_000, "same line\n" * 700, "".join(rng.choice("ab \n.") for _ in range(5_000)), "\x1c \x85 \u3000 w"]
+    texts += [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    want = np.array([plain_statistics(t) for t in texts])
+    assert np.allclose(quality.statistics_of(texts), want, atol=1e-9) and quality.statistics_of([]).shape == (0, len(quality.NAMES))
+    monkeypatch.setattr(quality, "_SPAN", 700)
+    assert np.allclose(quality.statistics_of(texts), want, atol=1e-9)
+
+
+def test_query_scores_equal_the_textbook_formula(spark, sf):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    learnt = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["doc_id"] in docs and r["quality"] in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    stats = {d: np.array(plain_statistics(t)) for d, t in docs.items()}
+    x, y = np.array([stats[d] for d, _ in learnt]), np.array([q for _, q in learnt])
+    centre, scale = x.mean(0), np.where(x.var(0) > 1e-12, x.std(0), 1)
+    z, d = (x - centre) / scale, x.shape[1]
+    covs = [np.cov(z[y == c].T, bias=True) for c in (0, 1)]
+    pooled = sum((y == c).sum() * covs[c] for c in (0, 1)) / len(y)
+    shrunk = [(1 - quality.POOL) * c + quality.POOL * pooled for c in covs]
+    shrunk = [(1 - quality.RIDGE) * c + quality.RIDGE * (np.trace(c) / d + 1e-6) * np.eye(d) for c in shrunk]
+    means = [z[y == c].mean(0) for c in (0, 1)]
+
+    def score(own):
+        t = (own - centre) / scale
+        density = [-0.5 * ((t - m) @ np.linalg.solve(c, t - m) + np.linalg.slogdet(c)[1]) for m, c in zip(means, shrunk, strict=True)]
+        n = math.expm1(own[0])
+        return 1 / (1 + math.exp(-(quality.TEMPER * n / (n + quality.FEW) * (density[1] - density[0]) + math.log((y == 1).sum() / (y == 0).sum()))))
+
+    got = {r["doc_id"]: r for r in queries.op10_quality(spark, sf).collect()}
+    assert got.keys() == docs.keys()
+    for i, r in got.items():
+        assert abs(r["score"] - score(stats[i])) < 1e-6 and r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_repeated_labels_and_labels_without_documents(spark):
+    docs = spark.createDataFrame([(1, "one two three."), (2, "@@ ## $$"), (3, "four five six."), (4, "%% && !!"), (None, "x")], "doc_id long, text string")
+    labels = [(1, 1), (1, 1), (2, 0), (3, 1), (4, 0), (99, 1), (None, 1), (2, None), (3, 7)]
+    model = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert model.rows.tolist() == [sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (2, 4)), sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (1, 1, 3))]
+    assert quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"), most=2).rows.sum() <= 2
+
+
 def test_held_out_accuracy_and_edges(spark):
     sf = "/root/testdata/sf0.01"
     scores = {r["doc_id"]: r for r in queries.op10_quality(spark, sf).collect()}
