@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -24,17 +24,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         while True:
             above = hook.select(F.col("node").alias("up"), F.col("up").alias("_top"))
             jumped = materialise(hook.join(above, "up", "left").select("node", F.coalesce("_top", "up").alias("up"), F.col("_top").isNotNull().alias("_moved")), "hooks")
+            discard(hook)
             hook = jumped.select("node", "up")
             if jumped.where("_moved").isEmpty():
                 break
+        to = lambda end: hook.select(F.col("node").alias(end), F.col("up").alias(f"_{end}"))
+        ends = live.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"))
+        left = materialise(ends.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        discard(live)
+        live = left
         if total is None:
             total = hook
         else:  # roots of the rounds before may have moved; new nodes do not appear
             moved = hook.select(F.col("node").alias("up"), F.col("up").alias("_top"))
-            total = materialise(total.join(moved, "up", "left").select("node", F.coalesce("_top", "up").alias("up")).unionByName(hook), "roots")
-        to = lambda end: hook.select(F.col("node").alias(end), F.col("up").alias(f"_{end}"))
-        ends = live.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"))
-        live = materialise(ends.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+            older, total = total, materialise(total.join(moved, "up", "left").select("node", F.coalesce("_top", "up").alias("up")).unionByName(hook), "roots")
+            discard(older)
+            discard(hook)
     if total is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = total.select(F.col("up").alias("node"), F.col("up").alias("component")).distinct()

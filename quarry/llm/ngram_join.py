@@ -22,7 +22,8 @@ words, or of all its words if it has fewer.
 
 Defined cases: rows without words are copies of rows with equal text and have no
 other links; null text is an empty text; a null id is an id like others; repeated
-rows are documents of their own; an empty table gives an empty result.
+rows are documents of their own; an empty table gives an empty result; materialised
+steps that nothing reads any more are removed.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, materialise, pieces
+from .common import bound_batches, discard, materialise, pieces
 from .graph import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -310,23 +311,35 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     meets = work.join(texts, "class").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meets = meets.select("class", "size", "bands", "_text", "block", "group", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     found = materialise(meets.groupBy("group", "band", "i", "j").applyInArrow(_verifier(threshold), _FOUND), "links")
+    for done in (members, parts, sizes):
+        discard(done)
 
     groups = components(found.select(F.col("class").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "class")
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     each = classes.select("class", "rep", "size").join(links, "class", "left").join(groups, "class", "left").withColumn("component", F.coalesce("component", "class"))
     each = materialise(each, "linked")
+    for done in (found, classes):
+        discard(done)
     firsts = each.groupBy("component").agg(F.min("rep").alias("keep"))
     each = each.join(firsts, "component").select("class", "rep", "keep", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"))
     return signs.select("_doc", "_hash", "class").join(each, "class").select("_doc", "_hash", F.col("keep._doc").alias("class_id"), "n_links", F.col("rep._doc").alias("copy_of"), "keep")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, with their columns, of which one of each group stays: that with the smallest id."""
-    from pyspark.sql import Window
+    """The rows of ``docs``, with their columns, of which one of each group stays: that with the smallest id.
 
+    Of rows with that id, the one with the smallest hash of its text stays, and of
+    rows with equal texts too the first by all columns as JSON.
+    """
     found = similar(docs, threshold, doc_id=doc_id, text=text)
-    lost = found.where(~(F.col("keep._doc").eqNullSafe(F.col("_doc")) & (F.col("keep._hash") == F.col("_hash")))).select(F.col("_doc").alias("_lost"), F.col("_hash").alias("_lost_hash")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_hash"))
-    left = rows.join(lost, F.col("_row")[doc_id].eqNullSafe(F.col("_lost")) & (F.col("_hash") == F.col("_lost_hash")), "left_anti")
-    same = Window.partitionBy(F.col("_row")[doc_id], "_hash").orderBy("_hash")
-    return left.withColumn("_n", F.row_number().over(same)).where("_n = 1").select("_row.*")  # repeated rows have one id and text
+    key = found.groupBy("_doc", "_hash").agg(F.first("keep").alias("keep"), F.count(F.lit(1)).alias("n"))
+    stays = F.col("keep._doc").eqNullSafe(F.col("_doc")) & (F.col("keep._hash") == F.col("_hash"))
+    key = materialise(key.select(F.col("_doc").alias("_own"), F.col("_hash").alias("_own_hash"), stays.alias("stays"), (F.col("n") > 1).alias("often")).where(~F.col("stays") | F.col("often")), "decided")
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.xxhash64(F.coalesce(F.col("row")[text], F.lit(""))).alias("_hash"))
+    own = F.col("row")[doc_id].eqNullSafe(F.col("_own")) & (F.col("_hash") == F.col("_own_hash"))
+    single = rows.join(key.select("_own", "_own_hash"), own, "left_anti").select("row")
+    repeated = key.where("stays AND often")
+    if repeated.isEmpty():
+        return single.select("row.*")
+    same = rows.join(repeated, own).groupBy(F.col("row")[doc_id], "_hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return single.unionByName(same.select("row")).select("row.*")

@@ -93,6 +93,17 @@ _WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE: dict[str, str] = {
+    "op4_ngram_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+') AS ws FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN ['no words: ' || text] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda k: array_to_string(ws[k:k + 4], ' ')))) END AS gs FROM d),
+k AS (SELECT row_number() OVER () AS k, * FROM (SELECT gs, count(*) AS size, min(doc_id) AS rep FROM g GROUP BY gs)),
+p AS (SELECT k, len(gs) AS m, unnest(gs) AS gram FROM k),
+l AS (SELECT a.k AS x, b.k AS y FROM p a JOIN p b ON a.gram = b.gram AND a.k <> b.k AND least(a.m, b.m) >= 0.8 * greatest(a.m, b.m) - 1e-9
+      GROUP BY a.k, b.k HAVING count(*) >= 0.8 * (max(a.m) + max(b.m) - count(*)) - 1e-9),
+r(x, y) AS (SELECT k, k FROM k UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT r.x AS k, min(k.rep) AS class_id FROM r JOIN k ON r.y = k.k GROUP BY r.x),
+n AS (SELECT l.x AS k, sum(k.size) AS n FROM l JOIN k ON l.y = k.k GROUP BY l.x)
+SELECT doc_id, class_id, (size - 1 + coalesce(n, 0))::BIGINT AS n_links, rep AS copy_of FROM g JOIN k USING (gs) JOIN c USING (k) LEFT JOIN n USING (k)""",
     "op2_url_filter": f"""
 WITH r(action, host, path) AS (VALUES {", ".join(repr(r) for r in URL_RULES)}),
 u AS (SELECT row_number() OVER () AS n, page_id, {_HOST} AS host, {_PATH} AS path FROM pages),

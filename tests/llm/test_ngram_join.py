@@ -57,8 +57,13 @@ def test_join_equals_brute_force(spark, monkeypatch, classes, component):
     monkeypatch.setattr(J, "COMPONENT_CLASSES", component)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id int, text string, keep int, class_id string")
-    got = sorted((r["_doc"], r["class_id"], r["n_links"]) for r in J.similar(docs).collect())
-    assert got == brute(rows)
+    found = J.similar(docs).collect()
+    assert sorted((r["_doc"], r["class_id"], r["n_links"]) for r in found) == brute(rows)
+    alike = collections.defaultdict(list)
+    for i, t in rows:
+        w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+        alike[frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else t].append(i)
+    assert {r["_doc"]: r["copy_of"] for r in found} == {i: min(own) for own in alike.values() for i in own}
 
 
 def test_one_of_each_group_stays(spark):
@@ -71,6 +76,23 @@ def test_one_of_each_group_stays(spark):
     assert J.similar(docs.limit(0)).count() == 0 and J.keep_one(docs.limit(0)).count() == 0
 
 
+def test_ties_are_decided_by_the_rows_alone(spark):
+    rows = [(1, "a b c", 5, "x"), (1, "a b c", 3, "y"), (1, "a b c", 3, "z"), (2, "A b c", 1, "w"), (7, "other words", 1, "w"), (7, "other words", 1, "w")]
+    kinds = "doc_id int, text string, keep int, `dotted.name` string"
+    kept = [sorted(map(str, J.keep_one(spark.createDataFrame(given, kinds).repartition(n)).collect())) for n, given in ((1, rows), (4, rows[::-1]))]
+    assert kept[0] == kept[1] and len(kept[0]) == 2 and "keep=3" in kept[0][0] and "'y'" in kept[0][0]
+
+
+def test_recall_on_the_tables(spark, duck):
+    """Links of every document against all others."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in rows if (w := re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower()))}
+    near = lambda a, b: min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) - 1e-9 and len(a & b) >= 0.8 * len(a | b) - 1e-9
+    want = {i: sum(j != i and near(s, sets[j]) for j in sets) for i, s in sets.items()}
+    got = {r["_doc"]: r["n_links"] for r in J.similar(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    assert sum(want.values()) > 150 and {i: got[i] for i in want} == want
+
+
 def test_bands_reach_their_recall():
     bands, rows = J.plan_bands(0.8, 0.9999)
     assert bands * rows <= J.PERMUTATIONS and 1 - (1 - 0.8**rows) ** bands >= 0.9999
