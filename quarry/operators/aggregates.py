@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def histogram(df: DataFrame, by: list[str], value: Column) -> DataFrame:
@@ -53,7 +58,21 @@ def grains(df: DataFrame, levels: list[str], **aggregates: Column) -> DataFrame:
     return df.rollup(*levels).agg((F.lit(len(levels)) - sum((F.grouping(c) for c in levels), F.lit(0))).cast("int").alias("grain"), *[a.alias(n) for n, a in aggregates.items()])
 
 
-def byte_entropy(df: DataFrame, by: list[str], symbol: Column) -> DataFrame:
-    """Entropy in bits of the symbols of each group, from counts that are summed before they are shuffled."""
-    n = df.groupBy(*by, symbol.alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
-    return n.groupBy(*by).agg(F.sum("_n").alias("symbols"), (F.log2(F.sum("_n").cast("double")) - F.sum(F.col("_n") * F.log2(F.col("_n").cast("double"))) / F.sum("_n")).alias("entropy"))
+def byte_entropy(df: DataFrame, by: list[str], data: Column) -> DataFrame:
+    """by, bytes and the entropy in bits of a byte: 256 counters of each group are summed up within a batch before anything is shuffled."""
+    rows = df.select(F.struct(*by).alias("by"), data.cast("binary").alias("data"))
+    schema = T.StructType([rows.schema["by"], T.StructField("counts", T.ArrayType(T.LongType()))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[tuple, np.ndarray] = {}
+            for key, one in zip(batch.column("by").to_pylist(), batch.column("data"), strict=True):
+                own = held.setdefault(tuple(key.values()), np.zeros(256, np.int64))
+                if one.is_valid:
+                    own += np.bincount(np.frombuffer(one.as_buffer(), np.uint8), minlength=256)
+            keys = pa.array([dict(zip(by, k, strict=True)) for k in held], batch.schema.field("by").type)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(map(list, held.values()), pa.list_(pa.int64()))], names=["by", "counts"])
+
+    found = rows.mapInArrow(count, schema).select("by.*", F.posexplode("counts").alias("byte", "n")).groupBy(*by, "byte").agg(F.sum("n").alias("n"))
+    size, seen = F.sum("n"), F.when(F.col("n") > 0, F.col("n") * F.log2(F.col("n").cast("double"))).otherwise(0.0)
+    return found.groupBy(*by).agg(size.alias("bytes"), F.when(size > 0, F.log2(size.cast("double")) - F.sum(seen) / size).alias("entropy"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.stored import stored
+
 
 def reaudit(before: DataFrame, after: DataFrame, key: list[str], identity: list[str]) -> DataFrame:
     """key and status of every declared or found thing: PASS if its identity stayed, FAIL if it changed, MISSING or UNDECLARED if one side lacks it."""
@@ -36,30 +38,26 @@ def stability(first: DataFrame, second: DataFrame, key: list[str], identity: str
 
 
 def role_of(rows: DataFrame, roles: DataFrame, name: str, default: str) -> DataFrame:
-    """With ``role``: that of the row's name, else of the default name; ``roles`` has a row for each name."""
-    given = roles.select(F.col("name").alias("_name"), F.col("role").alias("_role"))
-    fallback = roles.where(F.col("name") == default).select(F.col("role").alias("_default"), F.lit(1).alias("_one"))
-    joined = rows.withColumn("_one", F.lit(1)).join(given, F.col(name) == F.col("_name"), "left").join(F.broadcast(fallback), "_one", "left")  # one row
+    """With ``role``: that of the row's name, else of the default name; of several roles of a name the least."""
+    given = roles.groupBy(F.col("name").alias("_name")).agg(F.min("role").alias("_role"))
+    fallback = roles.where(F.col("name") == default).agg(F.min("role").alias("_default"), F.lit(1).alias("_one"))
+    joined = rows.withColumn("_one", F.lit(1)).join(given, F.col(name) == F.col("_name"), "left").join(F.broadcast(fallback), "_one", "left")  # an aggregate: one row
     return joined.withColumn("role", F.coalesce("_role", "_default")).drop("_name", "_role", "_default", "_one")
 
 
 def chains(nodes: DataFrame, deepest: int = 1 << 20) -> DataFrame:
     """(head, node, place) of linked lists given as (node, next), by pointer doubling: log2(length) joins, and cycles are refused.
 
-    A node that nobody points to heads a list.
+    A node that nobody points to heads a list; of several that point to one node, the least does.
     """
-    pointed = nodes.where("next IS NOT NULL").select(F.col("next").alias("node"), F.col("node").alias("up"))
-    reach = nodes.select("node").join(pointed, "node", "left").select("node", F.col("up").alias("far"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("steps"))
-    walked = 1
-    while not reach.where("far IS NOT NULL").isEmpty():
+    pointed = nodes.where("next IS NOT NULL").groupBy(F.col("next").alias("node")).agg(F.min("node").alias("up"))
+    state = nodes.select("node").join(pointed, "node", "left").select("node", F.coalesce("up", "node").alias("head"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("place"))
+    state, walked = stored(state, "lists"), 1
+    while True:
+        above = state.select(F.col("node").alias("head"), F.col("head").alias("far"), F.col("place").alias("more"))
+        state = stored(state.join(above, "head").select("node", F.col("far").alias("head"), (F.col("place") + F.col("more")).alias("place"), (F.col("more") > 0).alias("moved")), "lists")
+        if state.where("moved").isEmpty():
+            return state.select("head", "node", "place")
+        walked *= 2
         if walked > deepest:
             raise ValueError("a list is cyclic or too long")
-        jump = reach.select(F.col("node").alias("far"), F.col("far").alias("_far"), F.col("steps").alias("_steps"))
-        ends = reach.where("far IS NULL").select("node", F.col("far"), "steps", F.col("node").alias("_via"))
-        moved = reach.where("far IS NOT NULL").join(jump, "far").select("node", F.col("_far").alias("_next"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("far").alias("_via"))
-        done = ends.select("node", F.lit(None).cast(nodes.schema["node"].dataType).alias("far"), "steps")
-        reach = done.unionByName(moved.select("node", F.col("_next").alias("far"), "steps"))
-        walked *= 2
-        if walked >= 4:
-            reach = reach.checkpoint() if reach.sparkSession.sparkContext.getCheckpointDir() else reach
-    return reach.select("node", F.col("steps").alias("place"))

@@ -2,16 +2,19 @@
 
 Equality is null-safe where a side may be missing.  As-of and lifetime joins are
 sorts within a key, not range joins: both sides are put in one order and the last
-opening is carried forward, so no row meets more than its own partner.
+opening is carried forward, so no row meets more than its own partner; see
+``running`` for keys that hold many rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.running import running
+
 
 def left_with_default(left: DataFrame, right: DataFrame, on: list[str], defaults: dict[str, object]) -> DataFrame:
     """All rows of ``left``; columns of a missing partner take ``defaults``."""
@@ -66,8 +69,8 @@ def as_of(left: DataFrame, right: DataFrame, on: list[str], clock: str, tie: str
     """Each row of ``left`` (struct ``a``) with the latest row of ``right`` (struct ``b``) of its key that is not later, or null; ``tie`` orders equal times, the largest wins."""
     one = left.select(*on, F.col(clock).alias("_at"), F.lit(1).alias("_side"), F.col(tie).alias("_tie"), F.struct(*left.columns).alias("a"), F.lit(None).cast(F_struct(right)).alias("b"))
     two = right.select(*on, F.col(clock).alias("_at"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.lit(None).cast(F_struct(left)).alias("a"), F.struct(*right.columns).alias("b"))
-    order = Window.partitionBy(*on).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    matched = one.unionByName(two).withColumn("b", F.last("b", ignorenulls=True).over(order)).where("_side = 1")
+    both = one.unionByName(two)
+    matched = running(both.withColumnRenamed("b", "_b"), on, ["_at", "_side", "_tie"], lasts={"b": F.col("_b")}).where("_side = 1")
     if tolerance is not None:
         matched = matched.withColumn("b", F.when(F.col("_at") <= F.col(f"b.{clock}") + tolerance, F.col("b")))
     return matched.select("a", "b")
@@ -80,14 +83,12 @@ def F_struct(df: DataFrame):
 
 def lifetimes(events: DataFrame, on: list[str], order: list[str], opens: Column) -> DataFrame:
     """With ``lifetime``: the running number of the opening event that each event of a key falls under; 0 before the first."""
-    window = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("lifetime", F.sum(F.when(opens, 1).otherwise(0)).over(window))
+    return running(events, on, order, sums={"lifetime": F.when(opens, 1).otherwise(0)})
 
 
 def live_count(events: DataFrame, on: list[str], order: list[str], delta: Column) -> DataFrame:
     """With ``live``: the running sum of openings and closings of a key; below 0 a closing lacks its opening."""
-    window = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("live", F.sum(delta).over(window))
+    return running(events, on, order, sums={"live": delta})
 
 
 def positional(left: DataFrame, right: DataFrame, on: list[str], ordinal: str, compare: Callable[[Column, Column], Column]) -> DataFrame:

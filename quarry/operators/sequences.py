@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.running import running
+
 
 def sequence_faults(df: DataFrame, on: list[str], number: str, first: int = 0) -> DataFrame:
     """on, rows, distinct, lowest, highest and complete: whether the numbers are first, first + 1, ... without gap or repeat."""
@@ -20,14 +22,16 @@ def level_faults(df: DataFrame, on: list[str], order: list[str], level: str) ->
 
 def carry_forward(df: DataFrame, on: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
     """With each name of ``values``: its last non-null value up to the row."""
-    window = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({n: F.last(v, ignorenulls=True).over(window) for n, v in values.items()})
+    return running(df, on, order, lasts=values)
 
 
 def resettable(df: DataFrame, on: list[str], order: list[str], values: dict[str, Column], reset: Column) -> DataFrame:
-    """As ``carry_forward``, but rows with ``reset`` forget all values before them: each reset starts a group of its own."""
-    start = Window.partitionBy(*on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return carry_forward(df.withColumn("_group", F.sum(F.when(reset, 1).otherwise(0)).over(start)), [*on, "_group"], order, values).drop("_group")
+    """As ``carry_forward``, but rows with ``reset`` forget all values before them: a value counts if it is not before the last reset."""
+    place = F.struct(*[F.col(c) for c in order])
+    held = {f"_v_{n}": F.when(v.isNotNull(), F.struct(place.alias("at"), v.alias("v"))) for n, v in values.items()}
+    found = running(df, on, order, lasts={**held, "_reset": F.when(reset, place)})
+    since = lambda n: F.when(F.col("_reset").isNull() | (F.col(f"_v_{n}.at") >= F.col("_reset")), F.col(f"_v_{n}.v"))
+    return found.withColumns({n: since(n) for n in values}).drop("_reset", *held)
 
 
 def adjacent(df: DataFrame, on: list[str], order: list[str], columns: list[str]) -> DataFrame:
@@ -37,8 +41,8 @@ def adjacent(df: DataFrame, on: list[str], order: list[str], columns: list[str])
 
 def sweep(df: DataFrame, on: list[str], start: str, stop: str, tie: list[str]) -> DataFrame:
     """With ``gap`` (positive: uncovered before this interval; negative: overlap): the distance to the furthest stop of all intervals before."""
-    window = Window.partitionBy(*on).orderBy(start, stop, *tie).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("gap", F.col(start) - F.max(stop).over(window))
+    found = running(df, on, [start, stop, *tie], maxima={"gap": F.col(stop)}, before=True)
+    return found.withColumn("gap", F.col(start) - F.col("gap"))
 
 
 def islands(df: DataFrame, on: list[str], position: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.stored import stored
 from quarry.operators.status import FAIL, PASS
 
 
@@ -13,23 +16,39 @@ def ancestors(edges: DataFrame, depth: int = 64) -> DataFrame:
 
     ``edges``: (parent, node), each node once.
     """
-    reach = edges.select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("distance"))
+    reach = [edges.select(F.col("parent").alias("ancestor"), "node", F.lit(1).alias("distance"))]
+    whole = lambda: functools.reduce(DataFrame.unionByName, reach)
     longest = 1
     while True:
-        above = reach.select(F.col("ancestor").alias("top"), F.col("node").alias("ancestor"), F.col("distance").alias("d2"))
+        above = whole().select(F.col("ancestor").alias("top"), F.col("node").alias("ancestor"), F.col("distance").alias("d2"))
         # Pairs of distance up to `longest` give those up to twice that; only the longest are extended, so each pair is made once.
-        tips = reach.where(F.col("distance") == longest)
-        further = tips.join(above, "ancestor").select(F.col("top").alias("ancestor"), "node", (F.col("distance") + F.col("d2")).alias("distance"))
+        tips = whole().where(F.col("distance") == longest)
+        further = stored(tips.join(above, "ancestor").select(F.col("top").alias("ancestor"), "node", (F.col("distance") + F.col("d2")).alias("distance")), "further")
         if further.isEmpty():
-            return reach
+            return whole()
         if longest * 2 > depth:
             raise ValueError("the hierarchy is cyclic or too deep")
-        reach = reach.unionByName(further)
+        reach.append(further)
         longest *= 2
 
 
 def descendant_counts(edges: DataFrame, depth: int = 64) -> DataFrame:
-    return ancestors(edges, depth).groupBy("ancestor").agg(F.count(F.lit(1)).alias("n_descendants"))
+    """(ancestor, n_descendants) of every node with descendants, in log2(depth) rounds of a row for each node.
+
+    After round k a node knows how many nodes are less than 2 ** k below it, and
+    its own ancestor at 2 ** k, to which it reports that number.
+    """
+    nodes = edges.select("node", F.col("parent").alias("far")).unionByName(edges.select(F.col("parent").alias("node")).distinct().join(edges.select("node"), "node", "left_anti").select("node", F.lit(None).cast(edges.schema["parent"].dataType).alias("far")))
+    state = stored(nodes.withColumn("n", F.lit(1).cast("long")), "counts")
+    reached = 1
+    while not state.where("far IS NOT NULL").isEmpty():
+        if reached > depth:
+            raise ValueError("the hierarchy is cyclic or too deep")
+        reported = state.where("far IS NOT NULL").groupBy(F.col("far").alias("node")).agg(F.sum("n").alias("below"))
+        further = state.where("far IS NOT NULL").select(F.col("node").alias("far"), F.col("far").alias("next"))
+        state = stored(state.join(reported, "node", "left").join(further, "far", "left").select("node", F.col("next").alias("far"), (F.col("n") + F.coalesce("below", F.lit(0))).alias("n")), "counts")
+        reached *= 2
+    return state.where("n > 1").select(F.col("node").alias("ancestor"), (F.col("n") - 1).alias("n_descendants"))
 
 
 def dangling(references: DataFrame, targets: DataFrame, reference: str, target: str) -> DataFrame:

@@ -217,9 +217,11 @@ def mapping_agreement(spark, sf):
 
 
 @query("""
-SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders""")
+SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 250000""")
 def selected_minus_found(spark, sf):
-    return table(spark, sf, "customer").select("c_custkey").subtract(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    """Customers without a large finished order."""
+    found = table(spark, sf, "orders").where("o_orderstatus = 'F' AND o_totalprice > 250000")
+    return table(spark, sf, "customer").select("c_custkey").subtract(found.select(F.col("o_custkey").alias("c_custkey")))
 
 
 @query("""
@@ -308,11 +310,10 @@ def ordered_hash_agg(spark, sf):
 
 
 @query("""
-WITH c AS (SELECT lang, unnest(string_split(text, '')) AS s FROM documents), k AS (SELECT lang, s, count(*) AS n FROM c WHERE s <> '' GROUP BY ALL)
-SELECT lang, sum(n)::BIGINT AS symbols, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM k GROUP BY lang""")
+WITH h AS (SELECT lang, hex(encode(text)) AS h FROM documents), c AS (SELECT lang, unnest(list_transform(range(0, length(h) // 2), lambda i: h[2 * i + 1:2 * i + 2])) AS s FROM h), k AS (SELECT lang, s, count(*) AS n FROM c GROUP BY ALL)
+SELECT lang, sum(n)::BIGINT AS bytes, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 6) AS entropy FROM k GROUP BY lang""")
 def byte_entropy(spark, sf):
-    symbols = table(spark, sf, "documents").select("lang", F.explode(F.split("text", "")).alias("s")).where("s != ''")
-    return A.byte_entropy(symbols, ["lang"], F.col("s")).withColumn("entropy", F.round("entropy", 6))
+    return A.byte_entropy(table(spark, sf, "documents"), ["lang"], F.encode("text", "UTF-8")).withColumn("entropy", F.round("entropy", 6))
 
 
 @query("""
@@ -478,12 +479,11 @@ def number_texts(spark, sf):
 
 
 @query("""
-WITH e AS (SELECT vec_id, embedding AS a, lag(embedding) OVER (ORDER BY vec_id) AS b FROM embeddings)
-SELECT vec_id, round(list_max(list_transform(range(1, len(a) + 1), lambda i: abs(a[i]::DOUBLE - b[i]::DOUBLE))), 6) AS residual FROM e WHERE b IS NOT NULL""")
+SELECT x.vec_id, round(list_max(list_transform(range(1, len(x.embedding) + 1), lambda i: abs(x.embedding[i]::DOUBLE - y.embedding[i]::DOUBLE))), 6) AS residual FROM embeddings x LEFT JOIN embeddings y ON y.vec_id = x.vec_id - 1""")
 def vector_residual(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
-    before = vectors.select((F.col("vec_id") + 1).alias("vec_id"), F.col("a").alias("b"))  # ids are gapless: a join on the id before needs no global order
-    return vectors.join(before, "vec_id").select("vec_id", F.round(numbers.residual(F.col("a"), F.col("b")), 6).alias("residual"))
+    before = vectors.select((F.col("vec_id") + 1).alias("vec_id"), F.col("a").alias("b"))
+    return vectors.join(before, "vec_id", "left").select("vec_id", F.round(numbers.residual(F.col("a"), F.col("b")), 6).alias("residual"))
 
 
 @query("""
@@ -537,15 +537,16 @@ def dangling_refs(spark, sf):
 
 
 @query("""
-WITH s AS (SELECT conv_id * 1000 + turn AS node, lag(conv_id * 1000 + turn) OVER w AS previous, lead(conv_id * 1000 + turn) OVER w AS next FROM conversations WHERE turn % 5 <> 4 OR turn = 4 WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
-SELECT node, 'PASS' AS status FROM s""")
+SELECT conv_id * 1000 + turn AS node, CASE WHEN EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = c.conv_id AND x.turn = c.turn + 1 AND (x.conv_id + x.turn) % 7 = 0) THEN 'FAIL' ELSE 'PASS' END AS status FROM conversations c""")
 def sibling_backlinks(spark, sf):
+    """Turns as siblings; every seventh points back to a turn that is not the one before."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy("turn")
     node = F.col("conv_id") * 1000 + F.col("turn")
     turns = table(spark, sf, "conversations")
-    return TR.backlinks(turns.select(node.alias("node"), F.lag(node).over(w).alias("previous"), F.lead(node).over(w).alias("next")))
+    previous = F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, node + 500).otherwise(F.lag(node).over(w))
+    return TR.backlinks(turns.select(node.alias("node"), previous.alias("previous"), F.lead(node).over(w).alias("next")))
 
 
 @query("""
@@ -576,15 +577,41 @@ def affine_fit(spark, sf):
     return fitted.select("l_returnflag", F.round(F.col("coefficients")[0], 4).alias("intercept"), F.round(F.col("coefficients")[1], 4).alias("slope"), "rows")
 
 
-@query()
+@query("""
+WITH m AS (SELECT l_linestatus AS g, count(*)::BIGINT AS rows, avg(l_quantity::DOUBLE) AS ma, avg(l_discount::DOUBLE) AS mb, avg(l_tax::DOUBLE) AS mc, avg(l_extendedprice::DOUBLE) AS my,
+  var_pop(l_quantity::DOUBLE) AS aa, var_pop(l_discount::DOUBLE) AS bb, var_pop(l_tax::DOUBLE) AS cc, covar_pop(l_quantity::DOUBLE, l_discount::DOUBLE) AS ab, covar_pop(l_quantity::DOUBLE, l_tax::DOUBLE) AS ac, covar_pop(l_discount::DOUBLE, l_tax::DOUBLE) AS bc,
+  covar_pop(l_quantity::DOUBLE, l_extendedprice::DOUBLE) AS ay, covar_pop(l_discount::DOUBLE, l_extendedprice::DOUBLE) AS by_, covar_pop(l_tax::DOUBLE, l_extendedprice::DOUBLE) AS cy FROM lineitem GROUP BY 1),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM m),
+s AS (SELECT *, (ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy)) / det AS s1, (aa * (by_ * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac)) / det AS s2,
+  (aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac)) / det AS s3 FROM d)
+SELECT g AS l_linestatus, round(my - s1 * ma - s2 * mb - s3 * mc, 3) AS intercept, round(s1, 3) AS quantity, round(s2, 3) AS discount, round(s3, 3) AS tax, rows FROM s""")
 def affine_fit_three(spark, sf):
-    """Three features: SQL has no such fit; tests hold it against NumPy."""
-    return M.affine_fit(table(spark, sf, "lineitem"), "l_linestatus", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    """Three features; the SQL solves the normal equations by determinants."""
+    fitted = M.affine_fit(table(spark, sf, "lineitem"), "l_linestatus", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    return fitted.select("l_linestatus", *[F.round(F.col("coefficients")[i], 3).alias(c) for i, c in enumerate(("intercept", "quantity", "discount", "tax"))], "rows")
+
+
+_MUTANTS = ["same", "stream", "moved", "both", "fewer"]
 
 
 @query("""
-WITH j AS (SELECT a.c AS ac, b.c AS bc, a.q AS aq, b.q AS bq FROM (SELECT o_custkey AS k, count(*) AS c, max(o_totalprice) AS q FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, count(*) AS c, max(o_totalprice) AS q FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) b USING (k))
-SELECT count(*) FILTER (ac IS NULL OR bc IS NULL)::BIGINT AS unpaired, count(*) FILTER (ac IS DISTINCT FROM bc)::BIGINT AS moved, count(*) FILTER (aq IS DISTINCT FROM bq)::BIGINT AS changed, 'COUNT_CHANGED' AS outcome FROM j""")
+WITH b AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_custkey AS x FROM orders),
+m AS (SELECT k, unnest(['same', 'stream', 'moved', 'both', 'fewer']) AS mutant, s, x FROM b),
+c AS (SELECT mutant, k % 10 = 3 AND mutant IN ('stream', 'both') AS s, k % 10 = 4 AND mutant IN ('moved', 'both') AS x, k % 10 = 5 AND mutant = 'fewer' AS gone FROM m),
+n AS (SELECT mutant, count(*) FILTER (gone)::BIGINT AS unpaired, count(*) FILTER (x OR gone)::BIGINT AS moved, count(*) FILTER (s OR gone)::BIGINT AS changed FROM c GROUP BY 1)
+SELECT *, CASE WHEN unpaired > 0 THEN 'COUNT_CHANGED' WHEN moved = 0 AND changed = 0 THEN 'IDENTICAL' WHEN moved = 0 THEN 'STREAM_ONLY' WHEN changed = 0 THEN 'TRANSLATION' ELSE 'OTHER' END AS outcome FROM n""")
 def mutation_outcome(spark, sf):
-    side = lambda s: table(spark, sf, "orders").where(F.col("o_orderstatus") == s).groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("c"), F.max("o_totalprice").alias("q"))
-    return M.mutation_outcome(side("O"), side("F"), ["k"], "q", ["c"])
+    """Orders against five mutants of them, one for each outcome."""
+    base = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_custkey").alias("x"))
+    digit, out = F.col("k") % 10, None
+    for name in _MUTANTS:
+        mutant = base
+        if name in ("stream", "both"):
+            mutant = mutant.withColumn("s", F.when(digit == 3, "changed").otherwise(F.col("s")))
+        if name in ("moved", "both"):
+            mutant = mutant.withColumn("x", F.when(digit == 4, F.col("x") + 1).otherwise(F.col("x")))
+        if name == "fewer":
+            mutant = mutant.where(digit != 5)
+        one = M.mutation_outcome(base, mutant, ["k"], "s", ["x"]).withColumn("mutant", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out

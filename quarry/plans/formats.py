@@ -72,14 +72,14 @@ def masked_documents(spark, sf):
 
 
 @query("""
-SELECT doc_id, CASE WHEN octet_length(encode(text)) > 2000 THEN 'OUTPUT_LIMIT' ELSE 'VALID_COMPLETE_ZLIB' END AS status, CASE WHEN octet_length(encode(text)) <= 2000 THEN sha256(text) END AS sha256 FROM documents""")
+SELECT doc_id, CASE WHEN octet_length(encode(text)) > 2000 THEN 'OUTPUT_LIMIT' ELSE 'VALID_COMPLETE_ZLIB' END AS status, least(octet_length(encode(text)), 2001)::BIGINT AS produced, CASE WHEN octet_length(encode(text)) <= 2000 THEN sha256(text) END AS sha256 FROM documents""")
 def inflate_boundaries(spark, sf):
     found = docs(spark, sf).select("doc_id", I.inflate(2000)(G.deflated_text("text")).alias("i"))
-    return found.select("doc_id", "i.status", F.sha2("i.data", 256).alias("sha256"))
+    return found.select("doc_id", "i.status", F.least("i.produced", F.lit(2001)).alias("produced"), F.sha2("i.data", 256).alias("sha256"))
 
 
 @query("""
-WITH c AS (SELECT doc_id, least(length(text), 1000) AS n, list_transform(string_split(text, '')[1:1000], lambda x: unicode(x)) AS p FROM documents)
+WITH c AS (SELECT doc_id, length(text) AS n, list_transform(string_split(text, ''), lambda x: unicode(x)) AS p FROM documents)
 SELECT doc_id, 'TERMINATOR' AS status, n::INTEGER AS n_glyphs, list_sum(p)::BIGINT AS code_sum, (n + 3)::INTEGER AS records FROM c""")
 def glyph_records(spark, sf):
     bound_batches(spark)
@@ -108,11 +108,16 @@ def codec_round_trip(spark, sf):
     return spark.read.parquet(f"{sf.rstrip('/')}/conversations.parquet").select("conv_id", "turn", decoder("gb18030")(encode("text")).alias("title"))
 
 
-@query()
+@query("""
+WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: least(greatest(floor(x::DOUBLE * 128 + 128)::INTEGER, 0), 255)) AS a FROM embeddings),
+p AS (SELECT x.vec_id, list_transform(range(1, len(x.a) + 1), lambda i: abs(x.a[i] - y.a[i])) AS d FROM s x LEFT JOIN s y ON y.vec_id = x.vec_id + 1),
+h AS (SELECT *, list_filter(range(len(d)), lambda i: d[i + 1] > 0) AS hit FROM p)
+SELECT vec_id, CASE WHEN d[1] IS NOT NULL THEN len(hit) END::BIGINT AS changed, list_max(d)::INTEGER AS largest, list_sum(d)::BIGINT AS total, list_min(list_transform(hit, lambda i: i % 8))::INTEGER AS "left", list_min(hit)::INTEGER // 8 AS top,
+  (list_max(list_transform(hit, lambda i: i % 8)) + 1)::INTEGER AS "right", (list_max(hit) // 8 + 1)::INTEGER AS bottom FROM h""")
 def raster_deltas(spark, sf):
-    """Each embedding against the next as 8-by-n rasters of 8-bit samples; tests hold the function against NumPy."""
+    """Each embedding against the one with the next id, if there is one, as 8-by-n rasters of 8-bit samples."""
     vectors = spark.read.parquet(f"{sf.rstrip('/')}/embeddings.parquet")
-    sample = F.unhex(F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.greatest(F.floor(x * 128 + 128).cast("int"), F.lit(0)), F.lit(255))), 2, "0")), ""))
+    sample = F.unhex(F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.greatest(F.floor(x.cast("double") * 128 + 128).cast("int"), F.lit(0)), F.lit(255))), 2, "0")), ""))
     a = vectors.select("vec_id", sample.alias("a"))
     b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b"))
-    return a.join(b, "vec_id").select("vec_id", I.raster_delta(8)("a", "b").alias("d")).select("vec_id", "d.*")
+    return a.join(b, "vec_id", "left").select("vec_id", I.raster_delta(8)("a", "b").alias("d")).select("vec_id", "d.*")

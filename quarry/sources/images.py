@@ -75,23 +75,54 @@ def visible_bits(body: bytes, width: int, height: int, stride: int) -> np.ndarra
     return rows
 
 
-INFLATED = pa.struct([("status", pa.string()), ("data", pa.binary())])
+INFLATED = pa.struct([("status", pa.string()), ("consumed", pa.int64()), ("produced", pa.int64()), ("data", pa.binary())])
+#: Bytes that are fed to the inflater at once.
+FEED = 1 << 16
+
+
+class Inflation:
+    """A zlib stream that is fed in chunks, with how many bytes it took and gave; it stops at its end, at damage, or beyond ``limit`` bytes."""
+
+    def __init__(self, limit: int):
+        self.engine, self.limit = zlib.decompressobj(), limit
+        self.parts: list[bytes] = []
+        self.consumed = self.produced = 0
+        self.damaged = False
+
+    def feed(self, chunk: bytes) -> bool:
+        """Whether more is wanted."""
+        while chunk and self.produced <= self.limit and not self.engine.eof:
+            try:
+                part = self.engine.decompress(chunk, self.limit + 1 - self.produced)
+            except zlib.error:
+                self.damaged = True
+                return False
+            left = self.engine.unused_data if self.engine.eof else self.engine.unconsumed_tail
+            self.consumed += len(chunk) - len(left)
+            self.produced += len(part)
+            self.parts.append(part)
+            chunk = left
+        return self.produced <= self.limit and not self.engine.eof
+
+    def status(self, size: int) -> str:
+        """What became of a stream of ``size`` bytes."""
+        if self.engine.eof and self.produced <= self.limit:
+            return "VALID_COMPLETE_ZLIB" if self.consumed == size else "TRAILING_DATA"
+        return "INVALID_ZLIB" if self.damaged else "OUTPUT_LIMIT" if self.produced > self.limit else "INCOMPLETE_ZLIB"
 
 
 def inflate(limit: int):
-    """A function from zlib data to its status (VALID_COMPLETE_ZLIB, INVALID_ZLIB, INCOMPLETE_ZLIB, TRAILING_DATA or OUTPUT_LIMIT) and, if it is valid, the data of at most ``limit`` bytes."""
+    """A function from zlib data to its status (VALID_COMPLETE_ZLIB, INVALID_ZLIB, INCOMPLETE_ZLIB, TRAILING_DATA or OUTPUT_LIMIT), the bytes taken and given, and, if it is valid, the data of at most ``limit`` bytes."""
 
     def one(raw: bytes | None) -> dict | None:
         if raw is None:
             return None
-        engine = zlib.decompressobj()
-        try:
-            data = engine.decompress(raw, limit + 1)
-        except zlib.error:
-            return {"status": "INVALID_ZLIB", "data": None}
-        tests = {"OUTPUT_LIMIT": len(data) > limit or bool(engine.unconsumed_tail), "INCOMPLETE_ZLIB": not engine.eof, "TRAILING_DATA": bool(engine.unused_data)}
-        status = next((name for name, hit in tests.items() if hit), "VALID_COMPLETE_ZLIB")
-        return {"status": status, "data": data if status == "VALID_COMPLETE_ZLIB" else None}
+        stream = Inflation(limit)
+        for at in range(0, len(raw), FEED):
+            if not stream.feed(raw[at : at + FEED]):
+                break
+        status = stream.status(len(raw))
+        return {"status": status, "consumed": stream.consumed, "produced": stream.produced, "data": b"".join(stream.parts) if status == "VALID_COMPLETE_ZLIB" else None}
 
     @F.arrow_udf(from_arrow_type(INFLATED))
     def inflated(raw: pa.Array) -> pa.Array:

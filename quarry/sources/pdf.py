@@ -47,6 +47,18 @@ def _string(data: bytes, at: int) -> tuple[bytes, int]:
     raise Malformed("a string has no end")
 
 
+def _plain_name(raw: bytes) -> str:
+    """A name with the characters that its marks stand for; a mark without two digits stands for itself."""
+    first, *rest = raw.split(b"#")
+    out = [first]
+    for piece in rest:
+        try:
+            out.append(bytes.fromhex(piece[:2].decode("ascii")) + piece[2:] if len(piece) > 1 and not piece[:2].isspace() else b"#" + piece)
+        except ValueError:
+            out.append(b"#" + piece)
+    return b"".join(out).decode("latin-1")
+
+
 def tokens(data: bytes, at: int = 0) -> Iterator[tuple[str, object, int]]:
     """(kind, value, place after): name, number, string, mark and word."""
     while at < len(data):
@@ -65,7 +77,7 @@ def tokens(data: bytes, at: int = 0) -> Iterator[tuple[str, object, int]]:
             digits = re.sub(rb"\s", b"", raw[1:-1])
             yield "string", bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode()), at
         elif raw[:1] == b"/":
-            yield "name", re.sub(rb"#([0-9A-Fa-f]{2})", lambda x: bytes([int(x[1], 16)]), raw[1:]).decode("latin-1"), at
+            yield "name", _plain_name(raw[1:]), at
         elif re.fullmatch(rb"[+-]?(?:\d+\.?\d*|\.\d+)", raw):
             yield "number", float(raw) if b"." in raw else int(raw), at
         else:

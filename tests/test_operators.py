@@ -70,6 +70,49 @@ def test_sequences(spark):
     assert S.tiles(spark.createDataFrame([(0, 4), (5, 9), (11, 12)], "a int, b int").withColumn("k", F.lit(0)), ["k"], "a", "b").count() == 1
 
 
+def test_running_state_of_a_hot_key_equals_one_window(spark, monkeypatch):
+    import random
+
+    from quarry.operators import running as RU
+
+    rng = random.Random(1)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), i, rng.choice(["r", "v", "x", "o"]), rng.choice([None, rng.randint(0, 9)])) for i in range(700)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, t int, op string, v int").repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+
+    def every():
+        opens, v = F.col("op") == "o", F.when(F.col("op") == "v", F.col("v"))
+        left, right = df.where("op = 'x'"), df.where("op = 'v'")
+        found = [
+            J.lifetimes(df, ["k"], ["t"], opens), J.live_count(df, ["k"], ["t"], F.when(opens, 1).otherwise(-1)), S.carry_forward(df, ["k"], ["t"], {"last": v, "other": F.when(opens, F.col("t"))}),
+            S.resettable(df, ["k"], ["t"], {"last": v}, F.col("op") == "r"), S.sweep(df.withColumn("e", F.col("t") + F.coalesce("v", F.lit(0)) * 3), ["k"], "t", "e", []), J.as_of(left, right, ["k"], "t", "t", F.lit(40)),
+        ]
+        return [sorted(map(str, one.collect())) for one in found]
+
+    plain = every()
+    monkeypatch.setattr(RU, "HOT_ROWS", 0)
+    try:
+        assert every() == plain
+        assert RU.running(df.limit(0), ["k"], ["t"], sums={"s": F.col("v")}).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_descendants_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(0, 1000 + i) for i in range(50)] + [(500, 501)]
+    got = {r["ancestor"]: r["n_descendants"] for r in TR.descendant_counts(spark.createDataFrame(edges, "parent int, node int")).collect()}
+    assert got == {0: 90, **{i: 40 - i for i in range(1, 40)}, 500: 1}
+    for cycle in ([(1, 2), (2, 1)], [(1, 1)], [(1, 2), (2, 3), (3, 1)]):
+        with pytest.raises(ValueError):
+            TR.descendant_counts(spark.createDataFrame(cycle, "parent int, node int"))
+
+
+def test_entropy_of_nulls_and_uniform_bytes(spark):
+    df = spark.createDataFrame([("a", bytes(range(256))), ("a", bytes(range(256))), ("b", b"xxxx"), (None, b"xy"), ("c", None)], "g string, d binary")
+    assert {r["g"]: (r["bytes"], r["entropy"]) for r in A.byte_entropy(df, ["g"], F.col("d")).collect()} == {"a": (512, 8.0), "b": (4, 0.0), None: (2, 1.0), "c": (0, None)}
+
+
 def test_trees_refuse_cycles_and_depth(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(20)], "parent int, node int")
     assert TR.ancestors(chain).count() == 210

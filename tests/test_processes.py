@@ -2,6 +2,8 @@
 
 import sys
 
+import pytest
+
 from quarry.operators import audit
 from quarry.sources.processes import run_for_rows
 
@@ -18,5 +20,14 @@ def test_receipts(spark):
 
 def test_chains_of_one_and_many(spark):
     rows = [(1, 2), (2, 3), (3, None), (9, None)] + [(k, k + 1) for k in range(100, 150)] + [(150, None)]
-    got = {r["node"]: r["place"] for r in audit.chains(spark.createDataFrame(rows, "node int, next int")).collect()}
-    assert [got[k] for k in (1, 2, 3, 9, 100, 150)] == [0, 1, 2, 0, 0, 50]
+    got = {r["node"]: (r["head"], r["place"]) for r in audit.chains(spark.createDataFrame(rows, "node int, next int")).collect()}
+    assert [got[k] for k in (1, 2, 3, 9, 100, 150)] == [(1, 0), (1, 1), (1, 2), (9, 0), (100, 0), (100, 50)]
+    with pytest.raises(ValueError):
+        audit.chains(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "node int, next int"), deepest=64)
+    assert audit.chains(spark.createDataFrame([], "node int, next int")).count() == 0
+
+
+def test_a_role_given_twice_makes_no_row_twice(spark):
+    roles = spark.createDataFrame([("d", "x"), ("d", "y"), ("a", "z")], "name string, role string")
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, key string")
+    assert sorted((r["id"], r["role"]) for r in audit.role_of(rows, roles, "key", "d").collect()) == [(1, "z"), (2, "x")]

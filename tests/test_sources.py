@@ -95,6 +95,10 @@ def test_images_and_inflation(spark):
     cases = [whole, whole[:-1], whole + b"x", b"zz", zlib.compress(b"a" * 1000), None]
     got = spark.createDataFrame([(c,) for c in cases], "c binary").select(I.inflate(500)("c").alias("i")).collect()
     assert [r["i"] and r["i"]["status"] for r in got] == ["VALID_COMPLETE_ZLIB", "INCOMPLETE_ZLIB", "TRAILING_DATA", "INVALID_ZLIB", "OUTPUT_LIMIT", None]
+    assert [(r["i"]["consumed"], r["i"]["produced"]) for r in got[:3]] == [(len(whole), 150), (len(whole) - 1, 150), (len(whole), 150)] and got[4]["i"]["produced"] == 501
+    big = zlib.compress(bytes(range(256)) * 4_000, 0)  # many chunks
+    one = spark.createDataFrame([(big,), (big + b"tail",)], "c binary").select(I.inflate(1 << 21)("c").alias("i")).collect()
+    assert [(r["i"]["status"], r["i"]["consumed"], r["i"]["produced"]) for r in one] == [("VALID_COMPLETE_ZLIB", len(big), 1_024_000), ("TRAILING_DATA", len(big), 1_024_000)] and one[0]["i"]["data"] == bytes(range(256)) * 4_000
     a, b = np.zeros(12, np.uint8), np.zeros(12, np.uint8)
     b[[5, 6]] = 9, 1
     d = spark.createDataFrame([(a.tobytes(), b.tobytes()), (a.tobytes(), a.tobytes()), (a.tobytes(), b"")], "a binary, b binary").select(I.raster_delta(4)("a", "b").alias("d")).collect()
@@ -151,7 +155,7 @@ def test_scalar_functions(spark):
     product = get(numbers.multiply(F.array(*map(F.lit, [2, 0, 0, 3, 1, 1])), F.array(*map(F.lit, [1, 1, 0, 1, 5, 6]))))
     assert product == [2, 2, 0, 3, 6, 8]
     assert get(numbers.little_endian_words(F.lit(b"\x01\x02\x03\x04\x05"), 1, 2)) == [0x0302, 0x0504]
-    names = spark.createDataFrame([("A#20B",), ("bad#2",), (None,)], "t string").select(texts.decode_name("t").alias("v")).collect()
-    assert [r["v"] for r in names] == ["A B", None, None]
+    names = spark.createDataFrame([("A#20B",), ("bad#2",), (None,), ("#41#c3#e9x",), ("#",), ("#4g",), ("",), ("plain",)], "t string").select(texts.decode_name(F.col("t")).alias("v")).collect()
+    assert [r["v"] for r in names] == ["A B", None, None, "AÃéx", None, None, "", "plain"]
     assert [r[0] for r in spark.createDataFrame([("é\r\nx",)], "t string").select(texts.normal_form("t")).collect()] == ["é\nx"]
     assert [r[0] for r in spark.createDataFrame([("中".encode("gb18030"),), (b"\xff\xff",)], "b binary").select(texts.decoder("gb18030")("b")).collect()] == ["中", None]
