@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, materialise, pieces
+from .common import bound_batches, materialise, pieces, release
 
 #: Bytes of text in a block, in a segment of it, and in what is split together.
 BLOCK_BYTES, SEGMENT_BYTES, PIECE_BYTES = 16 << 20, 8 << 20, 1 << 20
@@ -451,6 +451,8 @@ def _encoder(ranks):
                     part = batch.slice(first, len(out))
                     yield pa.RecordBatch.from_arrays([part.column("block"), part.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "blob"])
                     out, first = [], i + 1
+        del seen
+        release()
 
     return encode
 
@@ -489,6 +491,8 @@ def _assembler(out: T.StructType, table):
             if table is not None:
                 columns.append(pa.array([hashlib.sha256(d).hexdigest() for d in decode_values(packed, table.value)]))
             found.append(pa.table(columns, names=out.names))
+        del flat, unpacked, packed, ids
+        release()
         return pa.concat_tables(found)
 
     return assemble

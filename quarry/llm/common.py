@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -61,6 +62,14 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def release() -> None:
+    """Give memory that is free back to the system: workers wait idle, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` (string or binary) holds about ``most`` bytes in each; a single larger value stands alone."""
     import numpy as np
@@ -76,3 +85,4 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             end = max(start + 1, int(np.searchsorted(size, base + most, side="right")))
             yield batch.slice(start, end - start)
             start = end
+    release()

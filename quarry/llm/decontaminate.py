@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
+from .common import release
+
 WINDOW = 10
 #: Windows of one automaton: some 100 bytes for each word of each.
 WINDOWS = 100_000
@@ -123,12 +125,15 @@ def _scanner(windows):
             _MATCHERS.clear()  # one at a time
             _MATCHERS[name] = Matcher(listed)
         matcher = _MATCHERS[name]
-        out = []
+        out, found, at = [], None, None
         for one in text:
             found = words(one.as_py())
             at, items = matcher.hits(found)
             out.append((len(found), at, sorted(items)))
-        return pa.array(out, _SCAN_TYPE)
+        given = pa.array(out, _SCAN_TYPE)
+        del out, found, at
+        release()
+        return given
 
     return scan
 
@@ -139,7 +144,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
     rows = benchmark.select(F.col(item_id).cast("string"), F.col(item_text)).toLocalIterator()
     send = lambda part: spark.sparkContext.broadcast((uuid.uuid4().hex, part))
     shards = [send(part) for part in item_windows(((r[0], r[1]) for r in rows), window, most)] or [send([])]
-    base = docs.select(F.struct(*docs.columns).alias("row"))
+    base = docs.select(F.struct("*").alias("row"))
     if len(shards) == 1:
         return base.withColumn("found", _scanner(shards[0])(F.col("row")[text])).select("row", "found.*")
     keyed = base.select("row", F.xxhash64(F.to_json(F.struct("row"))).alias("key")).withColumn("key2", F.xxhash64(F.lit(1), F.to_json(F.struct("row"))))

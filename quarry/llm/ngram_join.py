@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, discard, materialise, pieces
+from .common import bound_batches, discard, materialise, pieces, release
 from .graph import components
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -259,6 +259,8 @@ def _verifier(threshold: float):
             np.add.at(links, a, weight[b])
             np.add.at(links, b, weight[a])
             root = _roots(root, a, b)
+        del sets, bands
+        release()
         rows = np.flatnonzero(links)
         root = root[rows]
         classes = table.column("class")

@@ -167,12 +167,6 @@ def _in_parts(text: pa.Array) -> Iterator[np.ndarray]:
         yield statistics_of(part.column(0).to_pylist())
 
 
-@F.arrow_udf(T.ArrayType(T.DoubleType()))
-def text_statistics(text: pa.Array) -> pa.Array:
-    found = np.concatenate([np.zeros((0, len(NAMES))), *_in_parts(text)])
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * len(NAMES), pa.int32()), pa.array(found.ravel()))
-
-
 @dataclass(frozen=True)
 class Model:
     """Per class: prior, mean, the inverse of the Cholesky factor and the log determinant; scaling comes first."""
@@ -232,20 +226,20 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     passed = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
     drawn = materialise(passed.orderBy(F.pmod(F.xxhash64("_id"), F.lit(1 << 40)), "_id", "_label").limit(most), "labels")  # so few that they can be broadcast
     given = docs.select(F.struct("*").alias("row")).select(F.col("row")[doc_id].alias("_doc"), F.col("row")[text].alias("_text"))
-    stats = given.join(F.broadcast(drawn), F.col("_doc") == F.col("_id")).select("_label", text_statistics(F.col("_text")).alias("_x"))
+    texts = given.join(F.broadcast(drawn), F.col("_doc") == F.col("_id")).select("_label", "_text")
 
     def sums(batches):
         held = np.zeros((2, 1 + d + len(upper)))
         a, b = np.array(upper).T
-        for batch in batches:
-            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        for batch in pieces(batches, "_text", _SPAN):
+            x = statistics_of(batch.column("_text").to_pylist())
             y = batch.column("_label").to_numpy(zero_copy_only=False)
             for c in range(2):
                 own = x[y == c]
                 held[c] += np.concatenate([[len(own)], own.sum(0), (own.T @ own)[a, b]])
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(list(held), pa.list_(pa.float64()))], names=["c", "s"])
 
-    parts = stats.mapInArrow(sums, "c int, s array<double>")
+    parts = texts.mapInArrow(sums, "c int, s array<double>")
     rows = parts.select("c", F.posexplode("s").alias("at", "v")).groupBy("c", "at").agg(F.sum("v").alias("v")).collect()  # 2 * (1 + d + d * (d + 1) / 2) numbers
     found = np.zeros((2, 1 + d + len(upper)))
     for r in rows:
