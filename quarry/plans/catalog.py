@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.plans import evidence, formats, more_evidence, runs
+from quarry.plans import controls, evidence, formats, more_evidence, protocols, runs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +21,17 @@ def integrity_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("source", status.alias("status")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"integrity_by_source": integrity_by_source, **evidence.QUERIES, **formats.QUERIES, **more_evidence.QUERIES, **runs.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"integrity_by_source": integrity_by_source, **controls.QUERIES, **evidence.QUERIES, **formats.QUERIES, **more_evidence.QUERIES, **protocols.QUERIES, **runs.QUERIES}
 
 ORACLE: dict[str, str] = {
     "integrity_by_source": """
 SELECT source, CASE WHEN text IS NULL THEN 'NOT_RUN' WHEN length(text) = n_chars THEN 'PASS' ELSE 'FAIL' END AS status,
        count(*)::BIGINT AS n_docs, sum(n_chars)::BIGINT AS n_chars
 FROM documents GROUP BY ALL""",
+    **controls.ORACLE,
     **evidence.ORACLE,
     **formats.ORACLE,
     **more_evidence.ORACLE,
+    **protocols.ORACLE,
     **runs.ORACLE,
 }
