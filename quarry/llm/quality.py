@@ -24,7 +24,6 @@ only the text is read for a score; other columns are not touched.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise, pieces
+from .hashing import BASE, mix, range_hashes
 
 NAMES = [
     "log_words", "log_word_length", "log_word_spread", "upper", "lower", "digit", "non_ascii", "stop_mark", "symbol", "blank", "newline",
@@ -60,45 +60,8 @@ _BLANK, _ODD_END = np.isin(np.arange(256), list(b" \t\n\r\x0b\f")), ~((np.arange
 
 
 _U = np.uint64
-#: Bytes whose hashes are taken together, and of a range that is hashed on its own.
-_SPAN, _LONG = 1 << 20, 1 << 12
-_BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = []
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> _U(27))) * _U(0x94D049BB133111EB)
-    return h ^ (h >> _U(31))
-
-
-def _powers() -> list[np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2 ** 64."""
-    if not _POWERS:
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            _POWERS.append(np.concatenate([[_U(1)], np.cumprod(np.full(_SPAN + _LONG, base, _U))]))
-    return _POWERS
-
-
-def range_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A hash of each range of bytes; the ranges are in order and do not overlap."""
-    out = np.empty(len(first), _U)
-    size = last - first
-    for i in np.flatnonzero(size > _LONG).tolist():
-        out[i] = int.from_bytes(hashlib.blake2b(data[first[i] : last[i]].tobytes(), digest_size=8).digest(), "little")
-    short = np.flatnonzero(size <= _LONG)
-    up, down = _powers()
-    a = 0
-    while a < len(short):
-        start = int(first[short[a]])
-        b = max(a + 1, int(np.searchsorted(last[short], start + _SPAN, side="right")))
-        rows = short[a:b]
-        part = data[start : int(last[rows[-1]])].astype(_U) + _U(1)
-        sums = np.concatenate([[_U(0)], np.cumsum(part * up[: len(part)])])
-        at = first[rows] - start
-        out[rows] = _mix((sums[last[rows] - start] - sums[at]) * down[at] + size[rows].astype(_U))
-        a = b
-    return out
+#: Bytes of texts that are taken together.
+_SPAN = 1 << 20
 
 
 def _repeats(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,17 +104,17 @@ def statistics_of(texts: list[str | None]) -> np.ndarray:
     wide = (last - first).astype(np.float64)
     mean = np.bincount(doc, wide, n) / np.maximum(words, 1)
     spread = np.sqrt(np.bincount(doc, np.square(wide - mean[doc]), n) / np.maximum(words, 1))
-    hashes = range_hashes(data, first, last)
+    hashes = range_hashes(data, first, last, _SPAN)
     inner = np.flatnonzero(doc[1:] == doc[:-1])
     distinct, top = _repeats(hashes, doc, n)
-    pairs, _ = _repeats(_mix(hashes[inner] * _U(_BASE) + hashes[inner + 1]), doc[inner], n)
+    pairs, _ = _repeats(mix(hashes[inner] * _U(BASE) + hashes[inner + 1]), doc[inner], n)
     twins = np.bincount(doc[inner[hashes[inner] == hashes[inner + 1]]], minlength=n)
     odd = np.bincount(doc[_ODD_END[data[last - 1]]], minlength=n)
 
     stops = np.flatnonzero(data == 10)
     of_line = np.searchsorted(ends, stops)
     lines = np.bincount(of_line, minlength=n)
-    distinct_lines, _ = _repeats(range_hashes(data, np.concatenate([[0], stops[:-1] + 1]), stops), of_line, n)
+    distinct_lines, _ = _repeats(range_hashes(data, np.concatenate([[0], stops[:-1] + 1]), stops, _SPAN), of_line, n)
 
     letters = kinds[:, 0] + kinds[:, 1] + kinds[:, 3]
     gaps = np.maximum(words - 1, 0)

@@ -64,6 +64,33 @@ def test_hits_equal_brute_force_in_one_pass_and_many(spark):
     assert all(r["hits"] == [] for r in decontaminate.scan(frame, bench.limit(0)).collect()) and decontaminate.scan(frame.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("piece", [1, 3, 10, 128])
+def test_pieces_of_any_size_give_the_same_hits(monkeypatch, piece):
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
+    docs, items = case()
+    automaton = decontaminate.build([(None if i is None else str(i), t) for i, t in items])
+    got = [(d, n, hits.tolist(), found) for (d, _), (n, hits, found) in zip(docs, automaton.scan([t for _, t in docs]), strict=True)]
+    assert got == brute(docs, items)
+    nested = decontaminate.build([("a", "x y z"), ("b", "y z"), ("c", "z"), ("d", "q x y")])
+    assert [(h.tolist(), i) for _, h, i in nested.scan(["q x y z", "y", "w z", None, ""])] == [([0, 1, 2, 3], ["a", "b", "c", "d"]), ([], []), ([1], ["c"]), ([], []), ([], [])]
+    assert [n for n, _, _ in decontaminate.build([]).scan(["a b", ""])] == [2, 0]
+
+
+def test_a_word_with_the_hash_of_a_known_one_is_no_hit(monkeypatch):
+    automaton = decontaminate.build([("a", "one two")])
+    real = decontaminate.range_hashes
+
+    def same(data, first, last):
+        out = real(data, first, last)
+        for i, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+            if data[a:b].tobytes() == b"uno":
+                out[i] = real(np.frombuffer(b"one", np.uint8), np.array([0]), np.array([3]))[0]
+        return out
+
+    monkeypatch.setattr(decontaminate, "range_hashes", same)
+    assert [h.tolist() for _, h, _ in automaton.scan(["uno two", "one two", "uno one two"])] == [[], [0, 1], [1, 2]]
+
+
 def test_spans_lead_back_to_the_original(spark):
     text = "Zü, ONE two-three x ONE Two"
     frame = spark.createDataFrame([(1, text)], "doc_id int, text string")
