@@ -176,7 +176,8 @@ def _per_file(rows_of, schema: pa.Schema):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column("source"), batch.column("content"), strict=True):  # a file at a time
-                rows = [{"source": name.as_py()} | r for r in rows_of(data.as_py() or b"")]
+                found = rows_of(data.as_py()) if data.is_valid else [{"page_number": 0, "fault_offset": 0, "fault_field": "file", "fault_kind": "limit"}]
+                rows = [{"source": name.as_py()} | {k: v for k, v in r.items() if k in schema.names} for r in found]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -184,8 +185,10 @@ def _per_file(rows_of, schema: pa.Schema):
 
 
 def files(spark: SparkSession, path: str, most: int = 1 << 30) -> DataFrame:
-    """(source, content) of files of at most ``most`` bytes; the length is tested before any content is read."""
-    return spark.read.format("binaryFile").load(path).where(F.col("length") <= most).select(F.col("path").alias("source"), "content")
+    """(source, content) of files; content is null, and not read, where a file has more than ``most`` bytes, which readers report as a fault."""
+    found = spark.read.format("binaryFile").load(path)
+    large = found.where(F.col("length") > most).select(F.col("path").alias("source"), F.lit(None).cast("binary").alias("content"))
+    return found.where(F.col("length") <= most).select(F.col("path").alias("source"), "content").unionByName(large)
 
 
 def read_pages(contents: DataFrame) -> DataFrame:

@@ -8,9 +8,13 @@ from pyspark.sql import types as T
 
 
 def read_document(spark: SparkSession, path: str, schema: str | T.StructType, most: int = 32 << 20) -> DataFrame:
-    """source, raw, sha256 and document of whole JSON files of at most ``most`` bytes; document is null where the text is no strict JSON (a repeated key is not)."""
-    whole = spark.read.format("binaryFile").load(path).where(F.col("length") <= most).select(F.col("path").alias("source"), F.try_validate_utf8(F.col("content").cast("string")).alias("raw"), F.sha2("content", 256).alias("sha256"))
-    return whole.withColumn("document", F.when(F.try_parse_json("raw").isNotNull(), F.from_json("raw", schema, {"mode": "PERMISSIVE"})))
+    """source, raw, sha256, document and fault of whole JSON files; document is null where the text is no strict JSON (a repeated key is not: NOT_JSON) and where the file has more than ``most`` bytes (TOO_LARGE; its content is not read)."""
+    found = spark.read.format("binaryFile").load(path)
+    whole = found.where(F.col("length") <= most).select(F.col("path").alias("source"), F.try_validate_utf8(F.col("content").cast("string")).alias("raw"), F.sha2("content", 256).alias("sha256"))
+    read = whole.withColumn("document", F.when(F.try_parse_json("raw").isNotNull(), F.from_json("raw", schema, {"mode": "PERMISSIVE"})))
+    read = read.withColumn("fault", F.when(F.col("document").isNull(), "NOT_JSON"))
+    none = [F.lit(None).cast(read.schema[c].dataType).alias(c) for c in ("raw", "sha256", "document")]
+    return read.unionByName(found.where(F.col("length") > most).select(F.col("path").alias("source"), *none, F.lit("TOO_LARGE").alias("fault")))
 
 
 def exploded(documents: DataFrame, path: str) -> DataFrame:

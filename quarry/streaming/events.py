@@ -46,3 +46,44 @@ def lifetimes(events: DataFrame, key: str, delta: str, order: str) -> DataFrame:
 
     rows = events.select(F.col(key).cast("string").alias("_key"), F.col(delta).cast("int").alias("_delta"), F.col(order).alias("_order"))
     return rows.groupBy("_key").applyInPandasWithState(step, LIFETIME, "opened long, closed long, live long, violations long", "update", GroupStateTimeout.NoTimeout)
+
+
+ORDERED = "key string, opened long, closed long, live long, violations long"
+_PENDING = "opened long, closed long, live long, violations long, times array<long>, deltas array<int>"
+
+
+def ordered_lifetimes(events: DataFrame, key: str, delta: str, clock: str, late: str) -> DataFrame:
+    """As ``lifetimes``, in the order of event time whatever batch an event comes in.
+
+    An event waits until the watermark has passed it; equal times open before they
+    close.  Events more than ``late`` behind are left out.  A key's state ends when
+    nothing is live and nothing waits.
+    """
+
+    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        opened, closed, live, violations, times, deltas = state.get if state.exists else (0, 0, 0, 0, [], [])
+        waiting = list(zip(times, deltas, strict=True))
+        if not state.hasTimedOut:
+            for batch in batches:
+                waiting += zip((batch["_at"].astype("int64") // 1_000_000).tolist() if batch["_at"].dtype.kind == "M" else batch["_at"].tolist(), batch["_delta"].tolist(), strict=True)
+        passed = state.getCurrentWatermarkMs()
+        ready = sorted((w for w in waiting if w[0] <= passed), key=lambda w: (w[0], -w[1]))
+        waiting = [w for w in waiting if w[0] > passed]
+        for _, change in ready:
+            if change > 0:
+                opened, live = opened + 1, live + 1
+            elif change < 0 and live > 0:
+                closed, live = closed + 1, live - 1
+            elif change < 0:
+                violations += 1
+        if waiting or live:
+            state.update((opened, closed, live, violations, [t for t, _ in waiting], [d for _, d in waiting]))
+            if waiting:
+                state.setTimeoutTimestamp(max(min(t for t, _ in waiting), passed + 1))
+        elif state.exists:
+            state.remove()
+        if ready:
+            yield pd.DataFrame({"key": [keys[0]], "opened": [opened], "closed": [closed], "live": [live], "violations": [violations]})
+
+    rows = events.withWatermark(clock, late).select(F.col(key).cast("string").alias("_key"), F.col(delta).cast("int").alias("_delta"), F.col(clock).alias("_at"))
+    return rows.groupBy("_key").applyInPandasWithState(step, ORDERED, _PENDING, "update", GroupStateTimeout.EventTimeTimeout)

@@ -5,7 +5,7 @@ import sys
 import pytest
 
 from quarry.operators import audit
-from quarry.sources.processes import run_for_rows
+from quarry.sources.processes import run_bounded, run_for_rows
 
 
 def test_receipts(spark):
@@ -18,6 +18,19 @@ def test_receipts(spark):
     assert slow["status"] == "TIMEOUT" and run_for_rows(rows.limit(1), "k", "d", ["/no/such/program"]).first()["status"] == "NOT_STARTED"
 
 
+def test_limits_of_a_child():
+    endless = run_bounded([sys.executable, "-c", "while True: print('x' * 1000)"], b"", 20, 10_000)
+    assert endless["status"] == "OUTPUT_LIMIT" and endless["output"] is None and endless["seconds"] < 10
+    exact = run_bounded([sys.executable, "-c", "print('x' * 99)"], b"", 20, 100)
+    assert exact["status"] == "COMPLETE" and len(exact["output"]) == 100 and exact["peak_kib"] > 1000 and exact["cpu_seconds"] >= 0
+    busy = run_bounded([sys.executable, "-c", "while True: pass"], b"", 20, 100, cpu=1)
+    assert busy["status"] == "CPU_LIMIT" and busy["seconds"] < 10
+    large = run_bounded([sys.executable, "-c", "x = bytearray(1 << 30)"], b"", 20, 100, memory=256 << 20)
+    assert large["status"] == "PROCESS_FAILURE" and "MemoryError" in large["diagnostic"]
+    deaf = run_bounded([sys.executable, "-c", "print(1)"], b"x" * (1 << 22), 20, 100)
+    assert deaf["status"] == "COMPLETE" and deaf["output"] == b"1\n"
+
+
 def test_chains_of_one_and_many(spark):
     rows = [(1, 2), (2, 3), (3, None), (9, None)] + [(k, k + 1) for k in range(100, 150)] + [(150, None)]
     got = {r["node"]: (r["head"], r["place"]) for r in audit.chains(spark.createDataFrame(rows, "node int, next int")).collect()}

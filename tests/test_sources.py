@@ -55,6 +55,8 @@ def test_pages_images_and_rejects(spark, tmp_path):
     assert rows["b.bin", 2]["fault_kind"] == "truncated" and rows["b.bin", 3]["fault_kind"] is None  # others are still read
     assert rows["c.bin", 0]["fault_field"] == "signature" and rows["d.bin", 0]["fault_kind"] == "truncated"
     assert C.good_pages(pages).count() == 5 and C.rejects(pages).count() == 3
+    small = C.read_pages(C.files(spark, str(tmp_path), most=100)).withColumn("name", F.substring_index("source", "/", -1)).where("fault_kind = 'limit'")
+    assert sorted(r["name"] for r in small.collect()) == ["a.bin", "b.bin"] and len(good) > 100
 
 
 def test_wide_and_narrow_index():
@@ -110,6 +112,8 @@ def test_documents(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"samples": [], "samples": []}')
     docs = D.read_document(spark, str(tmp_path), "samples array<struct<id: string, n: int>>")
     assert [(r["ordinal"], r["id"], r["n"]) for r in D.exploded(docs, "samples").orderBy("ordinal").collect()] == [(0, "x", 1), (1, "y", 2)]
+    assert sorted(str(r["fault"]) for r in docs.collect()) == ["NOT_JSON", "None"]
+    assert sorted((str(r["fault"]), r["raw"] is None) for r in D.read_document(spark, str(tmp_path), "samples array<struct<id: string, n: int>>", most=40).collect()) == [("NOT_JSON", False), ("TOO_LARGE", True)]
     pins = docs.where("source like '%a.json'").select("source", "sha256")
     assert sorted(r["status"] for r in D.pinned(docs, pins).collect()) == ["NOT_RUN", "PASS"]
     cases = ['{"a": 1}', '{"a": 1, "a": 2}', '{"a": 1.5}', '{"a": "1.5"}', "{"]

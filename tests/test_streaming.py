@@ -40,3 +40,21 @@ def test_lifetimes(spark, stream):
     delta = stream().withColumn("d", F.when(F.col("op") == "open", 1).otherwise(-1))
     rows = drain(E.lifetimes(delta, "user", "d", "id"), "lives", "update")
     assert {r["key"] for r in rows} == {"0", "1", "2"} and all(r["opened"] == 20 and r["live"] in (0, 1) for r in rows)
+
+
+def test_lifetimes_in_event_order_across_batches(spark, tmp_path):
+    """The closing comes a batch before its opening, and a later batch moves the watermark past both."""
+    kind = "user string, ts timestamp, d int"
+    batches = [[("a", 100, -1), ("b", 100, 1)], [("a", 50, 1), ("b", 90, -1)], [("a", 2_000, 1), ("b", 2_000, 1)], [("a", 9_000, -1)], [("z", 20_000, 1)], [("z", 20_001, 1)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "user string, s long, d int").selectExpr("user", "timestamp_seconds(1700000000 + s) AS ts", "d").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    q = E.ordered_lifetimes(stream, "user", "d", "ts", "10 minutes").writeStream.format("memory").queryName("ordered").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    rows = spark.table("ordered").collect()
+    last = {k: max(((r["opened"], r["closed"], r["violations"]) for r in rows if r["key"] == k)) for k in ("a", "b")}
+    assert last["a"][:2] == (2, 2) and last["a"][2] == 0  # in order of time the opening comes first
+    assert last["b"] == (2, 0, 1)  # the closing at 90 has no opening before it
