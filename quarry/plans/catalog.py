@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.plans import controls, evidence, formats, more_evidence, protocols, runs
+from quarry.plans import controls, evidence, formats, more_evidence, pages, protocols, runs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,7 @@ def integrity_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("source", status.alias("status")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"integrity_by_source": integrity_by_source, **controls.QUERIES, **evidence.QUERIES, **formats.QUERIES, **more_evidence.QUERIES, **protocols.QUERIES, **runs.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"integrity_by_source": integrity_by_source, **controls.QUERIES, **evidence.QUERIES, **formats.QUERIES, **more_evidence.QUERIES, **pages.QUERIES, **protocols.QUERIES, **runs.QUERIES}
 
 ORACLE: dict[str, str] = {
     "integrity_by_source": """
@@ -32,6 +32,7 @@ FROM documents GROUP BY ALL""",
     **evidence.ORACLE,
     **formats.ORACLE,
     **more_evidence.ORACLE,
+    **pages.ORACLE,
     **protocols.ORACLE,
     **runs.ORACLE,
 }
