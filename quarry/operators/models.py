@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 def affine_fit(df: DataFrame, by: str, features: list[str], target: str) -> DataFrame:
     """by, coefficients (intercept first) and rows: least squares for each group.
 
-    Only the sums of the normal equations are gathered, a row for each group, and
-    solved in centred and scaled form; a group of too low rank has null coefficients.
+    Only the sums of the normal equations are gathered, a row for each group, about
+    the means of all rows, so that large offsets cost no digits, and solved in
+    centred and scaled form; a group of too low rank has null coefficients.
     """
     names = [*features, target]
     products = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    value = lambda n: F.col(n).cast("double")
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in names]).first()
+    centre = np.array([means[c] or 0.0 for c in names])
+    value = lambda n: F.col(n).cast("double") - F.lit(float(centre[names.index(n)]))
     moments = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(value(c)) for c in names]).alias("s"), F.array(*[F.sum(value(names[i]) * value(names[j])) for i, j in products]).alias("p"))
     k = len(features)
 
@@ -35,7 +38,8 @@ def affine_fit(df: DataFrame, by: str, features: list[str], target: str) -> Data
                     out.append((group, None, n))
                     continue
                 slope = np.linalg.solve(full[:k, :k] / np.outer(scale, scale), full[:k, k] / scale) / scale
-                out.append((group, [float((s[k] - slope @ s[:k]) / n), *map(float, slope)], n))
+                intercept = (s[k] - slope @ s[:k]) / n + centre[k] - slope @ centre[:k]
+                out.append((group, [float(intercept), *map(float, slope)], n))
             yield pd.DataFrame(out, columns=[by, "coefficients", "rows"])
 
     return moments.mapInPandas(solve, f"{by} {dict(df.dtypes)[by]}, coefficients array<double>, rows long")

@@ -134,6 +134,15 @@ def test_affine_fit_against_numpy(spark):
     assert np.allclose(got[0], [4, 1.5, -2, 0.25]) and np.allclose(got[1], [4, 1.5, -2, 0.25]) and got[9] is None
 
 
+def test_affine_fit_far_from_zero(spark):
+    rows = [(0, 1e9 + i, 3e9 + 2 * i + (i % 2)) for i in range(50)]
+    got = M.affine_fit(spark.createDataFrame(rows, "g int, x double, y double"), "g", ["x"], "y").first()["coefficients"]
+    x, y = np.array([r[1] - 1e9 for r in rows]), np.array([r[2] - 3e9 for r in rows])
+    slope = np.polyfit(x, y, 1)
+    assert abs(got[1] - slope[0]) < 1e-9 and abs(got[0] + got[1] * 1e9 - 3e9 - slope[1]) < 1e-5
+    assert M.affine_fit(spark.createDataFrame([], "g int, x double, y double"), "g", ["x"], "y").count() == 0
+
+
 def test_mutation_outcomes(spark):
     base = spark.createDataFrame([(1, "s1", 0), (2, "s2", 5)], "k int, s string, x int")
     outcome = lambda df: M.mutation_outcome(base, df, ["k"], "s", ["x"]).first()["outcome"]
