@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.functions import rasters
 from quarry.operators import experiments as X
 from quarry.operators import proofs as P
+from quarry.sources import glyph_model as M
 from quarry.sources import layouts as L
 
 
@@ -60,6 +61,13 @@ def test_nulls_and_drawings(spark):
     assert [r["v"] and r["v"]["status"] for r in frame.select(L.image_boxes()("d", "n").alias("v")).collect()] == [None, "UNKNOWN_RECORD"]
 
 
+def test_registers_of_glyphs():
+    data = words(1, 9, M.STYLE, 5, M.AXIS_X, 7, 2, 9, M.STYLE, 6, 3, 9, M.AXIS_Y, 8, M.COLOUR, 1, L.END, 200, 4, 9) + END
+    got = M.modelled(data)
+    assert got["status"] == "OK" and [(g["tag"], g["style"], g["axis_x"], g["axis_y"], g["gray"]) for g in got["glyphs"]] == [(1, None, None, None, M.GRAY), (2, 5, 7, None, M.GRAY), (3, 6, None, None, M.GRAY), (4, 6, None, 8, 0.0)]
+    assert M.modelled(None) is None and M.modelled(b"")["status"] == "TRUNCATED" and M.modelled(words(M.SHEAR, 1) + END)["status"] == "UNKNOWN_RECORD" and M.modelled(END) == {"status": "OK", "glyphs": []}
+
+
 def test_rasters(spark):
     data = F.lit(bytes(range(12)))
     assert bytes(value(spark, rasters.crop(data, F.lit(4), F.lit(1), F.lit(1), F.lit(2), F.lit(2)))) == bytes([5, 6, 9, 10])
