@@ -7,6 +7,14 @@
 5. bpe: texts become ids, which are decoded again as a check.
 
 All stages but the last return the columns they were given.
+
+Defined cases: a null text is an empty one to every stage; it keeps its null until
+line_dedup, which gives texts without repeated lines back as they are and null as
+empty.  A null id is an id like others and is never matched with a label.  Repeated
+rows are documents of their own for quality, line_dedup (each counts) and bpe; of
+rows with equal id and text near_duplicates keeps the first by all columns.  Other
+columns may have any name; n_chars, where there is one, follows a text that lost
+lines.  An empty table goes through all stages empty.
 """
 
 from __future__ import annotations
