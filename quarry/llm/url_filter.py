@@ -1,5 +1,8 @@
 """URL filters [native]: rules indexed by their rarest literal token; a URL's tokens fetch candidate rules, and only those run a regular expression.
 
+Before an expression runs, a candidate's host and the literal beginning of its
+path are looked at, so few are compiled.
+
 A rule has an action (allow or block), a host and a path.  It fits its host and
 all subdomains (an empty host: every host) when the URL's path starts with its
 path, in which ``*`` stands for any run of characters.  Tokens are runs of
@@ -62,21 +65,22 @@ def _quoted(text: Column) -> Column:
 
 
 def compiled(rules: DataFrame) -> DataFrame:
-    """action, rule, pattern and the whole literal tokens of each distinct rule; the pattern is for ``host + '\\n' + path``."""
+    """action, rule, pattern, host, head (the path up to its first ``*``) and the whole literal tokens of each distinct rule; the pattern is for ``host + '\\n' + path``."""
     r = rules.select("action", lower_ascii(F.coalesce("host", F.lit(""))).alias("host"), F.coalesce("path", F.lit("")).alias("path")).distinct()
     any_host, whole = F.col("host") == "", F.regexp_extract("path", r"(?s)^(.*[./?=&#:])[^./?=&#:]*$", 1)  # a path's last run may go on in the URL
     cut = F.regexp_replace(whole, r"[^./?=&#:]*\*[^./?=&#:]*", "")
     pattern = F.concat(F.lit("(?s)^"), F.when(any_host, F.lit("[^\n]*")).otherwise(F.concat(F.lit("(?:[^\n]*\\.)?"), _quoted(F.col("host")))), F.lit("\n"), _quoted(F.col("path")))
-    return r.select("action", F.concat("host", "path").alias("rule"), pattern.alias("pattern"), F.concat(_tokens(F.col("host"), "h"), _tokens(cut, "p")).alias("tokens"))
+    head = F.substring_index("path", "*", 1)
+    return r.select("action", F.concat("host", "path").alias("rule"), pattern.alias("pattern"), "host", head.alias("head"), F.concat(_tokens(F.col("host"), "h"), _tokens(cut, "p")).alias("tokens"))
 
 
 def rule_index(rules: DataFrame, urls: DataFrame) -> DataFrame:
-    """token and its rules array<struct<action, rule, pattern>>: each rule under its token with the fewest ``urls`` (a column ``_tokens``)."""
+    """token and its rules array<struct<action, rule, pattern, host, head>>: each rule under its token with the fewest ``urls`` (a column ``_tokens``)."""
     wanted = rules.select(F.explode("tokens").alias("token")).distinct()
     seen = urls.select(F.explode("_tokens").alias("token")).join(_sized(wanted), "token", "left_semi").groupBy("token").count()
-    best = rules.select("action", "rule", "pattern", F.explode_outer("tokens").alias("token")).join(seen, "token", "left")
-    chosen = best.groupBy("action", "rule", "pattern").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.coalesce("token", F.lit("")).alias("token"))).alias("_best"))
-    return chosen.groupBy(F.col("_best.token").alias("token")).agg(F.collect_list(F.struct("action", "rule", "pattern")).alias("rules"))
+    best = rules.select("action", "rule", "pattern", "host", "head", F.explode_outer("tokens").alias("token")).join(seen, "token", "left")
+    chosen = best.groupBy("action", "rule", "pattern", "host", "head").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), F.coalesce("token", F.lit("")).alias("token"))).alias("_best"))
+    return chosen.groupBy(F.col("_best.token").alias("token")).agg(F.collect_list(F.struct("action", "rule", "pattern", "host", "head")).alias("rules"))
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -91,7 +95,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", key: str =
     index = materialise(rule_index(rules, rows), "rules").withColumnRenamed("token", "_token")
     fetched = rows.select("_key", "host", "path", F.posexplode("_tokens").alias("_pos", "_token")).join(_sized(index), "_token", "left")
     subject = F.concat(F.translate("host", "\n", " "), F.lit("\n"), F.col("path"))
-    fits = F.filter(F.coalesce("rules", F.expr("cast(array() AS array<struct<action: string, rule: string, pattern: string>>)")), lambda r: F.rlike(subject, r["pattern"]))
+    fits = F.filter(F.coalesce("rules", F.expr("cast(array() AS array<struct<action: string, rule: string, pattern: string, host: string, head: string>>)")), lambda r: F.endswith(F.col("host"), r["host"]) & F.startswith(F.col("path"), r["head"]) & F.rlike(subject, r["pattern"]))
     best = F.array_min(F.transform(fits, lambda r: F.struct((-F.length(r["rule"])).alias("order"), r["rule"].alias("rule"), r["action"].alias("action"))))
     judged = fetched.groupBy("_key", "host", "path").agg(F.min(best).alias("_best"), F.sum(F.when(F.col("_pos") == 0, 1).otherwise(0)).alias("_rows"))
     return judged.select(F.col("_key").alias(key), "host", "path", F.col("_best.rule").alias("rule"), F.coalesce("_best.action", F.lit(default)).alias("verdict"), F.explode(F.sequence(F.lit(1), F.col("_rows"))).alias("_copy")).drop("_copy")
