@@ -97,3 +97,36 @@ def numeric_candidates(data: Column, widths: tuple[int, ...] = (2, 4)) -> Column
         return F.transform(_range(F.octet_length(data) - (width - 1)), one)
 
     return F.concat(*[readings(w, o, s) for w in widths for o in ("little", "big") for s in (False, True)])
+
+
+def _column_is(lines: Column, place: Column, wanted: str) -> Column:
+    return F.forall(lines, lambda row: F.hex(F.substring(row, place, F.lit(1))) == wanted)
+
+
+def edges_are(data: Column, stride: Column, colours: dict[str, int]) -> Column:
+    """Whether each named edge (top, bottom, left, right) of a raster of bytes has one colour all along; corners belong to top and bottom."""
+    lines = rows(data, stride)
+    inner = F.slice(lines, 2, F.greatest(F.size(lines) - 2, F.lit(0)))
+    whole = {"top": F.get(lines, F.lit(0)), "bottom": F.get(lines, F.size(lines) - 1)}
+    good = F.size(lines) >= 3
+    for name, value in colours.items():
+        wanted = f"{value:02X}"
+        if name in whole:
+            good = good & (F.hex(whole[name]) == F.repeat(F.lit(wanted), stride.cast("int")))
+        else:
+            good = good & _column_is(inner, F.lit(1) if name == "left" else stride, wanted)
+    return F.coalesce(good, F.lit(False))
+
+
+def marked_crop(data: Column, stride: Column, markers: list[tuple[int, int]], left: Column, top: Column, width: Column, height: Column) -> Column:
+    """A rectangle of a raster in which every marker (place, byte) is as it must be; null where one is not."""
+    sure = F.lit(True)
+    for place, value in markers:
+        sure = sure & (byte_at(data, F.lit(place)) == value)
+    return F.when(F.coalesce(sure, F.lit(False)), crop(data, stride, left, top, width, height))
+
+
+def palette_fit(palette: Column, bits: Column, entry_bytes: int = 3) -> Column:
+    """EXACT, SHORT or EXTRA: a palette against what indices of so many bits can reach; UNALIGNED where its bytes make no whole entries."""
+    size, wanted = F.octet_length(palette), entry_bytes * F.call_function("shiftleft", F.lit(1), bits.cast("int"))
+    return F.when(size % entry_bytes != 0, "UNALIGNED").when(size < wanted, "SHORT").when(size > wanted, "EXTRA").otherwise("EXACT")

@@ -100,3 +100,11 @@ def without(value: Column, kind: T.DataType, names: set[str]) -> Column:
 def summary_of(items: Column, fields: list[str]) -> Column:
     """Items by ordinal, from 1, with none but ``fields``: what identifies them goes."""
     return F.transform(items, lambda item, i: F.struct((i + 1).alias("ordinal"), *[item[f].alias(f) for f in fields]))
+
+
+def same_order(rows: DataFrame, by: list[str], side: str, order: list[str], value: str, places: list[int] | None = None) -> DataFrame:
+    """by and same: whether the values of side 0 and side 1 are the same in the same order; of side 0 only those at ``places`` (from 1), if given."""
+    listed = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col(side) == s, F.struct(*order, value)))), lambda r: r[value])
+    found = rows.groupBy(*by).agg(listed(0).alias("_left"), listed(1).alias("_right"))
+    left = F.col("_left") if places is None else F.array(*[F.get("_left", F.lit(p - 1)) for p in places])
+    return found.select(*by, F.coalesce(left == F.col("_right"), F.lit(False)).alias("same"))

@@ -330,3 +330,44 @@ def identities_without_places(spark, sf):
     pin = lambda c: F.struct(F.concat(F.lit("/store/"), "n_name").alias("location"), F.col(c).cast("int").alias("size"))
     manifest = nation.select("n_nationkey", F.struct(F.col("n_name").alias("name"), F.lit("/store").alias("location"), F.array(pin("n_nationkey"), pin("n_regionkey")).alias("pins")).alias("m"))
     return manifest.select("n_nationkey", F.to_json(P.without(F.col("m"), manifest.schema["m"].dataType, {"location"})).alias("identity"), F.to_json(P.summary_of(F.col("m.pins"), ["size"])).alias("summary"))
+
+
+@query("""
+SELECT p_partkey, p_partkey % 3 <> 1 AS framed, CASE WHEN p_partkey % 4 <> 2 THEN upper(md5(p_name))[1:4] || upper(md5(p_name))[5:8] END AS cut FROM part""")
+def framed_rasters(spark, sf):
+    """Rasters whose four edges must have colours of their own, and what is cut out where the marks are right."""
+    key, h = F.col("p_partkey"), F.upper(F.md5(F.col("p_name").cast("binary")))
+    side = F.when(key % 3 == 1, "09").otherwise("04")
+    row = lambda a: F.concat(F.lit("03"), F.substring(h, a, 4), side)
+    data = F.unhex(F.concat(F.when(key % 4 == 2, "01010102").otherwise("01010101"), row(1), row(5), F.lit("02020202")))
+    plain = F.unhex(F.concat(F.lit("01010101"), row(1), row(5), F.lit("02020202")))
+    rows = table(spark, sf, "part").select("p_partkey", data.alias("d"), plain.alias("p"))
+    cut = rasters.marked_crop(F.col("d"), F.lit(4), [(0, 1), (3, 1), (12, 2)], F.lit(1), F.lit(1), F.lit(2), F.lit(2))
+    return rows.select("p_partkey", rasters.edges_are(F.col("p"), F.lit(4), {"top": 1, "bottom": 2, "left": 3, "right": 4}).alias("framed"), F.hex(cut).alias("cut"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size % 3 AS b, CASE p_partkey % 4 WHEN 0 THEN 3 * (1 << (p_size % 3)) WHEN 1 THEN 3 * (1 << (p_size % 3)) - 3 WHEN 2 THEN 3 * (1 << (p_size % 3)) + 3 ELSE 3 * (1 << (p_size % 3)) + 1 END AS n FROM part)
+SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'SHORT' WHEN 2 THEN 'EXTRA' ELSE 'UNALIGNED' END AS fit FROM p""")
+def palette_fits(spark, sf):
+    """Palettes against what their indices can reach."""
+    bits = F.col("p_size") % 3
+    wanted = 3 * F.call_function("shiftleft", F.lit(1), bits.cast("int"))
+    size = wanted + F.element_at(F.array(*map(F.lit, [0, -3, 3, 1])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", rasters.palette_fit(F.unhex(F.repeat(F.lit("AB"), size)), bits).alias("fit"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS k, list(l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS p FROM lineitem GROUP BY 1)
+SELECT k AS l_orderkey, CASE k % 3 WHEN 0 THEN len(p) >= 2 WHEN 1 THEN len(p) >= 2 AND p[1] = p[2] ELSE false END AS same FROM l""")
+def mapped_orders(spark, sf):
+    """The first and second payload of a source must be what the output has, in this order; some outputs have them turned, some have one more."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", place.alias("place"), "l_partkey")
+    source = lines.withColumn("side", F.lit(0))
+    kind = F.col("l_orderkey") % 3
+    output = lines.where((F.col("place") <= 2) | ((kind == 2) & (F.col("place") == 3))).withColumns({"place": F.when(kind == 1, -F.col("place")).otherwise(F.col("place")), "side": F.lit(1)})
+    short = lines.where((F.col("place") == 1) & (kind == 2)).withColumns({"place": F.lit(9), "side": F.lit(1)})
+    return P.same_order(source.unionByName(output).unionByName(short), ["l_orderkey"], "side", ["place"], "l_partkey", [1, 2])

@@ -102,3 +102,13 @@ def test_owners_and_routes(spark):
     asked = lambda *p: F.array(*map(F.lit, p)) if p else F.lit(None).cast("array<int>")
     assert value(spark, P.route(asked(), F.lit(3))) == [1, 2, 3] and value(spark, P.route(asked(3, 1), F.lit(3))) == [3, 1]
     assert value(spark, P.route(asked(4), F.lit(3))) is None and value(spark, P.route(asked(1, 1), F.lit(3))) is None and value(spark, P.route(asked(), F.lit(0))) is None
+
+
+def test_edges_markers_and_palettes(spark):
+    frame = bytes([1, 1, 1, 3, 9, 4, 2, 2, 2])
+    edges = lambda d, **c: value(spark, rasters.edges_are(F.lit(d), F.lit(3), c))
+    assert edges(frame, top=1, bottom=2, left=3, right=4) and not edges(frame, top=2) and not edges(frame[:6], top=1) and not edges(b"", top=1)
+    cut = lambda m: value(spark, rasters.marked_crop(F.lit(frame), F.lit(3), m, F.lit(1), F.lit(1), F.lit(1), F.lit(1)))
+    assert bytes(cut([(0, 1), (8, 2)])) == b"\t" and cut([(0, 2)]) is None and cut([(99, 1)]) is None
+    fit = lambda n: value(spark, rasters.palette_fit(F.lit(b"x" * n), F.lit(1)))
+    assert [fit(n) for n in (6, 3, 9, 7, 0)] == ["EXACT", "SHORT", "EXTRA", "UNALIGNED", "SHORT"]
