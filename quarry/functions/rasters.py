@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,14 +56,19 @@ def other_bytes(data: Column, value: int) -> Column:
     return F.octet_length(data) - F.size(F.filter(_range(F.octet_length(data)), lambda i: byte_at(data, i) == value))
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def candidates(data: Column, width: int, stride: int) -> Column:
     """For both row orders and both fillings of the spare bits: order, pad, one bits and hash."""
-    each = []
-    for order, image in (("top", data), ("bottom", upside_down(data, F.lit(stride)))):
-        for bit in (0, 1):
-            filled = padded(image, width, stride, bit)
-            each.append(F.struct(F.lit(order).alias("order"), F.lit(bit).alias("pad"), one_bits(filled).alias("ones"), F.sha2(filled, 256).alias("sha256")))
-    return F.array(*each)
+
+    def of(order: str, image: Column) -> Column:
+        described = lambda bit: lambda x: F.struct(F.lit(order).alias("order"), F.lit(bit).alias("pad"), one_bits(x).alias("ones"), F.sha2(x, 256).alias("sha256"))
+        return F.array(*[_bound(padded(image, width, stride, bit), described(bit)) for bit in (0, 1)])
+
+    return _bound(data, lambda d: F.concat(of("top", d), _bound(upside_down(d, F.lit(stride)), lambda image: of("bottom", image))))
 
 
 def filled_grid(left: Column, top: Column, right: Column, bottom: Column, width: int, height: int) -> Column:
