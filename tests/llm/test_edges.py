@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import bpe, decontaminate, licences, line_dedup, media, ngram_join, quality, sharding, token_counts, url_filter
+from quarry.llm import bpe, decontaminate, divergence, exact_dedup, licences, line_dedup, media, ngram_join, quality, sharding, spelling, token_counts, url_filter
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -50,6 +50,10 @@ OPERATORS = {
     "shards": lambda spark, d: sharding.shard_records(d, [1.0, 2.0], 1.0),
     "tokens": lambda spark, d: token_counts.count_by_document(token_counts.pack(d, bpe.read_ranks(PATH), 50256), 50256),
     "quality": lambda spark, d: quality.keep_good(d, model(spark), 0.0),
+    "copies": lambda spark, d: exact_dedup.dedup(d),
+    "first copies": lambda spark, d: exact_dedup.keep_first(d),
+    "divergence": lambda spark, d: divergence.audit(d.withColumns({c: F.col(c).cast("string") for c in ("lang", "source")})),
+    "spelling": lambda spark, d: spelling.variants(d),
 }
 
 
@@ -59,11 +63,11 @@ def test_operator_with_clashing_names(spark, tmp_path, name):
     given = spark.read.parquet(f"{tmp_path}/d")
     out = OPERATORS[name](spark, given)
     n = out.count()
-    if name in ("decontaminate", "licences", "lines", "first lines"):
+    if name in ("decontaminate", "licences", "lines", "first lines", "copies"):
         assert out.select("row.*").columns == given.columns
-    if name in ("keep", "clean", "quality"):
+    if name in ("keep", "clean", "quality", "first copies"):
         assert out.columns == given.columns and 0 < n <= given.count()
-    elif name != "flac":
+    elif name not in ("flac", "divergence", "spelling"):
         assert n == given.count()
     assert OPERATORS[name](spark, given.limit(0)).count() == 0
 
