@@ -9,7 +9,6 @@ fault, and pages before and after it are still returned.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from quarry.sources.images import dib_size, jpeg_size
+from quarry.sources.ranges import RangedFile, part, sha256
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,7 @@ def family_of(data: bytes) -> Family:
 def _number(data: bytes, at: int, field: str) -> int:
     if at + 4 > len(data):
         raise Fault(at, field, "truncated")
-    return struct.unpack_from("<i", data, at)[0]
+    return struct.unpack("<i", data[at : at + 4])[0]
 
 
 def page_index(data: bytes, limits: Limits = Limits()) -> tuple[Family, int, np.ndarray]:
@@ -98,7 +98,7 @@ def page_index(data: bytes, limits: Limits = Limits()) -> tuple[Family, int, np.
         kind = _NARROW if word == 0 else _WIDE
     if at + pages * kind.itemsize > len(data):
         raise Fault(at, "page index", "truncated")
-    return family, at, np.frombuffer(data, kind, pages, at)
+    return family, at, np.frombuffer(data[at : at + pages * kind.itemsize], kind)
 
 
 def images_of(data: bytes, at: int, count: int, floor: int, limits: Limits = Limits()) -> list[dict]:
@@ -109,7 +109,7 @@ def images_of(data: bytes, at: int, count: int, floor: int, limits: Limits = Lim
             raise Fault(at, "image descriptor", "malformed")
         if at + 12 > len(data):
             raise Fault(at, "image descriptor", "truncated")
-        kind, start, length = struct.unpack_from("<iii", data, at)
+        kind, start, length = struct.unpack("<iii", data[at : at + 12])
         if kind not in (0, 1, 2, 3):
             raise Fault(at, "image type", "malformed" if kind < 0 else "unsupported")
         if start < at + 12:
@@ -118,7 +118,7 @@ def images_of(data: bytes, at: int, count: int, floor: int, limits: Limits = Lim
             raise Fault(at + 8, "image length", "malformed" if length <= 0 else "limit")
         if start + length > len(data):
             raise Fault(at + 4, "image payload", "truncated")
-        payload = data[start : start + length]
+        payload = part(data, start, start + length)
         size = {1: lambda p: (None, None)}.get(kind, jpeg_size if kind == 2 else dib_size)(payload)
         if size is None:
             raise Fault(start, "image dimensions", "malformed")
@@ -126,43 +126,48 @@ def images_of(data: bytes, at: int, count: int, floor: int, limits: Limits = Lim
             raise Fault(start, "image dimensions", "limit")
         out.append({
             "image_number": number, "record_type": kind, "descriptor_offset": at, "gap_length": start - at - 12, "payload_offset": start, "payload_length": length,
-            "payload_sha256": hashlib.sha256(payload).hexdigest(), "width": size[0], "height": size[1],
+            "payload_sha256": sha256(payload), "width": size[0], "height": size[1],
         })
         at = start + length
     return out
 
 
+_BLANK = dict.fromkeys(["variant", "row_offset", "text_offset", "text_length", "text_sha256", "image_count", "images", "fault_offset", "fault_field", "fault_kind"])
+
+
 def pages_of(data: bytes, limits: Limits = Limits()) -> Iterator[dict]:
     """A row for each page, or for a fault in it; a fault in the header is a row of its own with page 0."""
-    blank = dict.fromkeys(["variant", "row_offset", "text_offset", "text_length", "text_sha256", "image_count", "images", "fault_offset", "fault_field", "fault_kind"])
     try:
         family, index_at, rows = page_index(data, limits)
     except Fault as fault:
-        yield blank | {"page_number": 0, "fault_offset": fault.offset, "fault_field": fault.field, "fault_kind": fault.kind}
+        yield _BLANK | {"page_number": 0, "fault_offset": fault.offset, "fault_field": fault.field, "fault_kind": fault.kind}
         return
-    protected = index_at + rows.nbytes
-    narrow = rows.dtype == _NARROW
-    for i, row in enumerate(rows):
-        at = index_at + i * rows.dtype.itemsize
-        start, length = int(row["text_offset"]), int(row["text_length"])
-        count = 0 if narrow else int(row["images"])
-        head = blank | {"variant": family.name, "page_number": i + 1, "row_offset": at}
-        try:
-            if narrow and row["reserved"]:
-                raise Fault(at + 8, "reserved word", "unsupported")
-            if start < 0 or narrow and start < protected:
-                raise Fault(at, "text offset", "malformed")
-            if length < 0:
-                raise Fault(at + 4, "text length", "malformed")
-            if start + length > len(data):
-                raise Fault(at, "text span", "truncated")
-            if count < 0 or count > limits.images:
-                raise Fault(at + 8, "image count", "malformed" if count < 0 else "limit")
-            images = images_of(data, start + length, count, protected, limits)
-            text = data[start : start + length]
-            yield head | {"text_offset": start, "text_length": length, "text_sha256": hashlib.sha256(text).hexdigest() if text else None, "image_count": count, "images": images}
-        except Fault as fault:
-            yield head | {"fault_offset": fault.offset, "fault_field": fault.field, "fault_kind": fault.kind}
+    for i in range(len(rows)):
+        yield _page(data, family, index_at, rows.nbytes, rows[i], i, limits)
+
+
+def _page(data: bytes | RangedFile, family: Family, index_at: int, index_bytes: int, row: np.void, i: int, limits: Limits) -> dict:
+    """The row of page ``i`` (from 0), or of a fault in it."""
+    at, protected, narrow = index_at + i * row.dtype.itemsize, index_at + index_bytes, row.dtype == _NARROW
+    start, length = int(row["text_offset"]), int(row["text_length"])
+    count = 0 if narrow else int(row["images"])
+    head = _BLANK | {"variant": family.name, "page_number": i + 1, "row_offset": at}
+    try:
+        if narrow and row["reserved"]:
+            raise Fault(at + 8, "reserved word", "unsupported")
+        if start < 0 or narrow and start < protected:
+            raise Fault(at, "text offset", "malformed")
+        if length < 0:
+            raise Fault(at + 4, "text length", "malformed")
+        if start + length > len(data):
+            raise Fault(at, "text span", "truncated")
+        if count < 0 or count > limits.images:
+            raise Fault(at + 8, "image count", "malformed" if count < 0 else "limit")
+        images = images_of(data, start + length, count, protected, limits)
+        text = sha256(part(data, start, start + length)) if length else None
+        return head | {"text_offset": start, "text_length": length, "text_sha256": text, "image_count": count, "images": images}
+    except Fault as fault:
+        return head | {"fault_offset": fault.offset, "fault_field": fault.field, "fault_kind": fault.kind}
 
 
 _IMAGE = pa.struct([("image_number", pa.int32()), ("record_type", pa.int32()), ("descriptor_offset", pa.int64()), ("gap_length", pa.int64()), ("payload_offset", pa.int64()), ("payload_length", pa.int64()), ("payload_sha256", pa.string()), ("width", pa.int32()), ("height", pa.int32())])
@@ -196,6 +201,62 @@ def read_pages(contents: DataFrame) -> DataFrame:
     return contents.mapInArrow(_per_file(pages_of, _PAGE), from_arrow_schema(_PAGE))
 
 
+# ---------------------------------------------------------------- pages by range
+
+_PLACE = pa.schema([("source", pa.string()), ("page_number", pa.int32()), ("at", pa.int64()), ("fault_offset", pa.int64()), ("fault_field", pa.string()), ("fault_kind", pa.string())])
+
+
+def _places(limits: Limits):
+    """Of each container, from its header and index alone: where every page begins, or the header's fault as page 0."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source in batch.column("source").to_pylist():
+                try:
+                    _, _, rows = page_index(RangedFile(source), limits)
+                    n, at = len(rows), rows["text_offset"].astype(np.int64)
+                    fault = [None] * 3
+                    numbers = np.arange(1, n + 1, dtype=np.int32)
+                except Fault as f:
+                    n, at, numbers, fault = 1, np.zeros(1, np.int64), np.zeros(1, np.int32), [f.offset, f.field, f.kind]
+                yield pa.RecordBatch.from_arrays([pa.array([source] * n, pa.string()), pa.array(numbers), pa.array(at), *[pa.array([v] * n, t.type) for v, t in zip(fault, list(_PLACE)[3:], strict=True)]], schema=_PLACE)
+
+    return read
+
+
+def _at_places(limits: Limits):
+    """The pages of (source, page_number) rows; a file is opened once for rows that follow each other."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source = data = index = None
+        for batch in batches:
+            out = []
+            for name, number in zip(batch.column("source").to_pylist(), batch.column("page_number").to_pylist(), strict=True):
+                if name != source:
+                    source, data = name, RangedFile(name)
+                    index = page_index(data, limits)
+                family, index_at, rows = index
+                out.append({"source": name} | _page(data, family, index_at, rows.nbytes, rows[number - 1], number - 1, limits))
+            yield pa.RecordBatch.from_pylist(out, schema=_PAGE)
+
+    return read
+
+
+def read_pages_by_range(spark: SparkSession, path: str, range_bytes: int = 16 << 20, limits: Limits = Limits()) -> DataFrame:
+    """Pages and rejects of the containers at ``path``, of any size: indexes first, then pages dealt by the range of the file in which they begin.
+
+    A task reads the index of a container and the bytes of its own pages; payloads
+    are hashed as they are read.  Damaged headers are rejects of page 0.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("source"))
+    places = listed.repartition("source").mapInArrow(_places(limits), from_arrow_schema(_PLACE))
+    good = places.where("fault_kind IS NULL").withColumn("range", F.floor(F.col("at") / range_bytes))
+    dealt = good.repartition("source", "range").sortWithinPartitions("source", "at")
+    pages = dealt.select("source", "page_number").mapInArrow(_at_places(limits), from_arrow_schema(_PAGE))
+    faults = places.where("fault_kind IS NOT NULL").drop("at")
+    return pages.unionByName(faults, allowMissingColumns=True)
+
+
 def good_pages(pages: DataFrame) -> DataFrame:
     return pages.where("fault_kind IS NULL")
 
