@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.plans import controls, evidence, formats, inspections, more_evidence, pages, protocols, readers, runs, wrappings
+from quarry.plans import controls, evidence, formats, inspections, more_evidence, pages, protocols, readers, runs, scale, wrappings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,7 @@ def integrity_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("source", status.alias("status")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("n_chars"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"integrity_by_source": integrity_by_source, **controls.QUERIES, **evidence.QUERIES, **formats.QUERIES, **inspections.QUERIES, **more_evidence.QUERIES, **pages.QUERIES, **protocols.QUERIES, **readers.QUERIES, **runs.QUERIES, **wrappings.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"integrity_by_source": integrity_by_source, **controls.QUERIES, **evidence.QUERIES, **formats.QUERIES, **inspections.QUERIES, **more_evidence.QUERIES, **pages.QUERIES, **protocols.QUERIES, **readers.QUERIES, **runs.QUERIES, **scale.QUERIES, **wrappings.QUERIES}
 
 ORACLE: dict[str, str] = {
     "integrity_by_source": """
@@ -37,5 +37,6 @@ FROM documents GROUP BY ALL""",
     **protocols.ORACLE,
     **readers.ORACLE,
     **runs.ORACLE,
+    **scale.ORACLE,
     **wrappings.ORACLE,
 }
