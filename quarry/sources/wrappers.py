@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,11 +37,9 @@ def wrapper_fields(xml: Column) -> Column:
 
 def last_place(data: Column, mark: bytes) -> Column:
     """Where ``mark`` begins for the last time, from 0; null if it does not."""
-    wanted = mark.hex().upper()
-    pairs = F.regexp_replace(F.hex(data), "(..)", "$1 ")
-    head = F.substring_index(pairs, " ".join(wanted[i : i + 2] for i in range(0, len(wanted), 2)) + " ", -1)
-    at = F.octet_length(data) - len(mark) - (F.length(head) / 3).cast("int")
-    return F.when(F.length(head) < F.length(pairs), at)
+    before = F.substring_index(F.decode(data, F.lit("ISO-8859-1")), mark.decode("latin-1"), -1)  # a character a byte
+    at = F.octet_length(data) - len(mark) - F.char_length(before)
+    return F.when(at >= 0, at)
 
 
 def extents(data: Column, mark: bytes = b"%%EOF") -> Column:
@@ -78,23 +77,34 @@ def rebuilt_index(rows: DataFrame) -> DataFrame:
     return found.withColumn("index", F.concat(F.lit("xref\n"), F.col("index")))
 
 
+def _unit_ends(record: np.ndarray, width: int) -> np.ndarray:
+    """For every start the place of the first zero unit of ``width`` bytes counted from it, or the record's length."""
+    zero = np.logical_and.reduce([record[k : len(record) - width + 1 + k] == 0 for k in range(width)])
+    ends = np.full(len(record), len(record))
+    for phase in range(width):  # units that begin at starts of one phase
+        places = np.append(np.flatnonzero(zero[phase::width]) * width + phase, len(record))
+        starts = np.arange(phase, len(record), width)
+        ends[starts] = places[np.searchsorted(places[:-1], starts)]
+    return ends
+
+
+def _text(data: bytes, codec: str) -> str | None:
+    try:
+        return data.decode(codec)
+    except UnicodeDecodeError:
+        return None
+
+
 def title_windows(codecs: list[str]):
     """A function from a record to every title that may stand in it: for each start and codec the text up to a zero (or the end), where it can be decoded."""
+    widths = {codec: 2 if codec.startswith("utf-16") else 1 for codec in codecs}
 
     def windows(record: bytes) -> list[dict]:
-        out = []
-        for codec in codecs:
-            width = 2 if codec.startswith("utf-16") else 1
-            for start in range(len(record)):
-                units = [record[k : k + width] for k in range(start, len(record) - width + 1, width)]
-                size = next((i for i, u in enumerate(units) if not any(u)), None)
-                stop = len(record) if size is None else start + size * width
-                try:
-                    title = record[start:stop].decode(codec)
-                except UnicodeDecodeError:
-                    continue
-                out.append({"start": start, "codec": codec, "stop": stop, "terminated": size is not None, "title": title})
-        return out
+        units = np.frombuffer(record, np.uint8)
+        ends = {width: _unit_ends(units, width).tolist() for width in set(widths.values())} if record else {}
+        spans = [(start, codec, ends[widths[codec]][start]) for codec in codecs for start in range(len(record))]
+        titles = [_text(record[start:stop], codec) for start, codec, stop in spans]
+        return [{"start": start, "codec": codec, "stop": stop, "terminated": stop < len(record), "title": title} for (start, codec, stop), title in zip(spans, titles, strict=True) if title is not None]
 
     @F.arrow_udf(from_arrow_type(TITLES))
     def titles(records: pa.Array) -> pa.Array:
