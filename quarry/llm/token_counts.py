@@ -1,16 +1,14 @@
 """Token counts by separator scan: end-of-document ids are searched in flat, unindexed token files, piece by piece, and boundaries are stitched across pieces with a prefix scan.
 
 A token file is a run of unsigned little-endian ids of 2 or 4 bytes in which every
-document ends with a separator; nothing in it or beside it says where.  Files of
-any size lie in any store that Spark reads: ``read_flat`` lets Spark split them at
-newline bytes (a newline byte means nothing in a token file, it is merely where
-Spark can cut), and ``search`` puts the bytes of a split together again.
+document ends with a separator; nothing in it or beside it says where.  ``read_flat``
+reads files of any size by byte ranges, whatever bytes are in them.
 
-1. Each piece of a split, some MB, is searched as one array for the separator's
-   bytes at every place, since where ids begin is not known yet.
+1. Each piece of a range, some MB, is searched as one array for the separator's
+   bytes at every place.
 2. A prefix scan of the pieces' sizes gives each piece its offset in the file, so
    that places between two ids fall out; the bytes before a piece decide the id
-   that two pieces share.
+   that two pieces share.  (A table of pieces needs their order alone, no offsets.)
 3. A second prefix scan, of the numbers of separators and of the last one's place,
    gives the ordinals of the documents that end in a piece and where its first
    document began.  Ends less starts are the counts.
@@ -39,6 +37,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.sources.ranges import read_ranges
+
 from .common import bound_batches, materialise, shared_dir
 
 #: Bytes that are searched together, and bytes of a file in a group of the scan.
@@ -51,10 +51,8 @@ _MARK = b"\xef\xbb\xbf"
 
 
 def read_flat(spark: SparkSession, path: str) -> DataFrame:
-    """file, size (of the file), place (of the split) and data of flat files, a row for each run of bytes between newline bytes, in their order within a split."""
-    bound_batches(spark)
-    lines = spark.read.format("text").option("lineSep", "\n").load(path)
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("place"), F.col("value").cast("binary").alias("data"))
+    """file, size (of the file), place (where it begins) and data of the pieces of flat files."""
+    return read_ranges(spark, path, block=PIECE).select("file", "size", F.col("start").alias("place"), F.col("content").alias("data"))
 
 
 def write_flat(ids: DataFrame, column: str, separator: int, path: str, width: int = 2) -> None:
@@ -103,7 +101,7 @@ def _searcher(separator: int, width: int, gap: bytes):
     return search
 
 
-def search(chunks: DataFrame, separator: int, width: int = 2, lines: bool = True) -> DataFrame:
+def search(chunks: DataFrame, separator: int, width: int = 2, lines: bool = False) -> DataFrame:
     """file, size, place, seq, bytes, at (where the separator's bytes are), head and tail (width - 1 bytes) of every piece; rows of ``chunks`` with one file and place must follow each other in a partition. ``lines``: newline bytes were between them."""
     schema = "file string, size long, place long, seq long, bytes long, at array<long>, head binary, tail binary"
     given = chunks.select(F.col("file").cast("string").alias("file"), F.col("size").cast("long").alias("size"), F.col("place").cast("long").alias("place"), F.col("data").cast("binary").alias("data"))

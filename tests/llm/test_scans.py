@@ -155,6 +155,21 @@ def test_flat_files_of_any_split_equal_a_plain_loop(spark, monkeypatch, tmp_path
         assert counts_of(token_counts.count_tokens(pieces, sep, width)) == sorted(want), split
 
 
+def test_a_file_without_newline_bytes_is_read_in_many_partitions(spark, tmp_path):
+    ids = np.full(400_000, 7, "<u2")  # no byte 0x0A
+    ids[[5, 100_000, 399_998]] = 3
+    ids.tofile(tmp_path / "1.bin")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        flat = token_counts.read_flat(spark, str(tmp_path))
+        assert flat.rdd.getNumPartitions() >= 16
+        got = counts_of(token_counts.count_tokens(token_counts.search(flat, 3), 3))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted(plain_counts(1, ids.tolist(), 3))
+
+
 def test_chunks_in_memory_and_their_edges(spark):
     chunks = spark.createDataFrame([("1.bin", None, 0, b"\x01\x00\x03"), ("1.bin", None, 1, b"\x00\x03"), ("1.bin", None, 2, b"\x00\x05\x00"), ("2.bin", None, 0, None)], "file string, size long, place int, data binary").coalesce(1)
     got = counts_of(token_counts.count_tokens(token_counts.search(chunks, 3, lines=False), 3))
