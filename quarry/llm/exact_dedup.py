@@ -8,7 +8,9 @@ Texts are equal when their bytes are; a null text is an empty one.  Every row is
    while it holds more than its capacity, the directory doubles and the bucket splits
    by one more bit.  The loads of all prefixes of up to ``SLOT_BITS`` bits come from one
    job, so a bucket is a prefix that fits and whose parent does not.  A bucket that is
-   overfull at the last doubling gets overflow parts by further bits of the key.
+   overfull at the last doubling gets overflow parts by further bits of the key; the
+   last one is ``SPARE_BITS`` beyond what buckets of equal loads would take, since a few
+   neighbours with large loads would double the whole directory for themselves.
    Keys with more bytes than a capacity cannot be split by bits: they are taken out of
    the loads and get a chain of overflow parts each, to which input splits are dealt.
    The directory (slot, bucket, parts) is written to the shared folder.
@@ -37,6 +39,8 @@ from .common import materialise
 
 #: Most doublings of the directory, bytes that a bucket holds at least before it splits, and most keys with a chain of their own.
 SLOT_BITS, BUCKET_BYTES, HOT_KEYS = 20, 256 << 10, 100_000
+#: Doublings beyond those of buckets with equal loads.
+SPARE_BITS = 2
 #: Bytes that a row counts besides its text.
 ROW_BYTES = 64
 #: Most (key, text) totals of split chains that are broadcast; keys of 64 bits hold hardly more than one text each.
@@ -64,6 +68,7 @@ def directory_of(keys: DataFrame, bucket_bytes: int = BUCKET_BYTES, bits: int =
     """The directory (slot, bucket, overflow), the split chains (hot_key, parts) and the directory's bits."""
     total = keys.agg(F.sum("n_bytes")).first()[0] or 0
     capacity = max(bucket_bytes, total >> (bits - 1))
+    bits = min(bits, (total // capacity).bit_length() + SPARE_BITS)
     alone = F.col("n_bytes") > max(capacity, total // hot_keys)
     parts = lambda load: F.ceil(load / F.lit(capacity)).cast("int")
     chains = materialise(keys.where(alone).select(F.col("key").alias("hot_key"), parts(F.col("n_bytes")).alias("parts")), "chains")
