@@ -205,15 +205,16 @@ def plain_scan(model, text):
         z = [float(v) for v in model.bias]
         for gram in {*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))}:
             z = [a + float(b) for a, b in zip(z, model.weights[zlib.crc32(gram.encode()) % len(model.weights)])]
-        top = max(z)
-        family, score = model.classes[z.index(top)], 1 / sum(math.exp(v - top) for v in z)
+        order = sorted(range(len(z)), key=lambda k: (-z[k], k))
         own = {" ".join(w[i : i + 3]) for i in range(len(w) - 2)}
-        sure = False
-        for notice in licence_texts.TEMPLATES.get(family, []):
-            v = plain_words(notice)
-            want = {" ".join(v[i : i + 3]) for i in range(len(v) - 2)}
-            sure |= len(want & own) >= max(min(2, len(want)), len(want) / 2)
-        return family, score, sure
+
+        def confirmed(k):
+            wanted = [{" ".join(v[i : i + 3]) for i in range(len(v) - 2)} for v in map(plain_words, licence_texts.TEMPLATES.get(model.classes[k], []))]
+            return any(len(want & own) >= max(min(2, len(want)), len(want) / 2) for want in wanted)
+
+        sure = [k for k in order if confirmed(k)] if model.classes[order[0]] != "unknown" else []
+        best = (sure or order)[0]
+        return model.classes[best], math.exp(z[best]) / sum(math.exp(v) for v in z), bool(sure)
 
     has = [i for i, line in enumerate(lines) if cues & set(plain_words(line))]
     good = [(i, i + 1, *judge(lines[i])) for i in has]
@@ -243,6 +244,35 @@ def same_scan(rows, want):
         assert g[:6] == w[:6] and (g[6] is None) == (w[6] is None) and abs((g[6] or 0) - (w[6] or 0)) < 1e-6, (g, w)
 
 
+def test_a_text_of_many_notices_takes_linear_time(spark):
+    """Blocks are found by their neighbours in one order, not by a search for each cued line."""
+    import time
+
+    line = "Permission is granted to use this licence freely"
+    took = {}
+    for n in (2_000, 2_000, 16_000):  # the first run compiles
+        texts = ["\n".join(f"{line} {i}\nand more of it" + "\n" * (i % 3) for i in range(n))]
+        frame = spark.createDataFrame([(t,) for t in texts], "t string").select(F.size(licences._units(F.split(F.lower("t"), "\n"))["blocks"]).alias("n"))
+        began = time.perf_counter()
+        assert frame.first()["n"] > n // 2
+        took[n] = time.perf_counter() - began
+    assert took[16_000] < 24 * took[2_000] + 1
+
+
+def test_a_second_guess_that_a_template_confirms_is_taken(spark):
+    model = licences.train(["The weather was fine. It rained."])
+    notices = [(c, n) for c, ns in licence_texts.TEMPLATES.items() for n in ns]
+    z = np.zeros_like(model.weights)
+    misled = licences.LicenceModel(model.classes, z, np.array([2.0 if c == notices[0][0] else 0.0 for c in model.classes]), 0.0, 0.0)
+    rows = spark.createDataFrame([(c, n) for c, n in notices], "want string, text string")
+    got = licences.scan(rows, misled).select("row.want", F.transform(F.concat("found", "wrapped"), lambda x: F.struct(x["family"], x["confirmed"])).alias("x")).collect()
+    sure = {c: [licences.grams_of(licences.words_of(n), 3) for n in ns] for c, ns in licence_texts.TEMPLATES.items()}
+    for (want, text), r in zip(notices, sorted(got, key=lambda r: [w for w, _ in notices].index(r["want"])), strict=True):
+        assert r["want"] == want and r["x"] and all(found for _, found in r["x"])
+    own = {text: {c for c, ts in sure.items() if any(len(t & licences.grams_of(licences.words_of(text), 3)) >= licences.needed(len(t)) for t in ts)} for _, text in notices}
+    assert all(family in set().union(*(own[t] for c, t in notices if c == r["want"])) for r in got for family, _ in r["x"])
+
+
 def test_licence_scan_equals_plain_loops(spark):
     model = licences.train(["The weather was fine. It rained.", "A day by the sea with friends"])
     lines = ["Released under the MIT License.", "nothing here", "ALL RIGHTS RESERVED.", "He lost his license", "Licensed under CC BY-NC 4.0. Contact us", "", "İ Apache License, Version 2.0", "SPDX-License-Identifier: GPL-3.0-or-later"]
