@@ -198,7 +198,8 @@ WITH l AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey OR
 v AS (SELECT *, last_value(CASE WHEN k = 1 THEN p END IGNORE NULLS) OVER w AS y, last_value(CASE WHEN k = 2 THEN q END IGNORE NULLS) OVER w AS style, last_value(CASE WHEN k = 2 THEN i END IGNORE NULLS) OVER w AS styled,
   last_value(CASE WHEN k = 3 THEN q END IGNORE NULLS) OVER w AS a, last_value(CASE WHEN k = 3 THEN i END IGNORE NULLS) OVER w AS a_at, last_value(CASE WHEN k = 4 THEN 0.225 END IGNORE NULLS) OVER w AS shear, last_value(CASE WHEN k = 5 THEN 0.0 END IGNORE NULLS) OVER w AS gray
   FROM l WINDOW w AS (PARTITION BY o ORDER BY i ROWS UNBOUNDED PRECEDING))
-SELECT o AS l_orderkey, (i - 1)::INTEGER AS glyph, y::INTEGER AS y, style::INTEGER AS style, CASE WHEN styled IS NULL OR a_at > styled THEN a END::INTEGER AS axis_x, coalesce(shear, 0)::DOUBLE AS shear, CASE WHEN gray IS NULL THEN 68 / 255.0 ELSE 0 END::DOUBLE AS gray FROM v WHERE o % 4 <> 3""")
+SELECT o AS l_orderkey, (i - 1)::INTEGER AS glyph, y::INTEGER AS y, style::INTEGER AS style, CASE WHEN styled IS NULL OR a_at > styled THEN a END::INTEGER AS axis_x, coalesce(shear, 0)::DOUBLE AS shear, CASE WHEN gray IS NULL THEN 68 / 255.0 ELSE 0 END::DOUBLE AS gray, 'OK' AS status FROM v WHERE o % 4 <> 3
+UNION ALL SELECT DISTINCT o, NULL::INTEGER, NULL::INTEGER, NULL::INTEGER, NULL::INTEGER, NULL::DOUBLE, NULL::DOUBLE, 'UNKNOWN_RECORD' FROM l WHERE o % 4 = 3""")
 def run_glyph_model(spark, sf):
     """Glyphs with the registers that hold for them; a fourth of the streams has an unknown record."""
     p, q = F.col("l_partkey").bitwiseAND(0x3FFF), F.col("l_suppkey").bitwiseAND(0xFFF)
@@ -210,5 +211,5 @@ def run_glyph_model(spark, sf):
     orders = _lines(spark, sf, record=F.concat(control, L.words(0x1234, p)))
     hurt = F.when(F.col("l_orderkey") % 4 == 3, L.words(0x9999, 0)).otherwise("")
     stream = F.unhex(F.concat(hurt, F.array_join(F.transform("r", lambda r: r["record"]), ""), L.words(L.END, 0)))
-    read = orders.select("l_orderkey", GM.glyph_model(stream).alias("m")).where("m.status = 'OK'")
-    return read.select("l_orderkey", F.posexplode("m.glyphs").alias("glyph", "g")).select("l_orderkey", "glyph", "g.y", "g.style", "g.axis_x", "g.shear", "g.gray")
+    read = orders.select("l_orderkey", GM.glyph_model(stream).alias("m")).select("l_orderkey", "m.status", F.posexplode_outer(F.when(F.col("m.status") == "OK", F.col("m.glyphs"))).alias("glyph", "g"))
+    return read.select("l_orderkey", "glyph", "g.y", "g.style", "g.axis_x", "g.shear", "g.gray", "status")

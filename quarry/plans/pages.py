@@ -62,6 +62,19 @@ def page_glyphs(spark, sf):
     )
 
 
+@query("""
+WITH p AS (SELECT p_partkey, ['', '0 0 10 10 re', '1 1 2 2 3 3 c', '[<0041> -20 <0042>] TJ', '10 20 Td', 'W', 'ET'][p_partkey % 7 + 1] AS op, ['', 're', 'c', 'TJ', 'Td', 'W', ''][p_partkey % 7 + 1] AS name, p_size AS w FROM part),
+l AS (SELECT *, length('q ' || w || ' w 0 0 m 5 5 l S ' || op) - length(name) AS place FROM p)
+SELECT p_partkey, CASE WHEN name <> '' THEN 'UNSUPPORTED' WHEN p_partkey % 5 = 0 THEN 'MALFORMED' ELSE 'OK' END AS status, CASE WHEN name <> '' THEN place END::BIGINT AS "offset", CASE WHEN name <> '' THEN name END AS operator, CASE WHEN name = '' AND p_partkey % 5 > 0 THEN 1 END::INTEGER AS segments FROM l""")
+def page_statuses(spark, sf):
+    """Pages with one operator that is not understood, or with a saved state left: a status with its place, and no rows."""
+    odd = F.element_at(F.array(*map(F.lit, ["", "0 0 10 10 re", "1 1 2 2 3 3 c", "[<0041> -20 <0042>] TJ", "10 20 Td", "W", "ET"])), (F.col("p_partkey") % 7 + 1).cast("int"))
+    text = _said("q ", F.col("p_size"), " w 0 0 m 5 5 l S ", odd, F.when(F.col("p_partkey") % 5 == 0, "").otherwise(" Q"))
+    content = table(spark, sf, "part").select("p_partkey", text.cast("binary").alias("content"))
+    found = content.select("p_partkey", P.page_status("content").alias("s"), P.strokes("content").alias("p"))
+    return found.select("p_partkey", "s.status", "s.offset", "s.operator", F.when(F.col("p").isNotNull(), F.size("p.segments")).alias("segments"))
+
+
 @query("""
 SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 THEN 9 + p_size % 7 WHEN p_partkey % 4 = 2 THEN 10 + p_size % 7 END::BIGINT AS "offset", CASE p_partkey % 4 WHEN 1 THEN 1 WHEN 2 THEN 0 END::INTEGER AS arrays, CASE p_partkey % 4 WHEN 1 THEN 0 WHEN 2 THEN 1 END::INTEGER AS dictionaries FROM part""")
 def unfinished_operands(spark, sf):

@@ -51,15 +51,14 @@ def tagged_destinations(spark, sf):
     return found.select("p_partkey", F.when(F.col("d").isNotNull(), F.concat(F.col("d.kind"), F.lit("("), F.array_join("d.numbers", ","), F.lit(")"))).alias("destination"))
 
 
-@query("""
-SELECT doc_id, array_to_string(string_split(text, '')[1:40], '') AS title FROM documents WHERE NOT regexp_matches(array_to_string(string_split(text, '')[1:40], ''), '[^\\x00-\\x17\\x20-\\x7E]')""")
+@query(r"""
+SELECT doc_id, CASE WHEN doc_id % 4 <> 3 OR NOT regexp_matches(text, '[^\x00-\x17\x20-\x7E]') THEN text END AS title FROM documents""")
 def document_titles(spark, sf):
-    """Titles in the four forms that documents have, for texts that all four can hold."""
-    title = F.substring("text", 1, 40)
-    docs = table(spark, sf, "documents").select("doc_id", title.alias("t")).where(~F.rlike("t", F.lit(r"[^\x00-\x17\x20-\x7E]")))
-    kind = F.col("doc_id") % 4
-    data = F.when(kind == 0, F.concat(F.unhex(F.lit("FEFF")), F.encode("t", "UTF-16BE"))).when(kind == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode("t", "UTF-16LE"))).when(kind == 2, F.concat(F.unhex(F.lit("EFBBBF")), F.encode("t", "UTF-8"))).otherwise(F.encode("t", "ISO-8859-1"))
-    return docs.select("doc_id", C.document_title(data).alias("title"))
+    """Whole texts as titles in the four forms that documents have; null where the form of single bytes cannot hold the text."""
+    kind, text = F.col("doc_id") % 4, F.col("text")
+    single = F.when(~F.rlike(text, F.lit(r"[^\x00-\x17\x20-\x7E]")), F.encode(text, "ISO-8859-1"))
+    data = F.when(kind == 0, F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE"))).when(kind == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE"))).when(kind == 2, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8"))).otherwise(single)
+    return table(spark, sf, "documents").select("doc_id", C.document_title(data).alias("title"))
 
 
 @query("""

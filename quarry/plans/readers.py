@@ -58,11 +58,14 @@ def xml_page_rows(spark, sf):
 
 
 @query("""
-SELECT n_nationkey, CASE WHEN n_nationkey % 4 <> 3 THEN unnest(['a', 'b', 'b']) END AS tag, unnest([0, octet_length(encode(n_name)), 1])::INTEGER AS text_bytes FROM nation WHERE n_nationkey % 4 <> 3""")
+SELECT n_nationkey, 'READ' AS status, unnest(['a', 'b', 'b']) AS tag, unnest([0, octet_length(encode(n_name)), 1])::INTEGER AS text_bytes FROM nation WHERE n_nationkey % 4 <> 3
+UNION ALL SELECT n_nationkey, 'REFUSED', NULL, NULL FROM nation WHERE n_nationkey % 4 = 3""")
 def xml_shapes(spark, sf):
-    """Tags and text sizes of XML; documents with entities are refused."""
+    """Tags and text sizes of XML; a document with entities is refused, and has a row that says so."""
     text = F.concat(F.when(F.col("n_nationkey") % 4 == 3, '<!DOCTYPE a [<!ENTITY x "y">]>').otherwise(""), _said("<a><b k='1'>", F.col("n_name"), "</b><b>z</b></a>"))
-    return table(spark, sf, "nation").select("n_nationkey", F.explode(nested.xml_shape(text)).alias("s")).select("n_nationkey", "s.tag", "s.text_bytes")
+    shaped = table(spark, sf, "nation").select("n_nationkey", nested.xml_shape(text).alias("shape"))
+    status = F.when(F.col("shape").isNull(), "REFUSED").otherwise("READ")
+    return shaped.select("n_nationkey", status.alias("status"), F.explode_outer("shape").alias("s")).select("n_nationkey", "status", "s.tag", "s.text_bytes")
 
 
 @query("""
@@ -86,15 +89,17 @@ def outline_listings(spark, sf):
 
 
 @query("""
-SELECT n_regionkey AS region, n_name AS name, n_nationkey::INTEGER AS key FROM nation WHERE n_regionkey % 4 <> 3""")
+SELECT n_regionkey AS region, NULL::VARCHAR AS fault, n_name AS name, n_nationkey::INTEGER AS key FROM nation WHERE n_regionkey % 4 <> 3
+UNION ALL SELECT r_regionkey, 'NOT_JSON', NULL, NULL FROM region WHERE r_regionkey % 4 = 3""")
 def json_documents(spark, sf):
-    """Whole JSON files, exploded; files that repeat a key are no strict JSON."""
+    """Whole JSON files, exploded; a file that repeats a key is no strict JSON, and has a row that says so."""
     rows = table(spark, sf, "nation").groupBy("n_regionkey").agg(F.to_json(F.collect_list(F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").cast("int").alias("key")))).alias("samples"))
     again = F.when(F.col("n_regionkey") % 4 == 3, ',"samples":[]').otherwise("")
     path = _new_path(spark, "documents")
-    rows.select("n_regionkey", _said('{"region":', F.col("n_regionkey"), ',"samples":', F.col("samples"), again, "}").alias("value")).repartition(1).write.partitionBy("n_regionkey").text(path)
-    read = D.read_document(spark, path, "region int, samples array<struct<name: string, key: int>>").where("fault IS NULL")
-    return read.select(F.col("document.region").cast("long").alias("region"), F.explode("document.samples").alias("s")).select("region", "s.name", "s.key")
+    rows.select("n_regionkey", _said('{"region":', F.col("n_regionkey"), ',"samples":', F.col("samples"), again, "}").alias("value")).write.partitionBy("n_regionkey").text(path)
+    read = D.read_document(spark, path, "region int, samples array<struct<name: string, key: int>>")
+    region = F.coalesce(F.col("document.region").cast("long"), F.regexp_extract("source", r"n_regionkey=(\d+)", 1).cast("long"))
+    return read.select(region.alias("region"), "fault", F.explode_outer("document.samples").alias("s")).select("region", "fault", "s.name", "s.key")
 
 
 @query("""

@@ -13,6 +13,7 @@ from quarry.sources.pdf import Malformed, _string, _times, tokens
 
 POINT = pa.list_(pa.float64())
 STROKES = pa.struct([("order", pa.string()), ("segments", pa.list_(pa.struct([("from", POINT), ("to", POINT), ("width", pa.float64()), ("gray", pa.float64())])))])
+PAGE_STATUS = pa.struct([("status", pa.string()), ("offset", pa.int64()), ("operator", pa.string())])
 GLYPHS = pa.list_(pa.struct([("ordinal", pa.int32()), ("font", pa.string()), ("size", pa.float64()), ("matrix", pa.list_(pa.float64())), ("gray", pa.float64()), ("role", pa.string()), ("code", pa.int32())]))
 OPERAND = pa.struct([("offset", pa.int64()), ("arrays", pa.int32()), ("dictionaries", pa.int32())])
 ENTRY = pa.struct([("offset", pa.int64()), ("generation", pa.int32()), ("in_use", pa.bool_())])
@@ -21,8 +22,20 @@ _UNIT = [1.0, 0.0, 0.0, 1.0, 0.0, 0.0]
 _HEX_START = re.compile(rb"%[^\r\n]*|<<|>>|[\[\]()]|<[0-9A-Fa-f\s]*(>?)")
 
 
+# Operators that change nothing of what is returned.
+HARMLESS = ["ET", "BX", "EX", "MP", "DP", "ri", "i"]
+
+
+class Unsupported(Malformed):
+    """An operator that is not understood: what follows it may be placed or painted otherwise."""
+
+    def __init__(self, operator: str, offset: int):
+        super().__init__(f"{operator} at {offset}")
+        self.operator, self.offset = operator, offset
+
+
 class _Page:
-    """The state that operators of a page change, and what they show."""
+    """The state that operators of a page change, and what they show; any operator that is not understood ends the page."""
 
     def __init__(self):
         self.state = {"matrix": _UNIT, "gray": 0.0, "width": 1.0}
@@ -35,11 +48,13 @@ class _Page:
 
     def run(self, content: bytes) -> _Page:
         operands: list = []
-        for kind, v, _ in tokens(content):
+        for kind, v, after in tokens(content):
             if kind == "word":
                 handler = getattr(self, f"do_{_NAMES.get(v, v)}", None)
                 if handler:
                     handler(operands)
+                elif v not in HARMLESS:
+                    raise Unsupported(v, after - len(v))
                 operands = []
             else:
                 operands.append((kind, v))
@@ -145,15 +160,32 @@ def _each(column: pa.Array, one, kind: pa.DataType) -> pa.Array:
     return pa.array(out, kind)
 
 
+def status_of(content: bytes) -> dict:
+    """OK, UNSUPPORTED with the operator and its offset, or MALFORMED."""
+    try:
+        _Page().run(content)
+    except Unsupported as u:
+        return {"status": "UNSUPPORTED", "offset": u.offset, "operator": u.operator}
+    except (Malformed, ValueError, IndexError, TypeError):
+        return {"status": "MALFORMED"}
+    return {"status": "OK"}
+
+
+@F.arrow_udf(from_arrow_type(PAGE_STATUS))
+def page_status(content: pa.Array) -> pa.Array:
+    """What became of a page, for every one that ``strokes`` and ``glyphs`` give no rows of; null for null."""
+    return pa.array([status_of(c.as_py()) if c.is_valid else None for c in content], PAGE_STATUS)
+
+
 @F.arrow_udf(from_arrow_type(STROKES))
 def strokes(content: pa.Array) -> pa.Array:
-    """Stroked segments in page space, and the order in which strokes (v), texts (g) and images (i) are painted; null for malformed contents."""
+    """Stroked segments in page space, and the order in which strokes (v), texts (g) and images (i) are painted; null where ``page_status`` is not OK."""
     return _each(content, lambda c: {"order": "".join((p := _Page().run(c)).order), "segments": p.segments}, STROKES)
 
 
 @F.arrow_udf(from_arrow_type(GLYPHS))
 def glyphs(content: pa.Array) -> pa.Array:
-    """Codes that are shown, two bytes each, with font, matrix, gray and the role of the content they are marked as; null for malformed contents."""
+    """Codes that are shown, two bytes each, with font, matrix, gray and the role of the content they are marked as; null where ``page_status`` is not OK."""
     return _each(content, lambda c: _Page().run(c).glyphs, GLYPHS)
 
 

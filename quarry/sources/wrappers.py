@@ -37,7 +37,7 @@ def wrapper_fields(xml: Column) -> Column:
 
 def last_place(data: Column, mark: bytes) -> Column:
     """Where ``mark`` begins for the last time, from 0; null if it does not."""
-    before = F.substring_index(F.decode(data, F.lit("ISO-8859-1")), mark.decode("latin-1"), -1)  # a character a byte
+    before = F.substring_index(F.decode(data, "ISO-8859-1"), mark.decode("latin-1"), -1)  # a character a byte
     at = F.octet_length(data) - len(mark) - F.char_length(before)
     return F.when(at >= 0, at)
 
