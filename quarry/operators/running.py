@@ -18,6 +18,15 @@ from pyspark.sql import functions as F
 from quarry.functions.stored import stored
 
 HOT_ROWS = 1_000_000
+#: Inputs of fewer bytes, by Spark's estimate, are not counted first.
+SMALL_BYTES = 8 << 20
+
+
+def _is_hot(df: DataFrame, base: DataFrame, hot_rows: int | None) -> bool:
+    """Whether a key has more than ``hot_rows`` rows; small inputs are taken as they are, without a pass over them."""
+    if hot_rows is None and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SMALL_BYTES:
+        return False
+    return (base.groupBy("key").count().agg(F.max("count")).first()[0] or 0) > (HOT_ROWS if hot_rows is None else hot_rows)
 
 
 def running(
@@ -34,8 +43,7 @@ def running(
         folds = {**dict.fromkeys(sums, F.sum), **dict.fromkeys(lasts, lambda v: F.last(v, ignorenulls=True)), **dict.fromkeys(maxima, F.max)}
         return {n: fold(F.col(f"v_{n}")).over(w) for n, fold in folds.items()}
 
-    most = base.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-    if most <= (HOT_ROWS if hot_rows is None else hot_rows):
+    if not _is_hot(df, base, hot_rows):
         return base.select("row", *[c.alias(f"r_{n}") for n, c in over(inside("key")).items()]).select("row.*", *[F.col(f"r_{n}").alias(n) for n in values])
     dealt = stored(base.repartitionByRange("key", "at").withColumn("slice", F.spark_partition_id()), "slices")
     latest = lambda n: F.max(F.when(F.col(f"v_{n}").isNotNull(), F.struct("at", F.col(f"v_{n}").alias("v"))))["v"]
