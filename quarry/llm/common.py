@@ -32,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset (tests), a new temporary folder, which the session then keeps."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset and all runs in one process (tests), a new temporary folder, which the session then keeps. On a cluster an unset one raises."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="quarry-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
