@@ -53,6 +53,21 @@ def only_candidate(rows: DataFrame, candidates: DataFrame, on: list[str], value:
     return rows.join(one, on, "left").withColumns({"candidates": F.coalesce("candidates", F.lit(0).cast("long")), value: F.when(F.col("candidates") == 1, F.col("_value"))}).drop("_value")
 
 
+def dispatched(rows: DataFrame, kind: str, own: Column, direct: list[int], looked_up: list[int], candidates: DataFrame, on: list[str], value: str) -> DataFrame:
+    """``rows`` with ``value`` and status: records of the kinds ``direct`` have their own value, those of ``looked_up`` that of the one candidate of their key; MISSING, AMBIGUOUS (two distinct candidates or more) and UNSUPPORTED (another kind, or null) have none.
+
+    Only the rows that are looked up are joined.
+    """
+    columns, of = [*rows.columns, value, "status"], F.col(kind)
+    none = F.lit(None).cast(candidates.schema[value].dataType)
+    has_own = rows.where(of.isin(direct)).withColumn(value, own.cast(candidates.schema[value].dataType))
+    has_own = has_own.withColumn("status", F.when(F.col(value).isNull(), "MISSING").otherwise("PASS"))
+    found = only_candidate(rows.where(of.isin(looked_up)), candidates, on, value)
+    found = found.withColumn("status", F.when(F.col("candidates") == 0, "MISSING").when(F.col("candidates") > 1, "AMBIGUOUS").otherwise("PASS"))
+    others = rows.where(of.isNull() | ~of.isin([*direct, *looked_up])).withColumns({value: none, "status": F.lit("UNSUPPORTED")})
+    return has_own.select(*columns).unionByName(found.select(*columns)).unionByName(others.select(*columns))
+
+
 def latest_since(events: DataFrame, on: list[str], order: str, least: Column, columns: list[str]) -> DataFrame:
     """on and ``columns`` of each key's last event that is not before ``least``."""
     return events.where(F.col(order) >= least).groupBy(*on).agg(F.max_by(F.struct(*columns), order).alias("_e")).select(*on, "_e.*")

@@ -18,15 +18,16 @@ from pyspark.sql import functions as F
 from quarry.functions.stored import stored
 
 HOT_ROWS = 1_000_000
-#: Inputs of fewer bytes, by Spark's estimate, are not counted first.
-SMALL_BYTES = 8 << 20
+#: Bytes that a row has at least, by Spark's estimate.
+ROW_BYTES = 8
 
 
 def _is_hot(df: DataFrame, base: DataFrame, hot_rows: int | None) -> bool:
-    """Whether a key has more than ``hot_rows`` rows; small inputs are taken as they are, without a pass over them."""
-    if hot_rows is None and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SMALL_BYTES:
+    """Whether a key has more than ``hot_rows`` rows; an input too small for that is not counted."""
+    most = HOT_ROWS if hot_rows is None else hot_rows
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= ROW_BYTES * most:
         return False
-    return (base.groupBy("key").count().agg(F.max("count")).first()[0] or 0) > (HOT_ROWS if hot_rows is None else hot_rows)
+    return (base.groupBy("key").count().agg(F.max("count")).first()[0] or 0) > most
 
 
 def running(

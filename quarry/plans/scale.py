@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarry.functions import piecewise as PW
 from quarry.functions import variants as V
 from quarry.functions.stored import shared_folder
+from quarry.operators import proofs as P
 from quarry.operators import ranks as K
 from quarry.operators import walks as W
 from quarry.sources import binary_sink, generators, ranges, versions
@@ -64,6 +65,33 @@ def ranged_blocks(spark, sf):
     return blocks.select(F.regexp_extract("file", r"(\d+)\.bin$", 1).cast("long").alias("doc_id"), (F.col("start") / 1000).cast("long").alias("block"), F.octet_length("content").cast("long").alias("length"))
 
 
+@query(f"""
+WITH t0 AS (SELECT source AS g, row_number() OVER (PARTITION BY source ORDER BY encode(source || '/' || doc_id || '.txt')) - 1 AS o, sha256(source || '/' || doc_id || '.txt ' || octet_length(encode(text)) || ' ' || sha256(text) || chr(10)) AS d, 1 AS n FROM documents),
+{", ".join(f"t{k} AS (SELECT g, o // 256 AS o, sha256(string_agg(d, '' ORDER BY o)) AS d, sum(n) AS n FROM t{k - 1} GROUP BY g, o // 256)" for k in range(1, 5))}
+SELECT g AS folder, n::BIGINT AS n, d AS sha256 FROM t4""")
+def folder_digests(spark, sf):
+    """Texts as files in folders by source; a folder's digest covers its files' paths, sizes and hashes in the order of paths."""
+    root = f"{shared_folder(spark)}/folders-{uuid.uuid4().hex}"
+    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    binary_sink.write_files(table(spark, sf, "documents").select(name.alias("name"), F.encode("text", "UTF-8").alias("content")), root)
+    files = ranges.file_hashes(spark, root).withColumn("folder", F.substring_index("file", "/", 1))
+    return K.ordered_digest(files, ["folder"], ["file"], F.concat_ws(" ", "file", "size", "sha256"), fan=256)
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber % 6 AS kind FROM lineitem),
+c AS (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey % 4 > 0 UNION ALL SELECT p_partkey, p_size + 1 FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, p_size FROM part WHERE p_partkey % 5 = 1),
+o AS (SELECT k, count(DISTINCT v) AS n, min(v) AS v FROM c GROUP BY k)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN kind IN (1, 2) THEN l_suppkey WHEN kind IN (0, 3) AND n = 1 THEN v END::BIGINT AS size,
+  CASE WHEN kind IN (1, 2) THEN 'PASS' WHEN kind NOT IN (0, 3) THEN 'UNSUPPORTED' WHEN n IS NULL THEN 'MISSING' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'PASS' END AS status FROM l LEFT JOIN o ON l_partkey = k""")
+def dispatched_lookups(spark, sf):
+    """Records of two kinds have their own value, of two others that of exactly one candidate."""
+    part = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("long").alias("size"))
+    candidates = part.where("p_partkey % 4 > 0").unionByName(part.where("p_partkey % 3 = 0").withColumn("size", F.col("size") + 1)).unionByName(part.where("p_partkey % 5 = 1"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_linenumber") % 6).alias("kind"))
+    return P.dispatched(lines, "kind", F.col("l_suppkey"), [1, 2], [0, 3], candidates.withColumnRenamed("p_partkey", "l_partkey"), ["l_partkey"], "size").drop("kind")
+
+
 # ---------------------------------------------------------------- walks and chains
 
 _EDGES = """

@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as D
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of a partition and of a block.
@@ -194,3 +195,17 @@ def part(data: bytes | RangedFile, start: int, stop: int):
 
 def sha256(data: bytes | RangedFile) -> str:
     return data.sha256() if isinstance(data, RangedFile) else hashlib.sha256(data).hexdigest()
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """file (below ``path``), size and sha256 of every file of a folder; a file is hashed as it is read, whatever its size."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files, sizes = batch.column("file").to_pylist(), batch.column("size").to_pylist()
+            digests = [RangedFile(f, n, window=0).sha256() for f, n in zip(files, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("size"), pa.array(digests, pa.string())], names=["file", "size", "sha256"])
+
+    listed = spark.createDataFrame(files_of(path), "file string, size long").repartition("file")
+    below = F.substring_index("file", f"{path.rstrip('/').rpartition('/')[2]}/", -1)
+    return listed.mapInArrow(hashed, "file string, size long, sha256 string").withColumn("file", below)
