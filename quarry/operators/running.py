@@ -25,7 +25,7 @@ ROW_BYTES = 8
 def _is_hot(df: DataFrame, base: DataFrame, hot_rows: int | None) -> bool:
     """Whether a key has more than ``hot_rows`` rows; an input too small for that is not counted."""
     most = HOT_ROWS if hot_rows is None else hot_rows
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= ROW_BYTES * most:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= ROW_BYTES * most:
         return False
     return (base.groupBy("key").count().agg(F.max("count")).first()[0] or 0) > most
 
