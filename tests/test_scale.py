@@ -111,6 +111,16 @@ def test_quantiles_of_groups_of_any_size(spark):
     assert K.quantiles(spark.createDataFrame([], "g string, v double"), ["g"], "v", shares).count() == 0
 
 
+def test_quantiles_are_those_of_sql_to_the_last_bit(spark, duck):
+    rows = [(str(i % 9), round(random.Random(i).uniform(1, 1e5), 2)) for i in range(3000)]
+    con = duck.cursor()
+    con.execute("CREATE TEMP TABLE q (g VARCHAR, v DOUBLE)")
+    con.executemany("INSERT INTO q VALUES (?, ?)", rows)
+    wanted = dict(con.execute("SELECT g, quantile_cont(v, [0.5, 0.9, 0.95, 0.99, 1.0]) FROM q GROUP BY g").fetchall())
+    got = K.quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", [0.5, 0.9, 0.95, 0.99, 1.0]).collect()
+    assert {r["g"]: r["quantiles"] for r in got} == wanted
+
+
 def test_one_group_of_all_rows_fills_all_partitions(spark):
     rows = spark.range(80_000).select(F.lit("all").alias("g"), F.hash("id").alias("v"))
     spark.conf.set("spark.sql.adaptive.enabled", "false")
