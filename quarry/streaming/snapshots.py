@@ -45,50 +45,74 @@ def latest_complete(parts: DataFrame, within_ms: int) -> DataFrame:
 
 
 class Snapshots(StatefulProcessor):
+    """Calls to the state store cost far more than rows do: a batch's rows are folded to snapshots first, each of which is one entry, and one timer stands for all snapshots that end later."""
+
+    #: Snapshots of a session that are folded before they are written.
+    FOLDED = 50_000
+
     def __init__(self, within_ms: int, keep_ms: int):
         self.within, self.keep = within_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "tick long", "first long, parts int")
-        self.times = handle.getMapState("times", "tick long, part long", "at long")
+        self.open = handle.getMapState("open", "tick long", "parts int, part array<bigint>, at array<bigint>")
         self.last = handle.getValueState("last", "at long, tick long")
 
+    def _write(self, folded: dict[int, tuple[int, dict[int, int]]], fresh: bool) -> None:
+        ends = None
+        for tick, (parts, times) in folded.items():
+            known = None if fresh else self.open.getValue((tick,))
+            if known is not None:
+                parts = max(parts, known[0])
+                for part, at in zip(known[1], known[2], strict=True):
+                    times[part] = min(at, times.get(part, at))
+            self.open.updateValue((tick,), (parts, list(times), list(times.values())))
+            end = min(times.values()) + self.within
+            ends = end if ends is None else min(ends, end)
+        if ends is not None:
+            self.handle.registerTimer(ends)
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        folded: dict[int, tuple[int, dict[int, int]]] = {}
+        fresh = not self.open.exists()
         for batch in rows:
             for tick, part, parts, at in zip(*(batch[c].tolist() for c in ("tick", "part", "parts", "ms")), strict=True):
                 tick, part, parts, at = int(tick), int(part), int(parts), int(at)
-                first, most = self.open.getValue((tick,)) if self.open.containsKey((tick,)) else (at, parts)
-                self.open.updateValue((tick,), (min(first, at), max(most, parts)))
-                known = self.times.getValue((tick, part))[0] if self.times.containsKey((tick, part)) else at
-                self.times.updateValue((tick, part), (min(known, at),))
-                self.handle.registerTimer(min(first, at) + self.within)
+                most, times = folded.get(tick, (parts, {}))
+                times[part] = min(at, times.get(part, at))
+                folded[tick] = max(most, parts), times
+            if len(folded) >= self.FOLDED:
+                self._write(folded, fresh)
+                folded, fresh = {}, False
+        self._write(folded, fresh)
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        due = [(tick, first, parts) for (tick,), (first, parts) in list(self.open.iterator()) if first + self.within <= passed]
-        held: dict[int, list[int]] = {tick: [] for tick, _, _ in due}
-        if due:
-            for (tick, part), (at,) in list(self.times.iterator()):
-                if tick in held:
-                    held[tick].append(at)
-                    self.times.removeKey((tick, part))
-        out = []
-        for tick, first, parts in due:
-            self.open.removeKey((tick,))
-            counted = [at for at in held[tick] if at <= first + self.within]
-            out.append((key[0], tick, max(counted), len(counted), parts, len(counted) == parts))
+        due, next_end = [], None
+        for (tick,), (parts, _, at) in self.open.iterator():
+            first = min(at)
+            if first + self.within <= passed:
+                counted = [t for t in at if t <= first + self.within]
+                due.append((key[0], tick, max(counted), len(counted), parts, len(counted) == parts))
+            else:
+                next_end = first + self.within if next_end is None else min(next_end, first + self.within)
+        if next_end is None:
+            self.open.clear()
+        else:
+            self.handle.registerTimer(next_end)
+            for row in due:
+                self.open.removeKey((row[1],))
         latest = self.last.get() if self.last.exists() else None
         rows = []
-        for session, tick, at, seen, parts, complete in sorted(out, key=lambda r: (r[2], r[1])):
+        for session, tick, at, seen, parts, complete in sorted(due, key=lambda r: (r[2], r[1])):
             newer = complete and (latest is None or (at, tick) > tuple(latest))
             rows.append((session, tick, at, seen, parts, (COMPLETE if newer else SUPERSEDED) if complete else INCOMPLETE))
             latest = (at, tick) if newer else latest
         if rows and latest is not None:
             self.last.update(tuple(latest))
             self.handle.registerTimer(latest[0] + self.keep)
-        elif latest is not None and latest[0] + self.keep <= passed and not any(True for _ in self.open.keys()):
+        elif latest is not None and latest[0] + self.keep <= passed and next_end is None:
             self.last.clear()
         if rows:
             yield pd.DataFrame(rows, columns=["session", "tick", "at", "seen", "parts", "status"])

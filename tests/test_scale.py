@@ -7,6 +7,7 @@ import random
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,6 +288,68 @@ def test_snapshots_in_any_order(spark, tmp_path):
     assert spark.read.format("statestore").option("stateVarName", "last").load(f"{tmp_path}/c").where("key.session <> 'end'").count() == 0
 
 
+class CountedState(dict):
+    """Map or value state in memory that counts what would be calls to a state store."""
+
+    calls = 0
+
+    def __getattribute__(self, name):
+        if not name.startswith("_") and name not in ("calls", "items"):
+            CountedState.calls += 1
+        return super().__getattribute__(name)
+
+    def getMapState(self, *_):
+        return CountedState()
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self[at] = True
+
+    def exists(self):
+        return len(self) > 0
+
+    def getValue(self, key):
+        return super().get(key)
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def removeKey(self, key):
+        del self[key]
+
+    def get(self):
+        return self[0]
+
+    def update(self, value):
+        self[0] = value
+
+    def containsKey(self, key):
+        return key in self
+
+
+class Watermark(int):
+    def getCurrentWatermarkInMs(self):
+        return int(self)
+
+
+def test_snapshots_call_the_state_store_about_once_a_snapshot():
+    processor, handle = SN.Snapshots(1000, 1000), CountedState()
+    processor.init(handle)
+    rows = [(tick, part, 4, tick * 10 + part) for part in range(4) for tick in range(500)]
+    CountedState.calls = 0
+    list(processor.handleInputRows(("s",), iter([pd.DataFrame(rows[:900], columns=["tick", "part", "parts", "ms"]), pd.DataFrame(rows[900:], columns=["tick", "part", "parts", "ms"])]), None))
+    assert CountedState.calls < 1.1 * 500
+    early = pd.concat(processor.handleExpiredTimer(("s",), Watermark(3000), None))
+    late = pd.concat(processor.handleExpiredTimer(("s",), Watermark(10_000), None))
+    assert early["tick"].tolist() == list(range(201)) and late["tick"].tolist() == list(range(201, 500))
+    assert set(early["status"]) | set(late["status"]) == {SN.COMPLETE} and CountedState.calls < 2 * 500
+    assert {1000, 201 * 10 + 1000} <= set(handle)  # the timers of the first one and of the first one left
+
+
 # ---------------------------------------------------------------- piecewise functions
 
 
