@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def byte_at(data: Column, at: Column) -> Column:
     """The byte at a place from 0, as a number."""
     return F.conv(F.hex(F.substring(data, at + 1, F.lit(1))), 16, 10).cast("int")
@@ -23,11 +28,11 @@ def _joined(parts: Column) -> Column:
 
 def _range(n: Column) -> Column:
     """0 to n - 1; empty for n of 0."""
-    return F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n)
+    return _bound(n, lambda n: F.slice(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(1), F.greatest(n, F.lit(0))))
 
 
 def rows(data: Column, stride: Column) -> Column:
-    return F.transform(_range((F.octet_length(data) / stride).cast("int")), lambda r: F.substring(data, r * stride + 1, stride))
+    return _bound(data, lambda d: F.transform(_range((F.octet_length(d) / stride).cast("int")), lambda r: F.substring(d, r * stride + 1, stride)))
 
 
 def crop(data: Column, stride: Column, left: Column, top: Column, width: Column, height: Column) -> Column:
@@ -48,17 +53,13 @@ def padded(data: Column, width: int, stride: int, bit: int) -> Column:
 
 
 def one_bits(data: Column) -> Column:
-    return F.aggregate(_range(F.octet_length(data)), F.lit(0), lambda n, i: n + F.bit_count(byte_at(data, i)))
+    seven = lambda d, i: F.conv(F.hex(F.substring(d, i * 7 + 1, F.lit(7))), 16, 10).cast("long")
+    return _bound(data, lambda d: F.aggregate(_range(F.ceil(F.octet_length(d) / 7).cast("int")), F.lit(0), lambda n, i: n + F.bit_count(seven(d, i))))
 
 
 def other_bytes(data: Column, value: int) -> Column:
     """How many bytes are not ``value``: of white samples, how many are not white."""
-    return F.octet_length(data) - F.size(F.filter(_range(F.octet_length(data)), lambda i: byte_at(data, i) == value))
-
-
-def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f`` of a value that is evaluated once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
+    return _bound(data, lambda d: F.octet_length(d) - F.size(F.filter(_range(F.octet_length(d)), lambda i: byte_at(d, i) == value)))
 
 
 def candidates(data: Column, width: int, stride: int) -> Column:

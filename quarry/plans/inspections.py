@@ -102,8 +102,11 @@ def run_bitmap_verification(spark, sf):
     """One-bit rasters of a source against what the output holds, whatever its row order and spare bits; a third holds something else."""
     key = F.col("p_partkey")
     source = F.unhex(F.concat(F.md5(F.col("p_name").cast("binary")), F.lit("0001")))
-    held = F.when(key % 3 == 0, rasters.padded(source, 13, 2, 1)).when(key % 3 == 1, rasters.padded(rasters.upside_down(source, F.lit(2)), 13, 2, 0)).otherwise(F.unhex(F.md5(F.lit("x").cast("binary"))))
-    rows = table(spark, sf, "part").select("p_partkey", source.alias("source"), F.sha2(held, 256).alias("held"))
+    own = F.col("source")
+    held = F.when(key % 3 == 0, rasters.padded(own, 13, 2, 1)).when(key % 3 == 1, rasters.padded(rasters.upside_down(own, F.lit(2)), 13, 2, 0)).otherwise(F.unhex(F.md5(F.lit("x").cast("binary"))))
+    parts = table(spark, sf, "part").select("p_partkey", "p_name")
+    spread = parts.repartition(4 * spark.sparkContext.defaultParallelism).select("p_partkey", source.alias("source"))  # a file of few bytes is few tasks
+    rows = spread.select("p_partkey", "source", F.sha2(held, 256).alias("held"))
     tried = rows.select("p_partkey", "held", rasters.candidates(F.col("source"), 13, 2).alias("c")).withColumn("found", F.filter("c", lambda c: c["sha256"] == F.col("held")))
     return tried.select("p_partkey", F.get("found", F.lit(0))["order"].alias("order"), F.when(F.size("found") > 0, ST.PASS).otherwise(ST.FAIL).alias("status"))
 

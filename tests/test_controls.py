@@ -68,6 +68,19 @@ def test_registers_of_glyphs():
     assert M.modelled(None) is None and M.modelled(b"")["status"] == "TRUNCATED" and M.modelled(words(M.SHEAR, 1) + END)["status"] == "UNKNOWN_RECORD" and M.modelled(END) == {"status": "OK", "glyphs": []}
 
 
+def test_rasters_evaluate_their_data_once(spark):
+    """A value used inside a lambda is evaluated for each element, and nested ones multiply."""
+    own = F.col("own_data")
+    for made in (rasters.rows(own, F.lit(2)), rasters.upside_down(own, F.lit(2)), rasters.padded(rasters.upside_down(own, F.lit(2)), 13, 2, 0), rasters.one_bits(own), rasters.other_bytes(own, 0), rasters.candidates(own, 13, 2)):
+        assert str(made).count("own_data") == 1
+
+
+def test_rasters_of_few_bytes_are_spread(spark, sf):
+    from quarry.plans import inspections
+
+    assert inspections.QUERIES["run_bitmap_verification"](spark, sf).rdd.getNumPartitions() >= 4
+
+
 def test_rasters(spark):
     data = F.lit(bytes(range(12)))
     assert bytes(value(spark, rasters.crop(data, F.lit(4), F.lit(1), F.lit(1), F.lit(2), F.lit(2)))) == bytes([5, 6, 9, 10])
