@@ -223,8 +223,7 @@ def nested_hashes(spark, sf):
 SELECT l_orderkey AS o_orderkey, '$.lines[' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, 'files/' || l_suppkey) - 1) || ']' AS path, l_linenumber::VARCHAR AS line, 'files/' || l_suppkey AS file FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)""")
 def nested_references(spark, sf):
     """Every file that an order names, wherever it stands in the document."""
-    found, _ = V.leaves(nested_orders(spark, sf), ["o_orderkey"], "doc")
-    return V.references(found, ["o_orderkey"], ["line", "path"]).toDF("o_orderkey", "path", "line", "file")
+    return V.value_references(nested_orders(spark, sf), ["o_orderkey"], "doc", ["line", "path"]).toDF("o_orderkey", "path", "line", "file")
 
 
 @query("""
@@ -237,8 +236,7 @@ def nested_differences(spark, sf):
     other = F.when(F.col("o_orderkey") % 5 == 0, F.regexp_replace("doc", r'"part":(?<p>\d+)', '"part":1${p}')).otherwise(F.col("doc"))
     other = F.when(F.col("o_orderkey") % 7 == 0, F.replace(other, F.lit(',"none":null'), F.lit(""))).otherwise(other)
     after = before.select("o_orderkey", other.alias("doc"))
-    sides = [V.leaves(side, ["o_orderkey"], "doc")[0] for side in (before, after)]
-    return V.differences(*sides, ["o_orderkey"])
+    return V.value_differences(before, after, ["o_orderkey"], "doc")
 
 
 # ---------------------------------------------------------------- versions, snapshots, piecewise functions

@@ -190,6 +190,26 @@ def test_leaves_differences_and_references(spark):
     assert not any(k in before._jdf.queryExecution().executedPlan().toString() for k in ("Python", "Pandas", "Arrow"))
 
 
+def test_values_in_rows_and_by_levels_agree(spark, monkeypatch):
+    texts = ['{"a":[1,2.50,[]],"b":{"path":"x","size":3},"c.d":true}', "7", "no", '{"path":{"size":1},"size":2}', '[[{"path":1,"size":"\\u00e9"}]]', None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    other = spark.createDataFrame([(0, '{"b":{"path":"y"},"a":[1,2.5]}'), (2, "[3]"), (4, "[[1]]"), (9, "[null]")], "id long, t string")
+    got = lambda df: sorted(map(repr, df.collect()))
+    monkeypatch.setattr(V, "IN_ROW", 2)  # the fifth value has three levels
+    found = V.leaves(rows, ["id"], "t")[0]
+    assert got(V.value_references(rows, ["id"], "t", ["path", "size"])) == got(V.references(found, ["id"], ["path", "size"]))
+    assert got(V.value_differences(rows, other, ["id"], "t")) == got(V.differences(found, V.leaves(other, ["id"], "t")[0], ["id"]))
+
+
+def test_values_of_few_levels_are_not_written_level_by_level(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("level by level")
+
+    monkeypatch.setattr(V, "_leaves", refuse)
+    rows = spark.createDataFrame([(0, '{"a":[{"path":"x","size":3}]}')], "id long, t string")
+    assert V.value_hashes(rows, ["id"], "t").count() == 1
+
+
 # ---------------------------------------------------------------- sinks
 
 
