@@ -80,3 +80,12 @@ def test_segment_headers(spark):
     assert (got[0]["t"]["width"], got[0]["t"]["instances"], got[0]["t"]["anomalous"], got[0]["t"]["refinement"]) == (640, 77, True, 1)
     assert (got[0]["d"]["at"], got[0]["d"]["template"], got[0]["d"]["refinement_template"], got[0]["d"]["body_length"]) == ([3, -1], 2, 1, 4)
     assert got[1]["t"] is None and got[1]["d"] is None
+
+
+def test_a_token_is_one_match_with_its_kind_and_place():
+    content = b" q\t-.5 7. %c\n<</N#41 [<4a 4>(a(b)\\051)]>> Tj \n"
+    m = P._TOKEN.match(b" \n12 ")  # white space costs no match of its own
+    assert m.lastgroup == "number" and m["number"] == b"12"
+    assert list(P.tokens(content)) == [
+        ("word", "q", 2), ("number", -0.5, 6), ("number", 7.0, 9), ("mark", "<<", 15), ("name", "NA", 20), ("mark", "[", 22), ("string", b"J@", 28), ("string", b"a(b))", 38), ("mark", "]", 39), ("mark", ">>", 41), ("word", "Tj", 44)
+    ]
