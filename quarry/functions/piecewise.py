@@ -2,8 +2,8 @@
 
 A piece is a range of whole numbers and a line over it: (a / b) x + c / d.  Few pieces
 are an expression, a tree of comparisons that finds a piece by bisection; many are a
-table, met by bins of the sizes that pieces have, so that no piece is repeated more than
-twice and no row meets more bins than there are sizes.
+table, met in slices of the order of x.  Pieces do not overlap, so no more of them are
+repeated than there are borders, and a row is moved once.
 
 Defined cases: outside all pieces, and for null, the value is null; pieces must not
 overlap; a numerator beyond 64 bits raises.
@@ -15,9 +15,11 @@ import math
 from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.slices import borders, slice_of
+
 
 @dataclass(frozen=True)
 class Piece:
@@ -65,16 +67,20 @@ def value(x: Column, pieces: list[Piece]) -> Column:
 def piece_of(rows: DataFrame, x: str, pieces: DataFrame) -> DataFrame:
     """``rows`` with the columns of the piece (start, stop and others) that ``x`` is in, null where there is none.
 
-    A piece belongs to the size that is the least power of two not below its length,
-    and touches at most two bins of that size; a row looks into one bin of each size.
+    Rows and pieces are dealt once to slices of the order of x, a piece to each slice
+    that it touches; in a slice the last start is carried forward.  Rows of one x are
+    dealt by a salt, and those of an x that many share fill several slices.
     """
     others = [c for c in pieces.columns if c not in ("start", "stop")]
-    size = F.ceil(F.log2(F.greatest(F.lit(1), F.col("stop") - F.col("start")).cast("double"))).cast("int")
-    sized = pieces.where("stop > start").select(F.struct("start", "stop", *others).alias("piece"), size.alias("size"), F.col("start"), F.col("stop"))
-    binned = sized.select("piece", "size", F.explode(F.array_distinct(F.array(F.expr("shiftright(start, size)"), F.expr("shiftright(stop - 1, size)")))).alias("bin"))
-    sizes = sized.agg(F.array_sort(F.collect_set("size"))).scalar()  # 64 at most
-    named = rows.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("_id"))
-    asked = named.select("row", "_id", F.col("row")[x].alias("x")).select("row", "_id", "x", F.explode_outer(sizes).alias("size")).withColumn("bin", F.expr("shiftright(x, size)"))
-    met = asked.join(binned, ["size", "bin"], "left").withColumn("piece", F.when((F.col("x") >= F.col("piece.start")) & (F.col("x") < F.col("piece.stop")), F.col("piece")))
-    best = met.groupBy("_id").agg(F.first("row").alias("row"), F.first("piece", ignorenulls=True).alias("piece"))
-    return best.select("row.*", "piece.*")
+    kept = pieces.where("stop > start").select(F.col("start").cast("long").alias("_x"), F.struct("start", "stop", *others).alias("piece"))
+    asked = rows.select(F.struct("*").alias("row"), F.col(x).cast("long").alias("_x"), F.xxhash64(F.monotonically_increasing_id()).alias("_salt"))
+    at = lambda place, salt: F.struct(place.alias("x"), salt.cast("long").alias("salt"))
+    lowest, highest = F.lit(-(1 << 63)), F.lit((1 << 63) - 1)
+    first, last = at(F.col("_x"), lowest), at(F.col("piece.stop").cast("long") - 1, highest)
+    own = at(F.col("_x"), F.col("_salt"))
+    cut = borders(asked.select(own.alias("key")).unionByName(kept.select(first.alias("key"))))
+    opened = kept.select(F.explode(F.sequence(slice_of(cut, first), slice_of(cut, last))).alias("slice"), "_x", F.lit(None).cast(rows.schema).alias("row"), "piece")
+    both = opened.unionByName(asked.select(slice_of(cut, own).alias("slice"), "_x", "row", F.lit(None).cast(kept.schema["piece"].dataType).alias("piece")))
+    before = Window.partitionBy("slice").orderBy("_x", F.col("row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("piece", F.last("piece", ignorenulls=True).over(before)).where("row IS NOT NULL")
+    return met.select("row.*", F.when(F.col("_x") < F.col("piece.stop"), F.col("piece")).alias("piece")).select(*[F.col(f"`{c}`") for c in rows.columns], "piece.*")

@@ -393,3 +393,16 @@ def test_pieces_of_very_different_sizes(spark):
     got = PW.piece_of(spark.createDataFrame([(x,) for x in xs], "x long"), "x", spark.createDataFrame(table, "start long, stop long, i int"))
     count = collections.Counter((r["x"], r["i"]) for r in got.collect())
     assert count == collections.Counter((x, None if x is None else next((i for a, b, i in table if a <= x < b), None)) for x in xs)
+
+
+def test_pieces_move_each_row_once_also_where_many_share_a_place(spark, monkeypatch):
+    from quarry.operators import slices
+
+    monkeypatch.setattr(slices, "SLICE_ROWS", 40)
+    table = [(0, 1, 0), (1, 3, 1), (3, 5000, 2), (6000, 6001, 3)]
+    xs = [0] * 300 + [2] * 300 + list(range(7000, -10, -7)) + [None] * 3
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "id long, x long")
+    found = PW.piece_of(rows, "x", spark.createDataFrame(table, "start long, stop long, i int"))
+    assert sorted((r["id"], r["i"]) for r in found.collect()) == [(i, None if x is None else next((p for a, b, p in table if a <= x < b), None)) for i, x in enumerate(xs)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
