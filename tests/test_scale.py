@@ -406,3 +406,12 @@ def test_pieces_move_each_row_once_also_where_many_share_a_place(spark, monkeypa
     assert sorted((r["id"], r["i"]) for r in found.collect()) == [(i, None if x is None else next((p for a, b, p in table if a <= x < b), None)) for i, x in enumerate(xs)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_digests_do_not_move_whole_nodes_again(spark):
+    """What the last shuffles move grows with nodes and borders, not with rows."""
+    rows = spark.range(0, 40_000, 1, 4).select(F.lit("a").alias("g"), F.col("id").alias("o"))
+    found = K.ordered_digest(rows, ["g"], ["o"], F.col("o").cast("string"), fan=100, levels=3)
+    assert found.first()["sha256"] == tree([str(i) for i in range(40_000)], 100, 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "MapInArrow" in plan
