@@ -134,7 +134,7 @@ class Version:
             manifest = {"attempt": self.attempt, "tables": self.tables, "files": 0, "bytes": 0, "sha256": None, "used": self.budget.used}
             if self.tables:
                 listed = listing(self.spark, folder)
-                listed.coalesce(1).write.parquet(f"{self.path}/manifest-{self.attempt}")
+                listed.repartition(1).write.parquet(f"{self.path}/manifest-{self.attempt}")
                 manifest |= _digest(self.spark.read.parquet(f"{self.path}/manifest-{self.attempt}"))
             self.budget.spend()
             _create(self.spark, f"{self.path}/{SEAL}", json.dumps(manifest, sort_keys=True))

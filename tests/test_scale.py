@@ -415,3 +415,24 @@ def test_digests_do_not_move_whole_nodes_again(spark):
     assert found.first()["sha256"] == tree([str(i) for i in range(40_000)], 100, 3)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "MapInArrow" in plan
+
+
+def test_files_of_a_version_are_hashed_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Only the lines of the manifest meet in one task, not the files."""
+    from pyspark import TaskContext
+    from pyspark.sql import types as T
+
+    @F.udf(T.IntegerType())
+    def task(_):
+        return TaskContext.get().partitionId()
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        listing = versions.listing
+        monkeypatch.setattr(versions, "listing", lambda *a: listing(*a).withColumn("task", task("sha256")))
+        version = versions.Version(spark, str(tmp_path), "many")
+        version.put("t", spark.range(0, 8000, 1, 8))
+        version.publish()
+        assert spark.read.parquet(f"{version.path}/manifest-{version.attempt}").select("task").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
