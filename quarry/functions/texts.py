@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,14 +52,14 @@ def normal_form(text: pd.Series) -> pd.Series:
 def decoder(codec: str):
     """A function from bytes to text by a Python codec such as gb18030, which Spark lacks; null where bytes are malformed."""
 
-    @F.pandas_udf(T.StringType())
-    def decode(data: pd.Series) -> pd.Series:
-        def one(value):
-            try:
-                return None if value is None else bytes(value).decode(codec)
-            except UnicodeDecodeError:
-                return None
+    def one(value: bytes | None) -> str | None:
+        try:
+            return None if value is None else value.decode(codec)
+        except UnicodeDecodeError:
+            return None
 
-        return data.map(one)
+    @F.arrow_udf(T.StringType())
+    def decode(data: pa.Array) -> pa.Array:
+        return pa.array([one(v.as_py()) for v in data], pa.string())
 
     return decode
