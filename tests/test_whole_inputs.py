@@ -48,3 +48,18 @@ def test_backlinks_of_long_conversations(spark, tmp_path):
     spark.createDataFrame([(c, t) for c in (1, 2) for t in range(20)], "conv_id long, turn long").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["node"]: r["status"] for r in catalog.QUERIES["sibling_backlinks"](spark, str(tmp_path)).collect()}
     assert got == {c * 1000 + t: "FAIL" if (c + t + 1) % 7 == 0 and t < 19 else "PASS" for c in (1, 2) for t in range(20)}
+
+
+def test_large_values_come_to_python_in_small_batches(spark, tmp_path):
+    """Containers and texts are bounded by bytes in a batch, not by rows alone."""
+    from quarry.plans import formats, inspections, scale
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    for name, found in {"container_pages_by_range": scale, "run_container_compare": inspections, "codec_round_trip": formats, "container_pages": formats}.items():
+        spark.conf.set(key, str(1 << 30))
+        try:
+            found.QUERIES[name](spark, "/root/testdata/sf0.001")
+            assert int(spark.conf.get(key).rstrip("b")) <= 4 << 20, name
+        finally:
+            spark.conf.set(key, before)
