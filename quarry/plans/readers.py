@@ -297,7 +297,8 @@ def visited_records(spark, sf):
     from quarry.sources import generators as G
 
     visitors.register(spark)
-    table(spark, sf, "conversations").select("conv_id", "turn", G.glyph_stream_of("text").alias("d")).createOrReplaceTempView("quarry_visited_records")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "text").repartition(4 * spark.sparkContext.defaultParallelism)  # a file of few bytes is few tasks
+    turns.select("conv_id", "turn", G.glyph_stream_of("text").alias("d")).createOrReplaceTempView("quarry_visited_records")
     rows = spark.sql("SELECT conv_id, turn, g.kind FROM quarry_visited_records, LATERAL glyph_rows(d, 1000000) AS g(kind, offset, x, y, code)")
     return rows.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("rows"), F.max(F.when(F.col("kind") != "glyph", F.col("kind"))).alias("ended"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from quarry.sources.pdf import Malformed, tokens
-from quarry.sources.records import read_stream
+from quarry.sources.records import glyph_columns
 
 
 class GlyphRows:
@@ -17,10 +17,10 @@ class GlyphRows:
     def eval(self, data: bytes, most: int):
         if data is None:
             return
-        found = read_stream(bytes(data), most or 65_536)
-        for g in found["glyphs"]:
-            yield "glyph", g["offset"], g["x"], g["y"], g["code"]
-        yield found["status"], found["offset"], None, None, None
+        status, offset, glyphs = glyph_columns(bytes(data), most or 65_536)
+        for at, x, y, code in zip(*glyphs, strict=True):
+            yield "glyph", at, x, y, code
+        yield status, offset, None, None, None
 
 
 class TokenRows:
@@ -38,7 +38,7 @@ class TokenRows:
 
 def register(spark: SparkSession) -> None:
     """``glyph_rows(data, most)`` and ``token_rows(data)`` for LATERAL use in SQL."""
-    spark.udtf.register("glyph_rows", udtf(GlyphRows, returnType="kind string, offset int, x int, y int, code int"))
+    spark.udtf.register("glyph_rows", udtf(GlyphRows, returnType="kind string, offset int, x int, y int, code int", useArrow=True))
     spark.udtf.register("token_rows", udtf(TokenRows, returnType="ordinal int, kind string, value string"))
 
 
