@@ -8,7 +8,9 @@ key of that join alone: meetings are added up before they are shuffled.
 ``chains`` checks histories in which each step covers the one before.  A step's own
 links are joins; what holds for a chain is found by doubling: after round k a step
 knows the state of the 2 ** k steps up to it, and two segments that meet make one, so
-a chain of n steps takes log2(n) rounds, each a join on a step's key.
+a chain of n steps takes log2(n) rounds, each a join on a step's key.  Steps whose
+chain has ended are met by others, but look for nothing themselves; steps that name
+no predecessor or link are dealt over all tasks.
 
 Defined cases: a root that has no edges is visited; roots may repeat; null ends of
 edges are no edges; a graph without roots gives no rows.
@@ -88,6 +90,13 @@ def tips(steps: DataFrame) -> DataFrame:
     return steps.join(steps.select(F.col("before").alias("step")).distinct(), "step", "left_anti")
 
 
+def _looked_up(rows: DataFrame, key: str, table: DataFrame, to: str) -> DataFrame:
+    """Left join of ``rows`` (with a step) by ``key`` with ``to`` of ``table``; rows without a key are dealt by their step, since the hash of null would bring all of them to one task."""
+    dealt = rows.withColumn("_deal", F.when(F.col(key).isNull(), F.hash("step")).otherwise(0))
+    met = table.withColumn("_meet", F.pmod(F.hash(to), F.lit(1)))  # always 0, but no literal, which would be no key of the join
+    return dealt.join(met, (F.col(key) == F.col(to)) & (F.col("_deal") == F.col("_meet")), "left").drop("_deal", "_meet")
+
+
 def step_checks(steps: DataFrame, links: dict[str, tuple[str, DataFrame]], covers: Column) -> DataFrame:
     """step, before and fault (the first that it has, in this order: a missing link, a missing predecessor, a digest that does not cover it).
 
@@ -100,10 +109,10 @@ def step_checks(steps: DataFrame, links: dict[str, tuple[str, DataFrame]], cover
     faults = []
     for name, (column, table) in links.items():
         there = table.select(F.col(table.columns[0]).alias(f"_{name}")).where(F.col(f"_{name}").isNotNull()).distinct()
-        found = found.join(there, F.col(column) == F.col(f"_{name}"), "left")
+        found = _looked_up(found, column, there, f"_{name}")
         faults.append(F.when(F.col(f"_{name}").isNull(), f"{name} missing"))
     earlier = steps.select(*[F.col(c).alias(f"before_{c}") for c in steps.columns])
-    both = found.join(earlier, F.col("before") == F.col("before_step"), "left")
+    both = _looked_up(found, "before", earlier, "before_step")
     faults.append(F.when(F.col("before").isNotNull() & F.col("before_step").isNull(), "predecessor missing"))
     faults.append(F.when(~F.coalesce(covers, F.lit(False)), "digest"))
     return both.select("step", "before", F.coalesce(*faults).alias("fault"))
@@ -116,26 +125,26 @@ def chains(checks: DataFrame, longest: int = 1 << 20) -> DataFrame:
     chain that has not ended after ``longest`` steps counts as a cycle, and so does a
     ring, which has no tip: it gives one row, that of its smallest step.
     """
+    checks = stored(checks, "checks")
     known = checks.select(F.col("step").alias("up"), F.lit(True).alias("_known"))
-    begun = checks.join(known, F.col("before") == F.col("up"), "left").select(
+    ends = tips(checks).withColumn("_ends", F.lit(True))
+    begun = _looked_up(checks, "before", known, "up").join(ends.select("step", "_ends"), "step", "left").select(
         "step", F.when(F.col("_known"), F.col("before")).alias("up"), F.col("step").alias("first"), F.lit(1).cast("long").alias("length"), F.when(F.col("fault").isNotNull(), 1).otherwise(0).cast("long").alias("faults"),
         F.when(F.col("fault").isNotNull(), F.struct(F.col("step").alias("step"), F.col("fault").alias("fault"))).alias("broken"), F.col("step").alias("least"),
+        F.coalesce("_ends", F.lit(False)).alias("tip"),
     )
     state = stored(begun, "chains")
     for _ in range(math.ceil(math.log2(max(2, longest)))):
         if state.where("up IS NOT NULL").isEmpty():
             break
         above = state.select(F.col("step").alias("up"), F.col("up").alias("up2"), F.col("first").alias("first2"), F.col("length").alias("length2"), F.col("faults").alias("faults2"), F.col("broken").alias("broken2"), F.col("least").alias("least2"))
-        met = state.join(above, "up", "left").select(
-            "step", F.col("up2").alias("up"), F.coalesce("first2", "first").alias("first"), (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length"), (F.col("faults") + F.coalesce("faults2", F.lit(0))).alias("faults"),
-            F.coalesce("broken2", "broken").alias("broken"), F.least("least", "least2").alias("least"),
+        met = state.where("up IS NOT NULL").join(above, "up").select(
+            "step", F.col("up2").alias("up"), F.col("first2").alias("first"), (F.col("length") + F.col("length2")).alias("length"), (F.col("faults") + F.col("faults2")).alias("faults"),
+            F.coalesce("broken2", "broken").alias("broken"), F.least("least", "least2").alias("least"), "tip",
         )
-        longer = stored(met, "chains")
+        longer = stored(met.unionByName(state.where("up IS NULL")), "chains")
         discard(state)
         state = longer
-    ends = tips(checks).select("step")
     status = F.when(F.col("up").isNotNull(), "CYCLE").when(F.col("faults") > 0, "FAIL").otherwise("PASS")
-    ended = state.where("up IS NULL").join(ends, "step")
-    rings = state.where("up IS NOT NULL AND step = least")  # of a ring the smallest step; of what leads into one its tip
-    leading = state.where("up IS NOT NULL").join(ends, "step")
-    return ended.unionByName(rings).unionByName(leading).select("step", "first", "length", "faults", F.col("broken.step").alias("broken"), F.col("broken.fault").alias("fault"), status.alias("status"))
+    told = state.where("tip OR up IS NOT NULL AND step = least")  # of a ring the smallest step; of what leads into one its tip
+    return told.select("step", "first", "length", "faults", F.col("broken.step").alias("broken"), F.col("broken.fault").alias("fault"), status.alias("status"))

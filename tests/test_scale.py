@@ -97,6 +97,29 @@ def test_chains_with_gaps_branches_and_rings(spark):
     assert {r["step"]: r["status"] for r in W.chains(ring, longest=16).collect()} == {1: "CYCLE", 7: "CYCLE", 8: "PASS"}
 
 
+def test_steps_without_a_predecessor_fill_all_partitions(spark, monkeypatch):
+    # Most chains are one step long and name no review; others end in the first or the second round.
+    before = F.when(F.col("id") % 10 == 1, F.col("id") - 1).when(F.col("id") % 50 == 2, F.col("id") - 1)
+    steps = spark.range(8000).select(F.col("id").alias("step"), before.alias("before"), F.when(F.col("id") % 10 == 1, F.col("id")).alias("review"))
+    largest = lambda df: max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+    counts = []
+    write = W.stored
+    monkeypatch.setattr(W, "stored", lambda df, name: (counts.append(largest(df)), write(df, name))[1])
+    conf = {"adaptive.enabled": "false", "autoBroadcastJoinThreshold": "-1", "shuffle.partitions": "16", "files.openCostInBytes": "0"}
+    for name, value in conf.items():
+        spark.conf.set(f"spark.sql.{name}", value)
+    try:
+        checks = W.step_checks(steps, {"review": ("review", steps.select("review"))}, F.lit(True))
+        counts.append(largest(checks))
+        found = W.chains(checks)
+        assert len(counts) >= 4 and max(counts) <= 8000 / 2
+        assert {(r["length"], r["status"], r["count"]) for r in found.groupBy("length", "status").count().collect()} == {(1, "FAIL", 6240), (2, "FAIL", 640), (3, "FAIL", 160)}
+    finally:
+        for name in conf:
+            spark.conf.unset(f"spark.sql.{name}")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 # ---------------------------------------------------------------- ranks and digests
 
 
