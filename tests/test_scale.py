@@ -97,6 +97,11 @@ def test_chains_with_gaps_branches_and_rings(spark):
     assert {r["step"]: r["status"] for r in W.chains(ring, longest=16).collect()} == {1: "CYCLE", 7: "CYCLE", 8: "PASS"}
 
 
+def test_a_tip_of_the_smallest_number_before_a_ring_gives_one_row(spark):
+    ring = spark.createDataFrame([(0, 1, None), (1, 3, None), (2, 1, None), (3, 2, None)], "step int, before int, fault string")
+    assert sorted((r["step"], r["status"]) for r in W.chains(ring, longest=16).collect()) == [(0, "CYCLE"), (1, "CYCLE")]
+
+
 def test_steps_without_a_predecessor_fill_all_partitions(spark, monkeypatch):
     # Most chains are one step long and name no review; others end in the first or the second round.
     before = F.when(F.col("id") % 10 == 1, F.col("id") - 1).when(F.col("id") % 50 == 2, F.col("id") - 1)
